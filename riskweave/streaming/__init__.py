@@ -1,0 +1,8 @@
+"""Streaming surface.
+
+The study this library re-expresses reads only static tables: there is no
+stream source, watermark, event-time window or stateful operator to port, so
+nothing is implemented here on purpose.  All operators in
+``riskweave.operators`` are batch DataFrame functions; they can be applied to a
+micro-batch inside ``foreachBatch`` unchanged if a caller ever needs that.
+"""
