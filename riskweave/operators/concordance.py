@@ -125,7 +125,7 @@ def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
 def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "death_covid",
                 pred: str = "r", weight: str | None = None, variance: bool = True,
                 n_buckets: int | None = None) -> DataFrame:
-    """V3: per group ``con, dis, tied`` (weighted pair counts), ``conc`` and ``var``.
+    """V3: per group ``con, dis, tied`` (weighted pair counts), ``conc`` and ``conc_var``.
 
     Groups with no comparable pair get a null concordance."""
     c = materialize(cells(df, by, time, event, pred, weight))
@@ -175,5 +175,5 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     dis_m = F.col("dis_i") + F.col("dis_j")
     tie_m = F.col("tie_i") + F.col("tie_j")
     infl = F.try_divide(con_m + tie_m / 2 - F.col("conc") * (con_m + dis_m + tie_m), F.col("pairs"))
-    var = per.groupBy(*by).agg(F.sum(F.col("W2") * infl * infl).alias("var"))
-    return null_safe_join(res, var, by, "left") if by else res.crossJoin(var)
+    v = per.groupBy(*by).agg(F.sum(F.col("W2") * infl * infl).alias("conc_var"))
+    return null_safe_join(res, v, by, "left") if by else res.crossJoin(v)

@@ -70,9 +70,19 @@ def _baseline(s0, sex_col: str) -> Column:
     return F.lit(float(s0))
 
 
+SCORE_DIGITS = 9
+
+
 def score_from_lp(lp: Column, s0: Column) -> Column:
-    """Absolute risk in percent: 100 * (1 - S0 ^ exp(lp))."""
-    return 100.0 * (1.0 - F.pow(s0, F.exp(lp)))
+    """Absolute risk in percent: 100 * (1 - S0 ^ exp(lp)), kept to 1e-9.
+
+    Different covariate patterns can give mathematically equal scores
+    (0.01 * 25 years == 0.25 * one record); the last bits of exp/pow then
+    decide whether they tie, and that differs between math libraries.  Ranks,
+    tiles and concordance ties depend on it, so scores are rounded to a
+    precision far below any clinical meaning and far above floating-point noise.
+    """
+    return F.round(100.0 * (1.0 - F.pow(s0, F.exp(lp))), SCORE_DIGITS)
 
 
 def risk_score(df: DataFrame, coefs=FIXTURE_COEFFICIENTS,

@@ -53,7 +53,7 @@ scored0 AS (
             + 0.3::DOUBLE * CAST(coalesce(flag_a, 0) AS DOUBLE) AS a
   FROM pers_period WHERE linked = 1),
 scored AS (
-  SELECT person_id, sex, period, t, death_covid, age, a, 100 * (1 - power(0.98, exp(a))) AS score,
+  SELECT person_id, sex, period, t, death_covid, age, a, round(100 * (1 - power(0.98, exp(a))), 9) AS score,
          linked, supplier_x, grp, quint, region,
          CASE WHEN age >= 19 AND age < 30 THEN '[19,30)' WHEN age >= 30 AND age < 40 THEN '[30,40)'
               WHEN age >= 40 AND age < 50 THEN '[40,50)' WHEN age >= 50 AND age < 60 THEN '[50,60)'
