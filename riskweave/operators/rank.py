@@ -54,11 +54,13 @@ def range_buckets(df: DataFrame, order: str, tiebreak: str | None, n_buckets: in
     n_sub = min(n_buckets, 2 * max(raw.count(v) for v in heavy) + 1)
     sub_probs = [i / n_sub for i in range(1, n_sub)]
     rows = (df.where(x.isin(*heavy)).groupBy(order)
-            .agg(F.percentile_approx(F.col(tiebreak), sub_probs, 10000).alias("s"))
+            .agg(F.percentile_approx(F.col(tiebreak), F.array(*[F.lit(q) for q in sub_probs]),
+                                     10000).alias("s"))
             .collect())
     pb = None
     for r in rows:
-        subs = sorted(set(v for v in r["s"] if v is not None))
+        vals = r["s"] if isinstance(r["s"], (list, tuple)) else [r["s"]]
+        subs = sorted(set(float(v) for v in vals if v is not None))
         branch = _tree(F.col(tiebreak), subs)
         pb = F.when(x == F.lit(r[order]), branch) if pb is None else pb.when(x == F.lit(r[order]), branch)
     pb = F.when(x.isin(*heavy), pb).otherwise(F.lit(0)) if pb is not None else F.lit(0)
