@@ -78,6 +78,9 @@ def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
     ml = _explode_levels(m, nbits, probe=False)
     pl = _explode_levels(p, nbits, probe=True)
     part = [*by, "lvl", "node", "rb"]
+    # members sharing (node, r) are interchangeable: at upper levels whole
+    # ranges of k collapse into one row before the sort.
+    ml = ml.groupBy(*part, "r").agg(F.sum("W").alias("W"))
     u = (ml.select(*part, "r", F.lit(1).alias("typ"), "W", F.lit(None).cast("long").alias("pk"))
          .unionByName(pl.select(*part, "r", F.lit(0).alias("typ"), F.lit(0.0).alias("W"),
                                 F.col("k").alias("pk"))))
@@ -134,13 +137,16 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
         raise ValueError("concordance: no rows with time, event and predictor")
     nbits = max(1, int(max_k).bit_length())
     kmax = (1 << nbits) - 1
-    n_buckets = n_buckets or default_buckets(df)
+    n_buckets = n_buckets or default_buckets(c)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = sorted({s for s in c.approxQuantile("r", probs, 0.001) if s is not None})
     rb = _tree(F.col("r"), splits)
 
     ev = c.where(F.col("k") % 2 == 0)
+    # used by the totals and again by the jackknife: compute once
     di = dominance(c, ev, by, nbits, rb)
+    if variance:
+        di = materialize(di)
     pi = null_safe_join(ev.select(*by, "r", "k", "W"), di, [*by, "r", "k"])
     totals = (pi.groupBy(*by)
               .agg(F.sum(F.col("W") * (F.col("above") - F.col("less") - F.col("equal"))).alias("con"),
@@ -157,6 +163,7 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
               .withColumn("conc", F.try_divide(F.col("con") + F.col("tied") / 2, F.col("pairs"))))
     if not variance:
         return res
+    res = materialize(res)  # one row per group; joined twice below
 
     mirror = lambda d: d.withColumn("k", F.lit(kmax) - F.col("k"))
     dj = dominance(mirror(ev), mirror(c), by, nbits, rb)

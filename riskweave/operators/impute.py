@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recode import poly_terms, sentinel_to_null
+from ..session import materialize
 from ..sources.tables import small_frame
 from .sampling import hash_split
 
@@ -112,7 +113,9 @@ def impute_two_stage(df: DataFrame, value: str = "bmi", label: str = "bmi_cat",
     """Sentinel 0 -> null, group-mean fill where the label is known, then OLS per
     group for the rest; ``imputed`` is 0 observed, 1 group mean, 2 model."""
     x = df.withColumn(value, sentinel_to_null(F.col(value), 0))
-    x = impute_group_mean(x, value, label, [label, group], flag=flag)
+    # The model stage makes several passes (indexers, normal equations, per
+    # group): checkpoint the stage-1 frame once instead of recomputing its lineage.
+    x = materialize(impute_group_mean(x, value, label, [label, group], flag=flag))
     formula = formula or f"{value} ~ " + " + ".join(features)
     return impute_by_model(x, value, group, formula, list(features), flag=flag)
 

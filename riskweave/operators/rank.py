@@ -33,8 +33,16 @@ def _tree(x: Column, splits: list[float]) -> Column:
     return build(0, len(splits))
 
 
-def default_buckets(df: DataFrame) -> int:
-    return max(8, min(MAX_BUCKETS, 2 * shuffle_partitions(df.sparkSession)))
+ROWS_PER_BUCKET = 250_000      # target rows per (group, range) window partition
+
+
+def default_buckets(df: DataFrame, n_rows: int | None = None) -> int:
+    """Number of value ranges: enough for ~ROWS_PER_BUCKET rows each (so a window
+    partition stays small at any scale), at least 8, at most MAX_BUCKETS and
+    not more than twice the shuffle parallelism."""
+    n_rows = df.count() if n_rows is None else n_rows
+    by_size = n_rows // ROWS_PER_BUCKET + 1
+    return max(8, min(MAX_BUCKETS, by_size, 2 * shuffle_partitions(df.sparkSession)))
 
 
 def range_buckets(df: DataFrame, order: str, tiebreak: str | None, n_buckets: int | None = None,

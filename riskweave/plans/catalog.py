@@ -421,7 +421,7 @@ def _model_frame(spark, sf_dir):
 
 def q_ols_impute(spark, sf_dir):
     x = _model_frame(spark, sf_dir)
-    x = x.withColumn("bmi", recode.sentinel_to_null(F.col("bmi"), 0))
+    x = materialize(x.withColumn("bmi", recode.sentinel_to_null(F.col("bmi"), 0)))
     out = im.impute_by_model(x, "bmi", "sex", "bmi ~ . + age:.", OLS_FEATURES, flag="imputed")
     return rounded(out.where(F.col("imputed") == 2).select("person_id", "sex", "bmi"))
 
