@@ -11,6 +11,7 @@ coalescing replaces the study's split/predict/union dance.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
@@ -84,15 +85,21 @@ def impute_by_model(df: DataFrame, value: str, group: str, formula: str, feature
     """L3/L6 stage 2: per-group OLS fitted on observed rows, used where value is null."""
     levels = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().collect()]
     pred_col = f"_{value}_pred"
-    parts = []
-    for g in sorted(levels):
+
+    def one(g):
         sub = df.where(F.col(group) == g)
         train = sub.where(F.col(value).isNotNull()).select(value, *feature_df_cols)
         fitted = fit_ols(train, formula)
         todo = sub.where(F.col(value).isNull())
-        parts.append(predict(todo, fitted, pred_col)
-                     .withColumn(value, F.col(pred_col)).drop(pred_col))
+        return (predict(todo, fitted, pred_col)
+                .withColumn(value, F.col(pred_col)).drop(pred_col))
+
+    # the per-group fits are independent Spark jobs: submit them concurrently
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(levels)))) as pool:
+        parts = list(pool.map(one, sorted(levels)))
     observed = df.where(F.col(value).isNotNull() | F.col(group).isNull())
+    if flag and flag not in observed.columns:
+        observed = observed.withColumn(flag, F.when(F.col(value).isNotNull(), F.lit(0)))
     out = observed
     for p in parts:
         if flag:

@@ -108,3 +108,10 @@ def test_join_suffix(spark):
     b = spark.createDataFrame([(1, 3.0)], "id long, score double")
     r = lk.join_suffix(a, b, "id", ("_base", "")).first()
     assert (r.score_base, r.score) == (2.0, 3.0)
+
+
+def test_ols_impute_fills_every_missing_bmi(spark):
+    from riskweave.plans import catalog
+    out = catalog.q_ols_impute(spark, SF0001)
+    assert out.count() == 215 + 117                      # null + zero-sentinel BMI (FIXTURES)
+    assert out.where(F.col("bmi").isNull()).count() == 0
