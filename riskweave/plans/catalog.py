@@ -23,6 +23,7 @@ from ..operators import metrics as mt
 from ..operators import quantiles as qt
 from ..operators import sampling as sp
 from ..operators import score as sc
+from ..operators.concordance import concordance
 from ..operators.cox import d_statistic
 from ..operators.rank import scalable_ntile
 from ..session import materialize, scratch_path
@@ -520,7 +521,8 @@ def q_union_tagged(spark, sf_dir):
 
 
 def q_concordance(spark, sf_dir):
-    c = mt.concordance_ci(_scored(spark, sf_dir), BY)
+    s = _scored(spark, sf_dir).withColumn("r", F.lit(100.0) - F.col("score"))
+    c = concordance(s, BY, "t", "death_covid", "r", variance=False)
     return rounded(c.select(*BY, "n", "events", "con", "dis", "tied", "conc"))
 
 
