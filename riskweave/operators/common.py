@@ -24,7 +24,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
                broadcast_right: bool = False) -> DataFrame:
-    """Join on keys; with no keys, attach a one-row (or tiny) frame via a broadcast."""
+    """Join on keys; with no keys, attach a single-row frame (an equi-join on a
+    constant key, so no cross join is ever planned)."""
     if keys:
         return null_safe_join(left, right, keys, how, broadcast_right)
-    return left.join(F.broadcast(right), F.lit(True), how)
+    return attach_row(left, right, how)
+
+
+def attach_row(left: DataFrame, one_row: DataFrame, how: str = "inner") -> DataFrame:
+    """Append the columns of a one-row aggregate to every row of ``left``."""
+    k = "__one"
+    return (left.withColumn(k, F.lit(1))
+            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, how).drop(k))

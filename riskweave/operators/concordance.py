@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import null_safe_join
+from .common import attach_row, null_safe_join
 from .rank import _tree, default_buckets
 
 
@@ -155,7 +155,7 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     counts = c.groupBy(*by).agg(F.sum("N").alias("n"),
                                 F.sum(F.when(F.col("k") % 2 == 0, F.col("N")).otherwise(0)).alias("events"),
                                 F.sum("W").alias("sum_w"))
-    res = null_safe_join(counts, totals, by, "left") if by else counts.crossJoin(totals)
+    res = null_safe_join(counts, totals, by, "left") if by else attach_row(counts, totals, "left")
     res = (res.withColumn("con", F.coalesce("con", F.lit(0.0)))
               .withColumn("dis", F.coalesce("dis", F.lit(0.0)))
               .withColumn("tied", F.coalesce("tied", F.lit(0.0)))
@@ -177,10 +177,10 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     per = null_safe_join(per, cell_j, [*by, "r", "k"], "left").fillna(
         0.0, subset=["con_i", "dis_i", "tie_i", "con_j", "dis_j", "tie_j"])
     per = null_safe_join(per, res.select(*by, "conc", "pairs"), by) if by else \
-        per.crossJoin(res.select("conc", "pairs"))
+        attach_row(per, res.select("conc", "pairs"))
     con_m = F.col("con_i") + F.col("con_j")
     dis_m = F.col("dis_i") + F.col("dis_j")
     tie_m = F.col("tie_i") + F.col("tie_j")
     infl = F.try_divide(con_m + tie_m / 2 - F.col("conc") * (con_m + dis_m + tie_m), F.col("pairs"))
     v = per.groupBy(*by).agg(F.sum(F.col("W2") * infl * infl).alias("conc_var"))
-    return null_safe_join(res, v, by, "left") if by else res.crossJoin(v)
+    return null_safe_join(res, v, by, "left") if by else attach_row(res, v, "left")

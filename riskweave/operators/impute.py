@@ -135,7 +135,10 @@ def imputer_mse(df: DataFrame, id_col: str, value: str, label: str, group: str,
     train, test = x.where(F.col("split") == "training"), x.where(F.col("split") == "test")
     means = group_means(train, value, [label, group])
     coefs = ols_coefficients(train, value, covariate, group)
-    t = test.join(F.broadcast(means), [label, group], "left").join(F.broadcast(coefs.drop("n")), group, "left")
+    means, ok = small_frame(means, MAX_GROUPS)
+    t = test.join(F.broadcast(means) if ok else means, [label, group], "left")
+    # coefs is a local relation with one row per group (bounded by construction)
+    t = t.join(F.broadcast(coefs.drop("n")), group, "left")
     pred_lm = F.coalesce(F.col("intercept") + F.col("slope") * F.col(covariate))
     return t.agg(F.avg(F.pow(F.col(value) - pred_lm, 2)).alias("mse_lm"),
                  F.avg(F.pow(F.col(value) - F.col("prediction_mm"), 2)).alias("mse_mm"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recode import either_source, present, recode_map
 from ..sources.tables import small_frame
+from .common import attach_row
 
 SMALL_TABLE_ROWS = 1_000_000
 
@@ -100,4 +101,4 @@ def fanout_audit(spine: DataFrame, linked: DataFrame, key: str) -> DataFrame:
     b = per_key.agg(F.sum("c").alias("n_linked"), F.count(F.lit(1)).alias("n_keys"),
                     F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).cast("long").alias("n_fanout_keys"),
                     F.max("c").alias("max_rows_per_key"))
-    return a.crossJoin(b).withColumn("fanout", (F.col("n_linked") != F.col("n_spine")).cast("int"))
+    return attach_row(a, b).withColumn("fanout", (F.col("n_linked") != F.col("n_spine")).cast("int"))

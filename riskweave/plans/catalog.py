@@ -382,7 +382,7 @@ def q_split_union(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).select("person_id", "sex", "bmi")
     means = im.group_means(x, "bmi", ["sex"], "mean_bmi")
     nulls, known = co.split_null(x, "bmi")
-    filled = (nulls.join(F.broadcast(means), "sex", "left")
+    filled = (lk.attach_reference(nulls, means, "sex")
               .withColumn("bmi", F.col("mean_bmi")).drop("mean_bmi").withColumn("imputed", F.lit(1)))
     return rounded(known.withColumn("imputed", F.lit(0)).unionByName(filled))
 
@@ -390,9 +390,9 @@ def q_split_union(spark, sf_dir):
 def q_coalesce_pred(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).select("person_id", "sex", "bmi")
     means = im.group_means(x, "bmi", ["sex"], "m")
-    pm = x.where(F.col("sex") == 1).join(F.broadcast(means), "sex").select(
+    pm = lk.attach_reference(x.where(F.col("sex") == 1), means, "sex").select(
         "person_id", F.col("m").alias("prediction_lm_male"))
-    pf = x.where(F.col("sex") == 0).join(F.broadcast(means), "sex").select(
+    pf = lk.attach_reference(x.where(F.col("sex") == 0), means, "sex").select(
         "person_id", F.col("m").alias("prediction_lm_female"))
     out = x.select("person_id").join(pm, "person_id", "left").join(pf, "person_id", "left")
     return rounded(out.select("person_id", F.coalesce("prediction_lm_male", "prediction_lm_female")

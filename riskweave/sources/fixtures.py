@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, small_frame
+
+REFERENCE_ROWS = 100_000
 
 # Fixed values of the fixture study (FIXTURES.md section 3).
 STUDY_START = dt.date(1998, 1, 1)
@@ -69,10 +71,12 @@ def spine(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     n = t.nation.select("n_nationkey", "n_regionkey")
     r = t.region.select("r_regionkey", "r_name")
-    # nation/region are fixed-size reference tables (25 and 5 rows): broadcast.
+    # nation/region are reference tables: broadcast once their size is checked.
+    n, n_small = small_frame(n, REFERENCE_ROWS)
+    r, r_small = small_frame(r, REFERENCE_ROWS)
     return (o.join(c, o.o_custkey == c.c_custkey, "left")
-            .join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey, "left")
-            .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey, "left"))
+            .join(F.broadcast(n) if n_small else n, F.col("c_nationkey") == n.n_nationkey, "left")
+            .join(F.broadcast(r) if r_small else r, F.col("n_regionkey") == r.r_regionkey, "left"))
 
 
 def bmi_expr() -> tuple:
