@@ -178,3 +178,18 @@ def test_d_statistic_brute_force(spark):
         b, se = _brute_cox([(s, t, e) for gg, _, s, t, e in rows if gg == g])
         assert res[g].d_stat == pytest.approx(b, abs=1e-7)
         assert res[g].d_se == pytest.approx(se, abs=1e-7)
+
+
+def test_rank_fallback_without_broadcast(spark, monkeypatch):
+    """When the (group, range) count table exceeds its bound, ranks use a shuffled join."""
+    import riskweave.operators.rank as rk
+    from riskweave.sources.tables import small_frame
+    monkeypatch.setattr(rk, "MAX_OFFSET_ROWS", 1)
+    df = spark.createDataFrame([(i % 3, i, float(i % 11)) for i in range(600)], "g int, pid long, s double")
+    got = {r.pid: r.q for r in rk.scalable_ntile(df, ["g"], "s", "pid", 7).collect()}
+    for g in range(3):
+        grp = sorted((i % 11, i) for i in range(600) if i % 3 == g)
+        for rank, (_, pid) in enumerate(grp, 1):
+            assert got[pid] == _ntile_py(len(grp), 7, rank)
+    frame, ok = small_frame(df, 10)
+    assert ok is False and frame.count() == 600
