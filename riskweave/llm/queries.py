@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, secrets
+from . import jaccard, mixing, pieces, quality, secrets
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix_sources(docs)
@@ -31,5 +35,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op9_quality": op9_quality, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op2_secrets": op2_secrets, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {}
