@@ -14,8 +14,8 @@ the threshold itself (see ``trees_for``).
 At a node,
 
 * a set alone is dropped;
-* every set is compared with the node's first set (a star, linear in the node), and
-  nodes whose sets are all in one component are done;
+* at the first level every set is compared with the node's first set (a star, linear
+  in the node); nodes whose sets are then all in one component are done;
 * small nodes are compared in full, between different components only;
 * larger nodes are split again, and at the last level in blocks.
 
@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ BLOCK_SETS = 256
 SLACK = 0.2            # how far below the threshold a signature still proposes a pair
 
 _TABLE = str.maketrans({c: " " for c in WORD_BREAKS})
+#: What str.split() also splits at.
+_OTHER_BREAKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = np.random.default_rng(101).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -64,33 +68,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Grams:
-    """Texts to sorted arrays of 64-bit gram hashes; remembers a bounded number of words."""
-
-    def __init__(self, n: int, remembered: int = 400_000):
-        self.n, self.limit, self.words = n, remembered, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """A text of fewer than n words is one gram, a text without words none."""
-        words = [w for w in (text or "").translate(_TABLE).split(" ") if w]
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        codes = list(map(known.get, words))
-        if None in codes:
-            if len(known) > self.limit:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            codes = list(map(known.__getitem__, words))
-        h = np.array(codes, np.uint64)
-        n = min(self.n, len(h))
-        with np.errstate(over="ignore"):
-            total = np.full(len(h) - n + 1, n, np.uint64)
-            for k in range(n):
-                total = (total ^ h[k:len(h) - n + 1 + k]) * _ODD[k]
-                total ^= total >> np.uint64(29)
+def word_list(text: str | None) -> list[str]:
+    """Words of a text by the breaks of WORD_BREAKS alone; str.split() knows more."""
+    if not text:
+        return []
+    if _OTHER_BREAKS.search(text):
+        return [w for w in text.translate(_TABLE).split(" ") if w]
+    return text.split()
+
+
+def grams(text: str | None, n: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the n-grams of a text.  A text of fewer than n words is
+    one gram, a text without words none."""
+    words = word_list(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    n = min(n, len(h))
+    with np.errstate(over="ignore"):
+        total = np.full(len(h) - n + 1, n, np.uint64)
+        for k in range(n):
+            total = (total ^ h[k:len(h) - n + 1 + k]) * _ODD[k]
+            total ^= total >> np.uint64(29)
         return np.unique(mix(total))
 
 
@@ -182,11 +181,10 @@ def classes(docs: DataFrame, *, text: str, doc_id: str, n: int, positions: int)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        grams = Grams(n)
         for b in batches:
             keys, sizes, sigs = [], [], []
             for value in b.column(2):
-                g = grams(value.as_py())
+                g = grams(value.as_py(), n)
                 sizes.append(len(g))
                 digest = hashlib.blake2b(g.tobytes(), digest_size=8).digest() if len(g) else None
                 keys.append(digest and int.from_bytes(digest, "little", signed=True))
@@ -291,13 +289,13 @@ def propose(sets: DataFrame, *, threshold: float, recall: float, positions: int,
     """(v, root): components of the classes by signatures, a superset of the links."""
     least = math.ceil((threshold - slack) * positions)
     level = snapshot(_roots(sets, trees_for(recall, threshold, depth, positions), threshold, positions), "paths")
-    edges = None
+    edges = known = None
     for at in range(1, depth + 1):
         nodes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("pivot")).where("n > 1")
         multi = snapshot(level.join(nodes, "path"), "nodes")
-        star = _star(multi, sets, positions, least)
-        edges = snapshot(star if edges is None else edges.union(star), "edges")
-        known = components(edges)
+        if at == 1:
+            edges = snapshot(_star(multi, sets, positions, least), "edges")
+            known = components(edges)
         rooted = (multi.join(known, F.col("set_key") == F.col("v"), "left")
                   .withColumn("root", F.coalesce("root", "set_key")).drop("v"))
         open_ = rooted.groupBy("path").agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
@@ -416,10 +414,9 @@ def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks"))
     members = members.join(total.withColumnRenamed("root", "comp"), F.col("root") == F.col("comp")).drop("root")
 
-    def grams(batches):
-        make = Grams(n)
+    def to_sets(batches):
         for b in batches:
-            sets_ = [make(v).view(np.int64) for v in b.column("__text").to_pylist()]
+            sets_ = [grams(v, n).view(np.int64) for v in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in ("comp", "blocks", "set_key", "copies")), pa.array(sets_, pa.list_(pa.int64()))],
                 ["comp", "blocks", "set_key", "copies", "set"])
@@ -427,7 +424,7 @@ def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__hash"))
     wanted = members.join(texts, F.col("leader.id").eqNullSafe(F.col("__id")) & (F.col("leader.text_hash") == F.col("__hash")))
     wanted = wanted.select("comp", "blocks", "set_key", "copies", "__text").dropDuplicates(["set_key"])
-    sized = snapshot(wanted.mapInArrow(grams, "comp long, blocks int, set_key long, copies long, set array<long>"), "gram-sets")
+    sized = snapshot(wanted.mapInArrow(to_sets, "comp long, blocks int, set_key long, copies long, set array<long>"), "gram-sets")
     mine = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     parts = (sized.withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
