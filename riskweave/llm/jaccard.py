@@ -29,17 +29,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import snapshot
 from .common import WORD_BREAKS
 from .components import components
+from .streams import Forest, bounds, matrix, runs
 
 N_GRAM = 5
 THRESHOLD = 0.8
@@ -116,63 +116,6 @@ def trees_for(recall: float, threshold: float, depth: int, positions: int = POSI
     return math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
-# --- runs of rows with one key, as they come from a sorted partition -------------------
-
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables that hold whole runs of equal first ``keys`` columns (integers), from a
-    sorted partition.  Only a run that crosses batches is held back."""
-    rest: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        if not t.num_rows:
-            continue
-        same = np.ones(t.num_rows, bool)
-        for k in range(keys):
-            col = t.column(k).to_numpy()
-            same &= col == col[-1]
-        cut = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        rest = t.slice(cut)
-        if cut:
-            yield t.slice(0, cut)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
-def bounds(t: pa.Table, keys: int) -> np.ndarray:
-    """Row numbers at which runs of equal keys begin, and the number of rows."""
-    change = np.zeros(t.num_rows, bool)
-    change[0] = True
-    for k in range(keys):
-        col = t.column(k).to_numpy()
-        change[1:] |= col[1:] != col[:-1]
-    return np.append(np.flatnonzero(change), t.num_rows)
-
-
-def fixed(t: pa.Table, column: int, dtype, width: int) -> np.ndarray:
-    """A column of equally long lists as a matrix."""
-    col = t.column(column).combine_chunks()
-    return col.flatten().to_numpy().astype(dtype, copy=False).reshape(-1, width)
-
-
-class Forest:
-    """Union of numbers 0..n-1, the smaller number stays the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 # --- the join ---------------------------------------------------------------------------
 
 def classes(docs: DataFrame, *, text: str, doc_id: str, n: int, positions: int) -> DataFrame:
@@ -226,7 +169,7 @@ def _roots(sets: DataFrame, trees: int, threshold: float, positions: int) -> Dat
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            sig = fixed(t, 1, np.int32, positions)
+            sig = matrix(t, 1, np.int32, positions)
             row = np.repeat(np.arange(len(sig)), len(tree))
             at = np.tile(position, len(sig))
             paths = _child(np.tile(roots[tree], len(sig)), at, sig[row, at])
@@ -246,7 +189,7 @@ def _star(multi: DataFrame, sets: DataFrame, positions: int, least: int) -> Data
         for b in batches:
             t = pa.Table.from_batches([b])
             if t.num_rows:
-                close = (fixed(t, 2, np.int32, positions) == fixed(t, 3, np.int32, positions)).sum(1) >= least
+                close = (matrix(t, 2, np.int32, positions) == matrix(t, 3, np.int32, positions)).sum(1) >= least
                 yield from t.select(["a", "b"]).filter(pa.array(close)).to_batches()
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -260,7 +203,7 @@ def _compare(nodes: DataFrame, positions: int, least: int) -> DataFrame:
             cuts = bounds(t, 2)
             keys, roots = t.column(3).to_numpy(), t.column(4).to_numpy()
             side = t.column(2).to_numpy()
-            sig = fixed(t, 5, np.int32, positions)
+            sig = matrix(t, 5, np.int32, positions)
             out = []
             for s, e in zip(cuts[:-1], cuts[1:]):
                 groups = {}
@@ -320,7 +263,7 @@ def propose(sets: DataFrame, *, threshold: float, recall: float, positions: int,
             for b in batches:
                 if b.num_rows:
                     t = pa.Table.from_batches([b])
-                    row, paths = _children(t.column(0).to_numpy().view(np.uint64), fixed(t, 2, np.int32, positions), threshold)
+                    row, paths = _children(t.column(0).to_numpy().view(np.uint64), matrix(t, 2, np.int32, positions), threshold)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(paths.view(np.int64)), t.column(1).combine_chunks().take(pa.array(row))], ["path", "set_key"])
 
