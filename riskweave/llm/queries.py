@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, jaccard, mixing, pieces, quality, secrets, tokens, topk
+from . import chat, covertree, jaccard, mixing, pages, pieces, quality, secrets, tokens, topk
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"), pages.train(spark))
+
+
 def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -56,5 +60,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op7_pages": op7_pages, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece}
 ORACLE: dict[str, str] = {}
