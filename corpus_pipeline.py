@@ -1,17 +1,37 @@
 """The corpus pipeline: documents in, encoded documents out.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``.  All but the last return the
+columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.llm import mixing, pieces
+from riskweave.llm import jaccard, mixing, pieces, quality, secrets
+from riskweave.llm.common import table
 from riskweave.sources.tables import snapshot
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced, and n_chars of the new text."""
+    clean = secrets.redact(docs, secrets.train(spark))
+    changed = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", changed.cast("long"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it (0 to 3 times)."""
     return mixing.mixed_rows(docs)
@@ -22,12 +42,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(docs)
 
 
-STAGES = [("mixing", mix), ("pieces", encode)]
+STAGES = [("quality", keep_good), ("jaccard", keep_one), ("secrets", redact), ("mixing", mix), ("pieces", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over ``documents``, each but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
