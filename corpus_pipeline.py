@@ -26,10 +26,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced, and n_chars of the new text."""
-    clean = secrets.redact(docs, secrets.train(spark))
-    changed = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", changed.cast("long"))
+    """Documents with their secrets replaced; n_chars follows the change in length."""
+    before = docs.withColumn("__length", F.length("text"))
+    clean = secrets.redact(before, secrets.train(spark))
+    grown = F.coalesce(F.length("text") - F.col("__length"), F.lit(0))
+    return clean.withColumn("n_chars", F.col("n_chars") + grown).drop("__length")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, covertree, jaccard, mixing, pages, pieces, quality, secrets, tokens, topk
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,3 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op7_pages": op7_pages, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece}
-ORACLE: dict[str, str] = {}
