@@ -9,19 +9,14 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values of the study (code lists and labels that results depend on).
-# ethpuk11 code -> 16-level ethnicity: codes 1,2 keep their value; 3,4 -> 3;
-# 5..11 -> code-1; 12 -> 15; 13 -> 11; 14 -> 13; 15 -> 12; 16 -> 14; 17,18 -> 16.
-ETHNICITY_16 = ((("le", 2), None), (("in", (3, 4)), 3), (("range", (5, 11)), -1),
-                (("eq", 12), 15), (("eq", 13), 11), (("eq", 14), 13), (("eq", 15), 12),
-                (("eq", 16), 14), (("in", (17, 18)), 16))
-# ethpuk11 code -> 9 groups: 1 White British; 2-4 White other; 5-8 Mixed; 9 Indian;
-# 10 Pakistani; 11 Bangladeshi; 12 Chinese; 14 Black African; 15 Black Caribbean;
-# 13 or above 15 Other.
-ETHNICITY_9 = (("White British", ("eq", 1)), ("White other", ("range", (2, 4))),
-               ("Mixed", ("range", (5, 8))), ("Indian", ("eq", 9)),
-               ("Pakistani", ("eq", 10)), ("Bangladeshi", ("eq", 11)),
-               ("Chinese", ("eq", 12)), ("Black African", ("eq", 14)),
-               ("Black Caribbean", ("eq", 15)), ("Other", ("gt_or_eq", (15, 13))))
+# ethpuk11 code -> 16-level ethnicity.
+ETHNICITY_16 = {1: 1, 2: 2, 3: 3, 4: 3, 5: 4, 6: 5, 7: 6, 8: 7, 9: 8, 10: 9, 11: 10, 12: 15,
+                13: 11, 14: 13, 15: 12, 16: 14, 17: 16, 18: 16}
+# ethpuk11 code -> 9 groups.
+ETHNICITY_9 = {1: "White British", 2: "White other", 3: "White other", 4: "White other",
+               5: "Mixed", 6: "Mixed", 7: "Mixed", 8: "Mixed", 9: "Indian", 10: "Pakistani",
+               11: "Bangladeshi", 12: "Chinese", 13: "Other", 14: "Black African",
+               15: "Black Caribbean", 16: "Other", 17: "Other", 18: "Other"}
 # Therapy code letters -> ordinal category.
 CHEMO_CODES = {"A": 1, "B": 2, "C": 3}
 # BMI bands (labels) and 10-year age bands (labels, lower bounds; top band open).
@@ -41,36 +36,14 @@ def safe_num(c: Column | str, to: str = "double") -> Column:
     return col.try_cast(to)
 
 
-def _cond(x: Column, rule) -> Column:
-    kind, arg = rule
-    if kind == "eq":
-        return x == arg
-    if kind == "le":
-        return x <= arg
-    if kind == "in":
-        return x.isin(*arg)
-    if kind == "range":
-        return x.between(*arg)
-    if kind == "gt_or_eq":
-        return (x > arg[0]) | (x == arg[1])
-    raise ValueError(kind)
-
-
 def ethnicity_16(code: Column) -> Column:
-    """First matching branch wins; null when no branch matches."""
-    out = None
-    for rule, value in ETHNICITY_16:
-        val = code if value is None else (code - 1 if value == -1 else F.lit(value))
-        out = F.when(_cond(code, rule), val) if out is None else out.when(_cond(code, rule), val)
-    return out.cast("int")
+    """16-level ethnicity of a code; null for a code outside the list."""
+    return recode_map(code, ETHNICITY_16).cast("int")
 
 
 def ethnicity_9(code: Column) -> Column:
-    """Multi-branch label recode with membership and ranges."""
-    out = None
-    for label, rule in ETHNICITY_9:
-        out = F.when(_cond(code, rule), label) if out is None else out.when(_cond(code, rule), label)
-    return out
+    """Ethnic group label of a code; null for a code outside the list."""
+    return recode_map(code, ETHNICITY_9)
 
 
 def recode_map(col: Column, mapping: dict, otherwise=None) -> Column:
@@ -112,11 +85,8 @@ def age_interval(age: Column, breaks: Sequence[int] = AGE_BREAKS) -> Column:
 
 
 def clean_interval(label: Column) -> Column:
-    """Four successive replacements turning ``[20,30)`` into `` 20-30``."""
-    s = F.regexp_replace(label, r"[()]", "")
-    s = F.regexp_replace(s, r"\]\]", "")
-    s = F.regexp_replace(s, ",", "-")
-    return F.regexp_replace(s, r"\[", " ")
+    """Axis text of an interval label, ``[20,30)`` to `` 20-30``."""
+    return F.translate(label, "[,()", " -")
 
 
 def bmi_band(bmi: Column, label: Column) -> Column:

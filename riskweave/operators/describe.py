@@ -1,9 +1,9 @@
 """Descriptive tables in one pass.
 
 The study runs one query per variable and binds the results; here the frame is
-unpivoted to (population, variable, value) inside the map stage and counted
-with a single partial/final aggregation, so the shuffle carries only distinct
-(variable, value) pairs however many variables there are.
+unpivoted to (variable, value) inside the map stage and counted with a single
+partial/final aggregation, so the shuffle carries only distinct (variable,
+value) pairs however many variables there are.
 """
 
 from __future__ import annotations
@@ -27,13 +27,6 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols])
 
 
-def _populations(df: DataFrame, populations: Mapping[str, Column] | None) -> DataFrame:
-    if not populations:
-        return df.withColumn("population", F.lit("all"))
-    tags = F.array(*[F.when(cond, F.lit(name)) for name, cond in populations.items()])
-    return df.select("*", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("population"))
-
-
 def frequency_table(df: DataFrame, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """N, percentage and "n (p)" label per (variable, value)."""
     long = df.select(*by, F.explode(F.array(*[
@@ -59,13 +52,35 @@ def numeric_table(df: DataFrame, variables: Sequence[str], by: Sequence[str] = (
 def describe_all(df: DataFrame, categorical: Sequence[str], continuous: Sequence[str],
                  populations: Mapping[str, Column] | None = None) -> DataFrame:
     """Frequency rows for categorical and mean/SD rows for continuous
-    variables, for every population (a row may belong to several), one frame."""
-    p = _populations(df, populations)
-    cat = frequency_table(p, categorical, ["population"]).select(
-        "population", "variable", "value", "n", "pct",
-        F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("sd"),
-        F.col("count_label").alias("label"))
-    num = numeric_table(p, continuous, ["population"]).select(
-        "population", "variable", F.lit(None).cast("string").alias("value"), "n",
-        F.lit(None).cast("double").alias("pct"), "mean", "sd", F.col("mean_sd").alias("label"))
-    return cat.unionByName(num)
+    variables, for every population (a row may belong to several), one frame.
+
+    One scan and one aggregation: every row lists its (variable, value, x), where
+    categorical variables have a value and continuous ones an x, and carries one
+    0/1 flag per population; counts and moments are conditional on the flag."""
+    pops = dict(populations or {"all": F.lit(True)})
+    items = [F.struct(F.lit(v).alias("variable"), F.lit(False).alias("numeric"),
+                      F.col(v).cast("string").alias("value"), F.lit(None).cast("double").alias("x"))
+             for v in categorical]
+    items += [F.struct(F.lit(v).alias("variable"), F.lit(True).alias("numeric"),
+                       F.lit(None).cast("string").alias("value"), F.col(v).cast("double").alias("x"))
+              for v in continuous]
+    member = [c.alias(f"_in{k}") for k, c in enumerate(pops.values())]
+    long = df.select(*member, F.inline(F.array(*items)))
+    aggs = []
+    for k in range(len(pops)):
+        here = F.col(f"_in{k}")
+        aggs += [F.count(F.when(here, 1)).alias(f"_rows{k}"), F.count(F.when(here, F.col("x"))).alias(f"_known{k}"),
+                 F.avg(F.when(here, F.col("x"))).alias(f"_mean{k}"),
+                 F.stddev_samp(F.when(here, F.col("x"))).alias(f"_sd{k}")]
+    wide = long.groupBy("variable", "numeric", "value").agg(*aggs)
+    rows = wide.select("variable", "numeric", "value", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("population"), F.col(f"_rows{k}").alias("rows"),
+                 F.col(f"_known{k}").alias("known"), F.col(f"_mean{k}").alias("mean"), F.col(f"_sd{k}").alias("sd"))
+        for k, name in enumerate(pops)]))).where("rows > 0")
+    share = F.col("rows") * 100.0 / F.sum("rows").over(Window.partitionBy("population", "variable"))
+    rows = rows.withColumn("pct", F.when(~F.col("numeric"), share))
+    return rows.select(
+        "population", "variable", "value", F.when(F.col("numeric"), F.col("known")).otherwise(F.col("rows")).alias("n"),
+        "pct", "mean", "sd",
+        F.when(F.col("numeric"), labels.mean_sd(F.col("mean"), F.col("sd")))
+        .otherwise(labels.n_pct(F.col("rows"), F.col("pct"))).alias("label"))
