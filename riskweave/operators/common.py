@@ -8,31 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                   broadcast_right: bool = False) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null keys match each other (group keys may be null)."""
     if not keys:
         raise ValueError("null_safe_join needs at least one key")
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
-    if broadcast_right:
-        r = F.broadcast(r)
     cond: Column = reduce(lambda a, b: a & b,
                           [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-               broadcast_right: bool = False) -> DataFrame:
-    """Join on keys; with no keys, attach a single-row frame (an equi-join on a
-    constant key, so no cross join is ever planned)."""
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys; with no keys, attach a single-row frame."""
     if keys:
-        return null_safe_join(left, right, keys, how, broadcast_right)
-    return attach_row(left, right, how)
+        return null_safe_join(left, right, keys, how)
+    return attach_row(left, right)
 
 
-def attach_row(left: DataFrame, one_row: DataFrame, how: str = "inner") -> DataFrame:
-    """Append the columns of a one-row aggregate to every row of ``left``."""
-    k = "__one"
-    return (left.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, how).drop(k))
+def attach_row(left: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate to every row of ``left``: a cross join
+    with exactly one row, which is all that is broadcast."""
+    return left.crossJoin(F.broadcast(one_row))

@@ -14,14 +14,14 @@ collapses to at most one cell per distinct k).  For each probe cell the three
 sums over member cells with ``k' > k`` are needed:
 
 * ``above = sum W'`` over ``k' > k``                     (small (group, k) table)
-* ``equal = sum W'`` over ``k' > k, r' = r``             (window per (group, r); <= #k rows)
-* ``less  = sum W'`` over ``k' > k, r' < r``             (the 2-D part)
+* ``less, equal = sum W'`` over ``k' > k`` and ``r' < r``, ``r' = r`` (the 2-D part)
 
-``less`` uses a dyadic decomposition of k: the set ``{k' > k}`` is the disjoint
+The 2-D part uses a dyadic decomposition of k: the set ``{k' > k}`` is the disjoint
 union over bits b where k has a 0 of the nodes ``k' >> b == (k >> b) + 1``.
 Members are listed once per level, probes once per 0-bit, and inside each
-(group, level, node) a running sum over r gives the member weight below r.  To
-keep those window partitions small, r is also cut into quantile ranges: the
+(group, level, node) a running sum over r gives the member weight below r, and the
+member row of the same r the weight equal to it, in one sorted pass.  To keep those
+window partitions small, the cells are range-partitioned by (group, r) once: the
 running sum runs inside (group, level, node, r-range) and exact offsets from
 earlier ranges come from a small per-range total table.  Every shuffle is
 therefore hash-partitioned on many keys; no step holds a whole group.
@@ -33,23 +33,32 @@ mirrored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import attach_row, null_safe_join
-from .rank import _tree, default_buckets
+from .rank import ROWS_PER_RANGE, global_rank, ranges
+
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def cells(df: DataFrame, by: list[str], time: str, event: str, pred: str,
           weight: str | None = None) -> DataFrame:
-    """Collapse rows to (by, r, k) with W = sum w, W2 = sum w^2, N = rows."""
+    """Collapse rows to (by, r, k) with W = sum w, W2 = sum w^2, N = rows.
+
+    ``k`` follows the order of (time, censored after event).  Whole-number times, also
+    negative ones, are used as they are; other times by their rank among all times."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = df.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(pred).isNotNull())
-    return (base.select(*by, F.col(pred).cast("double").alias("r"),
-                        (F.col(time).cast("long") * 2 + 1 - F.col(event).cast("long")).alias("k"),
-                        w.alias("w"))
-            .groupBy(*by, "r", "k")
+    base = base.select(*by, F.col(pred).cast("double").alias("r"), F.col(time).alias("_t"),
+                       F.col(event).cast("long").alias("_e"), w.alias("w"))
+    if dict(df.dtypes)[time] not in WHOLE_NUMBERS:
+        base = materialize(base)
+        places = global_rank(base.select("_t").distinct(), [], "_t", rank_col="_place").select(
+            F.col("_t").alias("_time"), "_place")
+        base = base.join(places, F.col("_t") == F.col("_time")).withColumn("_t", F.col("_place"))
+    return (base.groupBy(*by, "r", (F.col("_t").cast("long") * 2 + 1 - F.col("_e")).alias("k"))
             .agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("w")).alias("W2"),
                  F.count(F.lit(1)).alias("N")))
 
@@ -65,16 +74,15 @@ def _explode_levels(df: DataFrame, nbits: int, probe: bool) -> DataFrame:
     return x
 
 
-def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
-              r_bucket: Column) -> DataFrame:
+def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int) -> DataFrame:
     """For every distinct probe (by, r, k): member weight with k' > k split by r' vs r.
 
-    ``members`` has (by, r, k, W); ``probes`` has (by, r, k).  Returns
-    (by, r, k, less, equal, above)."""
-    m = members.select(*by, "r", "k", "W").withColumn("rb", r_bucket)
-    p = probes.select(*by, "r", "k").distinct().withColumn("rb", r_bucket)
+    ``members`` has (by, rb, r, k, W); ``probes`` has (by, rb, r, k), where rb is the
+    range of (by, r).  Returns (by, r, k, less, equal, above)."""
+    m = members.select(*by, "rb", "r", "k", "W")
+    p = probes.select(*by, "rb", "r", "k").distinct()
 
-    # less: dyadic nodes x r-ranges
+    # less and equal: dyadic nodes x r-ranges
     ml = _explode_levels(m, nbits, probe=False)
     pl = _explode_levels(p, nbits, probe=True)
     part = [*by, "lvl", "node", "rb"]
@@ -85,8 +93,10 @@ def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
          .unionByName(pl.select(*part, "r", F.lit(0).alias("typ"), F.lit(0.0).alias("W"),
                                 F.col("k").alias("pk"))))
     w_in = Window.partitionBy(*part).orderBy("r", "typ").rowsBetween(Window.unboundedPreceding, 0)
-    within = (u.withColumn("cw", F.sum("W").over(w_in)).where(F.col("typ") == 0)
-              .select(*part, "r", F.col("pk").alias("k"), "cw"))
+    # the same sort serves both: a node has one member row for each r
+    within = (u.withColumn("cw", F.sum("W").over(w_in))
+              .withColumn("eq", F.sum("W").over(Window.partitionBy(*part, "r"))).where(F.col("typ") == 0)
+              .select(*part, "r", F.col("pk").alias("k"), "cw", "eq"))
     tot = ml.groupBy(*part).agg(F.sum("W").alias("NW"))
     keys = pl.select(*part).distinct()
     node = [*by, "lvl", "node"]
@@ -96,15 +106,7 @@ def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
             .withColumn("off", F.sum("NW").over(w_off)).where(F.col("typ") == 0)
             .select(*part, "off"))
     less = (null_safe_join(within, offs, part)
-            .groupBy(*by, "r", "k").agg(F.sum(F.col("cw") + F.col("off")).alias("less")))
-
-    # equal: same r, k' > k
-    ue = (m.select(*by, "r", "k", F.lit(1).alias("typ"), "W")
-          .unionByName(p.select(*by, "r", "k", F.lit(0).alias("typ"), F.lit(0.0).alias("W"))))
-    w_eq = (Window.partitionBy(*by, "r").orderBy(F.desc("k"), "typ")
-            .rowsBetween(Window.unboundedPreceding, 0))
-    equal = (ue.withColumn("equal", F.sum("W").over(w_eq)).where(F.col("typ") == 0)
-             .select(*by, "r", "k", "equal"))
+            .groupBy(*by, "r", "k").agg(F.sum(F.col("cw") + F.col("off")).alias("less"), F.sum("eq").alias("equal")))
 
     # above: k' > k within the group (small table)
     mk = m.groupBy(*by, "k").agg(F.sum("W").alias("W"))
@@ -117,7 +119,6 @@ def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
              .select(*by, "k", "above"))
 
     out = null_safe_join(p.select(*by, "r", "k"), less, [*by, "r", "k"], "left")
-    out = null_safe_join(out, equal, [*by, "r", "k"], "left")
     out = null_safe_join(out, above, [*by, "k"], "left")
     return out.select(*by, "r", "k",
                       F.coalesce("less", F.lit(0.0)).alias("less"),
@@ -127,24 +128,28 @@ def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int,
 
 def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "death_covid",
                 pred: str = "r", weight: str | None = None, variance: bool = True,
-                n_buckets: int | None = None) -> DataFrame:
+                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """V3: per group ``con, dis, tied`` (weighted pair counts), ``conc`` and ``conc_var``.
 
     Groups with no comparable pair get a null concordance."""
-    c = materialize(cells(df, by, time, event, pred, weight))
-    max_k = c.agg(F.max("k")).first()[0]
+    return concordance_of_cells(cells(df, by, time, event, pred, weight), by, variance, rows_per_range)
+
+
+def concordance_of_cells(cells_: DataFrame, by: list[str], variance: bool = True,
+                         rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``concordance`` from the frame that ``cells`` gives, or sums of it."""
+    c = ranges(materialize(cells_), [*by, "r"], "rb", rows_per_range)
+    min_k, max_k = c.agg(F.min("k"), F.max("k")).first()
     if max_k is None:
         raise ValueError("concordance: no rows with time, event and predictor")
-    nbits = max(1, int(max_k).bit_length())
+    first = min_k // 2 * 2
+    c = c.withColumn("k", F.col("k") - F.lit(first))
+    nbits = max(1, int(max_k - first).bit_length())
     kmax = (1 << nbits) - 1
-    n_buckets = n_buckets or default_buckets(c)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = sorted({s for s in c.approxQuantile("r", probs, 0.001) if s is not None})
-    rb = _tree(F.col("r"), splits)
 
     ev = c.where(F.col("k") % 2 == 0)
     # used by the totals and again by the jackknife: compute once
-    di = dominance(c, ev, by, nbits, rb)
+    di = dominance(c, ev, by, nbits)
     if variance:
         di = materialize(di)
     pi = null_safe_join(ev.select(*by, "r", "k", "W"), di, [*by, "r", "k"])
@@ -155,7 +160,7 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     counts = c.groupBy(*by).agg(F.sum("N").alias("n"),
                                 F.sum(F.when(F.col("k") % 2 == 0, F.col("N")).otherwise(0)).alias("events"),
                                 F.sum("W").alias("sum_w"))
-    res = null_safe_join(counts, totals, by, "left") if by else attach_row(counts, totals, "left")
+    res = null_safe_join(counts, totals, by, "left") if by else attach_row(counts, totals)
     res = (res.withColumn("con", F.coalesce("con", F.lit(0.0)))
               .withColumn("dis", F.coalesce("dis", F.lit(0.0)))
               .withColumn("tied", F.coalesce("tied", F.lit(0.0)))
@@ -166,7 +171,7 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     res = materialize(res)  # one row per group; joined twice below
 
     mirror = lambda d: d.withColumn("k", F.lit(kmax) - F.col("k"))
-    dj = dominance(mirror(ev), mirror(c), by, nbits, rb)
+    dj = dominance(mirror(ev), mirror(c), by, nbits)
     dj = dj.withColumn("k", F.lit(kmax) - F.col("k"))
     cell_i = di.select(*by, "r", "k", (F.col("above") - F.col("less") - F.col("equal")).alias("con_i"),
                        F.col("less").alias("dis_i"), F.col("equal").alias("tie_i"))
@@ -183,4 +188,4 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     tie_m = F.col("tie_i") + F.col("tie_j")
     infl = F.try_divide(con_m + tie_m / 2 - F.col("conc") * (con_m + dis_m + tie_m), F.col("pairs"))
     v = per.groupBy(*by).agg(F.sum(F.col("W2") * infl * infl).alias("conc_var"))
-    return null_safe_join(res, v, by, "left") if by else attach_row(res, v, "left")
+    return null_safe_join(res, v, by, "left") if by else attach_row(res, v)

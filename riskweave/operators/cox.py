@@ -5,18 +5,17 @@
    over tied scores (partial aggregation, so a hot tie value is no hot task).
 2. Rows collapse to ``(group, z, t, event)`` cells with summed weights.
 3. A one-covariate Cox model ``Surv(t, event) ~ z`` is fitted per group by
-   Newton-Raphson.  Each iteration is one distributed aggregation of the cells
-   to per-(group, day) sums; only those (groups x days) rows reach the driver,
-   where risk-set sums are reverse cumulative sums and Efron's tie correction
-   is applied.  D is the coefficient, its standard error ``I(beta)^-1/2``.
+   Newton-Raphson.  Each iteration is one distributed job: sums per (group, day),
+   reverse running sums over days, Efron's tie sums, and one row per group, which
+   is all that reaches the driver.  D is the coefficient, its standard error
+   ``I(beta)^-1/2``.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import KAPPA, inv_norm
@@ -33,33 +32,41 @@ def rankits(df: DataFrame, by: list[str], score: str, tiebreak: str) -> DataFram
             .groupBy(*by, score).agg(F.avg("_z").alias("z")))
 
 
-def _fit_group(rows: list, ties: str, beta: float) -> tuple[float, float, float]:
-    """loglik, score U and information I at ``beta`` from per-day sums."""
-    rows = sorted(rows, key=lambda r: -r["t"])
-    a = np.array([[r["a0"], r["a1"], r["a2"]] for r in rows], dtype=float)
-    cum = np.cumsum(a, axis=0)                       # risk set: time >= t
-    ll = u = info = 0.0
-    for i, r in enumerate(rows):
-        d = int(r["d"] or 0)
-        if d == 0:
-            continue
-        s0, s1, s2 = cum[i]
-        e0, e1, e2 = r["e0"], r["e1"], r["e2"]
-        ll += beta * r["ez"]
-        u += r["ez"]
-        if ties == "breslow" or d == 1:
-            f = np.zeros(1)
-            wmean = r["dw"]
-        else:
-            f = np.arange(d) / d
-            wmean = r["dw"] / d
-        den = s0 - f * e0
-        m1 = (s1 - f * e1) / den
-        m2 = (s2 - f * e2) / den
-        ll -= wmean * float(np.sum(np.log(den)))
-        u -= wmean * float(np.sum(m1))
-        info += wmean * float(np.sum(m2 - m1 * m1))
-    return ll, u, info
+def _efron(ties: str) -> tuple[Column, Column, Column]:
+    """Tie sums of a day with d events: sum over the d events, one after another taken
+    out of the risk set in part, of log(S0), S1/S0 and S2/S0 - (S1/S0)^2."""
+    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("u"), F.lit(0.0).alias("i"))
+    part = (lambda k: F.lit(0.0)) if ties == "breslow" else (lambda k: k / F.col("d"))
+
+    def add(s: Column, k: Column) -> Column:
+        f = part(k)
+        den = F.col("s0") - f * F.col("e0")
+        m1, m2 = (F.col("s1") - f * F.col("e1")) / den, (F.col("s2") - f * F.col("e2")) / den
+        return F.struct((s["l"] + F.log(den)).alias("l"), (s["u"] + m1).alias("u"), (s["i"] + m2 - m1 * m1).alias("i"))
+
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("d") - 1), start, add)
+    mean_weight = F.col("dw") / F.col("d")
+    return tuple(mean_weight * total[c] for c in ("l", "u", "i"))
+
+
+def _step(cells: DataFrame, beta: DataFrame, by: list[str], time: str, event: str, z: str, weight: str,
+          count: str, ties: str) -> DataFrame:
+    """Log-likelihood, score U and information I of each group at its ``_beta``: sums per
+    day, reverse running sums over the days of a group, tie sums, and one row a group."""
+    x = keyed_join(cells, beta, by)
+    ez = F.exp(F.col("_beta") * F.col(z))
+    w, zz, ev = F.col(weight), F.col(z), F.col(event) == 1
+    died = lambda c: F.sum(F.when(ev, c).otherwise(0.0))
+    days = x.groupBy(*by, "_beta", F.col(time).alias("_t")).agg(
+        F.sum(w * ez).alias("a0"), F.sum(w * zz * ez).alias("a1"), F.sum(w * zz * zz * ez).alias("a2"),
+        died(w * ez).alias("e0"), died(w * zz * ez).alias("e1"), died(w * zz * zz * ez).alias("e2"),
+        died(w).alias("dw"), F.sum(F.when(ev, F.col(count)).otherwise(0)).alias("d"), died(w * zz).alias("ez"))
+    later = Window.partitionBy(*by, "_beta").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    risk = days.select("*", *[F.sum(f"a{k}").over(later).alias(f"s{k}") for k in range(3)]).where("d > 0")
+    log_s, mean_z, var_z = _efron(ties)
+    return risk.groupBy(*by).agg(
+        F.sum(F.col("_beta") * F.col("ez") - log_s).alias("ll"), F.sum(F.col("ez") - mean_z).alias("u"),
+        F.sum(var_z).alias("info"))
 
 
 def cox1(cells: DataFrame, by: list[str], z: str = "z", time: str = "t", event: str = "e",
@@ -67,57 +74,43 @@ def cox1(cells: DataFrame, by: list[str], z: str = "z", time: str = "t", event:
          tol: float = 1e-10) -> DataFrame:
     """One-covariate Cox fit per group over pre-aggregated cells.
 
-    Returns (by..., coef, se, loglik, iterations)."""
+    Returns (by..., coef, se, loglik, iterations, converged).  A group without events or
+    without spread has a null coef; a fit that stops at ``max_iter`` has converged =
+    false and a null se.  Three numbers a group and iteration reach the driver."""
     spark = cells.sparkSession
     gkeys = [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
     beta = {g: 0.0 for g in gkeys}
-    last = {g: None for g in gkeys}
+    last: dict = {g: None for g in gkeys}
     done: dict = {}
-    it = 0
     schema = ", ".join([f"`{c}` {t}" for c, t in cells.select(*by).dtypes] + ["_beta double"])
-    for it in range(1, max_iter + 1):
+    it = 0
+    while it < max_iter and len(done) < len(gkeys):
+        it += 1
         active = [g for g in gkeys if g not in done]
-        if not active:
-            break
-        bt = spark.createDataFrame([(*g, float(beta[g])) for g in active], schema)
-        x = keyed_join(cells, bt, by, "inner", broadcast_right=True)
-        ez = F.exp(F.col("_beta") * F.col(z))
-        w, zz, ev = F.col(weight), F.col(z), F.col(event) == 1
-        sums = (x.groupBy(*by, time)
-                .agg(F.sum(w * ez).alias("a0"), F.sum(w * zz * ez).alias("a1"),
-                     F.sum(w * zz * zz * ez).alias("a2"),
-                     F.sum(F.when(ev, w * ez).otherwise(0.0)).alias("e0"),
-                     F.sum(F.when(ev, w * zz * ez).otherwise(0.0)).alias("e1"),
-                     F.sum(F.when(ev, w * zz * zz * ez).otherwise(0.0)).alias("e2"),
-                     F.sum(F.when(ev, w).otherwise(0.0)).alias("dw"),
-                     F.sum(F.when(ev, F.col(count)).otherwise(0)).alias("d"),
-                     F.sum(F.when(ev, w * zz).otherwise(0.0)).alias("ez"))
-                .withColumnRenamed(time, "t").collect())
-        per: dict = {}
-        for r in sums:
-            per.setdefault(tuple(r[c] for c in by), []).append(r)
+        now = spark.createDataFrame([(*g, float(beta[g])) for g in active], schema)
+        found = {tuple(r[c] for c in by): r
+                 for r in _step(cells, now, by, time, event, z, weight, count, ties).collect()}
         for g in active:
-            rows = per.get(g, [])
-            ll, u, info = _fit_group(rows, ties, beta[g])
-            if info <= 0 or not math.isfinite(info):
-                done[g] = (None, None, ll)
+            r = found.get(g)
+            if r is None or r["info"] is None or not r["info"] > 0 or not math.isfinite(r["info"]):
+                done[g] = (None, None, r and r["ll"], it, True)
                 continue
             prev = last[g]
-            if prev is not None and ll < prev[0] - 1e-12:
-                # step halving, as in survival's coxph
-                beta[g] = (beta[g] + prev[1]) / 2
+            if prev is not None and r["ll"] < prev[0] - 1e-9 * (1 + abs(prev[0])):
+                beta[g] = (beta[g] + prev[1]) / 2  # a step too far is halved
                 continue
-            step = u / info
-            last[g] = (ll, beta[g])
+            step = r["u"] / r["info"]
+            last[g] = (r["ll"], beta[g])
             if abs(step) < tol:
-                done[g] = (beta[g], 1.0 / math.sqrt(info), ll)
+                done[g] = (beta[g], 1.0 / math.sqrt(r["info"]), r["ll"], it, True)
                 continue
             beta[g] = beta[g] + step
     for g in gkeys:
         if g not in done:
-            done[g] = (beta[g], None, last[g][0] if last[g] else None)
-    out_schema = schema.replace("_beta double", "coef double, se double, loglik double, iterations int")
-    return spark.createDataFrame([(*g, *done[g], it) for g in gkeys], out_schema)
+            done[g] = (beta[g], None, last[g][0] if last[g] else None, it, False)
+    out_schema = schema.replace(
+        "_beta double", "coef double, se double, loglik double, iterations int, converged boolean")
+    return spark.createDataFrame([(*g, *done[g]) for g in gkeys], out_schema)
 
 
 def d_statistic(df: DataFrame, by: list[str], time: str = "t", event: str = "death_covid",
@@ -125,6 +118,7 @@ def d_statistic(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
                 ties: str = "efron") -> DataFrame:
     """V4: D (Cox coefficient on scaled rankits) and its standard error per group."""
     base = df.where(F.col(score).isNotNull() & F.col(time).isNotNull() & F.col(event).isNotNull())
+    base = materialize(base.select(*by, tiebreak, score, time, event, *([weight] if weight else [])))  # read twice
     z = rankits(base, by, score, tiebreak)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     c = (base.groupBy(*by, score, time, event)
@@ -133,4 +127,4 @@ def d_statistic(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
     c = materialize(c.groupBy(*by, "z", F.col(time).alias("t"), F.col(event).alias("e"))
                     .agg(F.sum("W").alias("W"), F.sum("N").alias("N")))
     fit = cox1(c, by)
-    return fit.select(*by, F.col("coef").alias("d_stat"), F.col("se").alias("d_se"))
+    return fit.select(*by, F.col("coef").alias("d_stat"), F.col("se").alias("d_se"), "converged")

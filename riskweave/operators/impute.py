@@ -2,7 +2,7 @@
 
 Stage 1 fills a missing value from the mean of its (label, sex) group when the
 label is known; stage 2 predicts the rest with an OLS model per sex.  Group
-means are a (labels x sexes) table, broadcast after a size check; the OLS fit
+means are a (labels x sexes) table in an ordinary join; the OLS fit
 is Spark ML's normal-equation solver (one distributed pass to aggregate X'X and
 X'y, a tiny solve on the driver).  Predicting on the rows that need it and
 coalescing replaces the study's split/predict/union dance.
@@ -20,11 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.recode import poly_terms, sentinel_to_null
 from ..session import materialize
-from ..sources.tables import small_frame
 from .sampling import hash_split
 
-MAX_GROUPS = 10_000
-
 
 def group_means(df: DataFrame, value: str, keys: Sequence[str], out: str = "prediction_mm") -> DataFrame:
     """A5: mean of ``value`` per group over rows where value and keys are known."""
@@ -38,8 +35,7 @@ def impute_group_mean(df: DataFrame, value: str, label: str, keys: Sequence[str]
                       means: DataFrame | None = None, flag: str | None = None) -> DataFrame:
     """Fill a missing value with its group mean, only when the label is known."""
     m = means if means is not None else group_means(df, value, keys)
-    small, ok = small_frame(m, MAX_GROUPS)
-    x = df.join(F.broadcast(small) if ok else small, list(keys), "left")
+    x = df.join(m, list(keys), "left")
     fill = F.col(value).isNull() & F.col(label).isNotNull()
     if flag:
         x = x.withColumn(flag, F.when(F.col(value).isNotNull(), 0)
@@ -67,17 +63,12 @@ def predict(df: DataFrame, fitted, out: str) -> DataFrame:
 
 
 def ols_coefficients(df: DataFrame, value: str, covariate: str, group: str) -> DataFrame:
-    """L4 (one covariate): intercept and slope per group from Spark ML OLS."""
-    spark = df.sparkSession
-    rows = []
-    levels = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().collect()]
-    for g in sorted(levels):
-        sub = df.where((F.col(group) == g) & F.col(value).isNotNull() & F.col(covariate).isNotNull())
-        rfm, model = fit_ols(sub.select(value, covariate), f"{value} ~ {covariate}")
-        rows.append((g, float(model.intercept), float(model.coefficients[0]),
-                     int(model.summary.numInstances)))
-    gtype = dict(df.dtypes)[group]
-    return spark.createDataFrame(rows, f"{group} {gtype}, intercept double, slope double, n long")
+    """L4 (one covariate): intercept, slope, n and R^2 per group, in one aggregation.
+    A group without spread in the covariate has a null intercept and slope."""
+    y, x = F.col(value).cast("double"), F.col(covariate).cast("double")
+    return (df.where(F.col(group).isNotNull() & y.isNotNull() & x.isNotNull()).groupBy(group)
+            .agg(F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"),
+                 F.regr_count(y, x).cast("long").alias("n"), F.regr_r2(y, x).alias("r2")))
 
 
 def impute_by_model(df: DataFrame, value: str, group: str, formula: str, feature_df_cols: Sequence[str],
@@ -135,11 +126,8 @@ def imputer_mse(df: DataFrame, id_col: str, value: str, label: str, group: str,
     train, test = x.where(F.col("split") == "training"), x.where(F.col("split") == "test")
     means = group_means(train, value, [label, group])
     coefs = ols_coefficients(train, value, covariate, group)
-    means, ok = small_frame(means, MAX_GROUPS)
-    t = test.join(F.broadcast(means) if ok else means, [label, group], "left")
-    # coefs is a local relation with one row per group (bounded by construction)
-    t = t.join(F.broadcast(coefs.drop("n")), group, "left")
-    pred_lm = F.coalesce(F.col("intercept") + F.col("slope") * F.col(covariate))
+    t = test.join(means, [label, group], "left").join(coefs.drop("n", "r2"), group, "left")
+    pred_lm = F.col("intercept") + F.col("slope") * F.col(covariate)
     return t.agg(F.avg(F.pow(F.col(value) - pred_lm, 2)).alias("mse_lm"),
                  F.avg(F.pow(F.col(value) - F.col("prediction_mm"), 2)).alias("mse_mm"),
                  F.count(F.lit(1)).alias("n_test"))

@@ -18,11 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recode import either_source, present, recode_map
-from ..sources.tables import small_frame
 from .common import attach_row
 
-SMALL_TABLE_ROWS = 1_000_000
-
 
 def dedupe_max(df: DataFrame, key: str, cols: Sequence[str] | None = None,
                numeric: bool = True) -> DataFrame:
@@ -59,17 +56,26 @@ def link_all(spine: DataFrame, sources: Sequence[tuple[DataFrame, Iterable[str]]
 def translate_id(source: DataFrame, lookup: DataFrame, source_key: str, lookup_from: str,
                  lookup_to: str) -> DataFrame:
     """Replace a source's key by the study id through a lookup; untranslatable
-    rows (null id) are dropped, never grouped into one null key."""
-    lk = lookup.select(F.col(lookup_from).alias(source_key), lookup_to).where(F.col(source_key).isNotNull())
+    rows (null id) are dropped, never grouped into one null key.  Repeated rows of the
+    lookup count once; a key that leads to several ids gives a row for each of them."""
+    lk = (lookup.select(F.col(lookup_from).alias(source_key), lookup_to)
+          .where(F.col(source_key).isNotNull()).distinct())
     return (source.join(lk, source_key, "left").where(F.col(lookup_to).isNotNull())
                   .drop(source_key))
 
 
-def attach_reference(df: DataFrame, ref: DataFrame, key: str | Sequence[str],
-                     max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Left join to a reference table, broadcast only after checking its size."""
-    small, ok = small_frame(ref, max_rows)
-    return df.join(F.broadcast(small) if ok else small, key, "left")
+def attach_reference(df: DataFrame, ref: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Left join to a reference table.  Whether it is broadcast is left to the
+    planner, which compares its size in bytes with the session's limit at run time."""
+    return df.join(ref, key, "left")
+
+
+def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on all common columns."""
+    common = [c for c in left.columns if c in right.columns]
+    if not common:
+        raise ValueError("no common columns")
+    return left.join(right, common, how)
 
 
 def link_flag(spine: DataFrame, lookup: DataFrame, key: str, present_col: str, out: str) -> DataFrame:

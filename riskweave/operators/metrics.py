@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.stats import Z975, r2_from_d
+from ..session import materialize
 from .common import null_safe_join
-from .concordance import concordance
+from .concordance import cells, concordance, concordance_of_cells
 from .cox import d_statistic
 
 DEFAULT_STRATA = (("age", "age_group"), ("ethnicity", "grp"), ("Townsend", "quint"))
@@ -43,28 +44,47 @@ def brier(df: DataFrame, by: list[str], score: str = "score", event: str = "deat
     return base.groupBy(*by).agg(val.alias("brier"))
 
 
-def concordance_ci(df: DataFrame, by: list[str], time: str = "t", event: str = "death_covid",
-                   score: str = "score", weight: str | None = None) -> DataFrame:
-    """V3 + V7: concordance of ``100 - score`` with its normal 95% limits."""
-    pred = df.withColumn("_r", F.lit(100.0) - F.col(score))
-    c = concordance(pred, by, time, event, "_r", weight)
+def _limits(c: DataFrame, by: list[str]) -> DataFrame:
     sd = F.sqrt(F.col("conc_var"))
     return c.select(*by, "n", "events", "con", "dis", "tied", "conc",
                     (F.col("conc") - Z975 * sd).alias("conc_lci"),
                     (F.col("conc") + Z975 * sd).alias("conc_uci"))
 
 
+def concordance_ci(df: DataFrame, by: list[str], time: str = "t", event: str = "death_covid",
+                   score: str = "score", weight: str | None = None) -> DataFrame:
+    """V3 + V7: concordance of ``100 - score`` with its normal 95% limits."""
+    pred = df.withColumn("_r", F.lit(100.0) - F.col(score))
+    return _limits(concordance(pred, by, time, event, "_r", weight), by)
+
+
 def metrics_table(df: DataFrame, by: list[str], strata=DEFAULT_STRATA, with_d: bool = False,
                   weight: str | None = None, time: str = "t", event: str = "death_covid",
                   score: str = "score", tiebreak: str = "person_id") -> DataFrame:
-    """V8/V9: metrics per group and stratum (``x``, ``var``)."""
-    x = explode_strata(df, strata) if strata is not None else \
-        df.withColumn("x", F.lit("all")).withColumn("var", F.lit("all"))
+    """V8/V9: metrics per group and stratum (``x``, ``var``).
+
+    Rows are aggregated by all stratum columns at once before they are listed under
+    each stratum, so concordance and Brier score never multiply person rows."""
+    strata = list(strata or ())
+    columns = list(dict.fromkeys(c for _, c in strata))
+    extra = [c for c in [weight, *([tiebreak] if with_d else [])] if c]
+    df = materialize(df.select(*dict.fromkeys([*by, *columns, time, event, score, *extra])))
     keys = [*by, "x", "var"]
-    out = concordance_ci(x, keys, time, event, score, weight)
-    out = null_safe_join(out, brier(x, keys, score, event), keys, "left")
+
+    def listed(sums: DataFrame, more: list[str], values: list[str]) -> DataFrame:
+        return (explode_strata(sums, strata).groupBy(*keys, *more)
+                .agg(*[F.sum(v).alias(v) for v in values]))
+
+    pred = df.withColumn("_r", F.lit(100.0) - F.col(score))
+    cells_ = cells(pred, [*by, *columns], time, event, "_r", weight)
+    out = _limits(concordance_of_cells(listed(cells_, ["r", "k"], ["W", "W2", "N"]), keys), keys)
+    err = F.pow(F.col(score) / 100.0 - F.col(event), 2)
+    sums = (df.where(F.col(score).isNotNull() & F.col(event).isNotNull()).groupBy(*by, *columns)
+            .agg(F.sum(err).alias("_err"), F.count(F.lit(1)).alias("_rows")))
+    sums = listed(sums, [], ["_err", "_rows"]).withColumn("brier", F.col("_err") / F.col("_rows")).drop("_err", "_rows")
+    out = null_safe_join(out, sums, keys, "left")
     if with_d:
-        d = d_statistic(x, keys, time, event, score, weight, tiebreak)
+        d = d_statistic(explode_strata(df, strata), keys, time, event, score, weight, tiebreak)
         lo = F.col("d_stat") - Z975 * F.col("d_se")
         hi = F.col("d_stat") + Z975 * F.col("d_se")
         d = d.select(*keys, "d_stat", lo.alias("d_lci"), hi.alias("d_uci"),

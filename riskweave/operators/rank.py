@@ -2,107 +2,55 @@
 
 ``F.ntile().over(Window.partitionBy("sex","period").orderBy(...))`` sends each
 group to one task: with four groups and a national cohort that is four tasks
-holding everything.  Here the order column is cut into value ranges from
-approximate quantiles (only the split points reach the driver), equal values
-share a range, and a value that alone fills more than one range (a hot tie) is
-further cut by the tie-break column.  Row numbers are computed inside each
-(group, range) partition and shifted by the exact count of rows in earlier
-ranges, so the rank is exact while every window partition stays small.
+holding everything.  Here the rows are range-partitioned by (group, order key,
+tie-break), as a global sort would do, so any key type works, split points are
+those of each group, and a hot tie is cut by its tie-break.  The number of ranges
+follows the number of rows and has no cap.  Row numbers are computed inside each
+(range, group) and shifted by the counts of the group's earlier ranges, a table
+with about one row per range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
-from ..sources.tables import small_frame
+from ..session import materialize, shuffle_partitions
 from .common import null_safe_join
 
-MAX_OFFSET_ROWS = 2_000_000     # bound for the broadcast (group x range) count table
-MAX_BUCKETS = 512               # size of the literal split tree
-
-
-def _tree(x: Column, splits: list[float]) -> Column:
-    """Number of split points strictly below ``x`` (balanced if-tree, O(log n) per row)."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x > F.lit(splits[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-    return build(0, len(splits))
-
-
-ROWS_PER_BUCKET = 250_000      # target rows per (group, range) window partition
-
-
-def default_buckets(df: DataFrame, n_rows: int | None = None) -> int:
-    """Number of value ranges: enough for ~ROWS_PER_BUCKET rows each (so a window
-    partition stays small at any scale), at least 8, at most MAX_BUCKETS and
-    not more than twice the shuffle parallelism."""
-    n_rows = df.count() if n_rows is None else n_rows
-    by_size = n_rows // ROWS_PER_BUCKET + 1
-    return max(8, min(MAX_BUCKETS, by_size, 2 * shuffle_partitions(df.sparkSession)))
-
-
-def range_buckets(df: DataFrame, order: str, tiebreak: str | None, n_buckets: int | None = None,
-                  rel_err: float = 0.001) -> tuple[Column, Column]:
-    """Bucket expressions (value range, tie sub-range) whose lexicographic order
-    follows (order, tiebreak).  Runs one or two bounded summary jobs."""
-    n_buckets = n_buckets or default_buckets(df)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    raw = [s for s in df.approxQuantile(order, probs, rel_err) if s is not None]
-    uniq = sorted(set(raw))
-    heavy = sorted({v for v in uniq if raw.count(v) >= 2})
-    x = F.col(order)
-    sb = F.coalesce(_tree(x, uniq), F.lit(0)) * 2
-    if not heavy or tiebreak is None:
-        return sb, F.lit(0)
-    sb = sb + x.isin(*heavy).cast("int")
-    n_sub = min(n_buckets, 2 * max(raw.count(v) for v in heavy) + 1)
-    sub_probs = [i / n_sub for i in range(1, n_sub)]
-    rows = (df.where(x.isin(*heavy)).groupBy(order)
-            .agg(F.percentile_approx(F.col(tiebreak), F.array(*[F.lit(q) for q in sub_probs]),
-                                     10000).alias("s"))
-            .collect())
-    pb = None
-    for r in rows:
-        vals = r["s"] if isinstance(r["s"], (list, tuple)) else [r["s"]]
-        subs = sorted(set(float(v) for v in vals if v is not None))
-        branch = _tree(F.col(tiebreak), subs)
-        pb = F.when(x == F.lit(r[order]), branch) if pb is None else pb.when(x == F.lit(r[order]), branch)
-    pb = F.when(x.isin(*heavy), pb).otherwise(F.lit(0)) if pb is not None else F.lit(0)
-    return sb, pb
+ROWS_PER_RANGE = 250_000       # target rows per window partition
+
+
+def ranges(df: DataFrame, keys: list, out: str = "_range", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Range-partition by ``keys`` and keep the number of each row's range in ``out``.
+
+    The result is written once: the split points are sampled, so the numbers must not
+    be computed twice.  Ranges are in key order; rows with equal keys share one."""
+    n = max(shuffle_partitions(df.sparkSession), df.count() // rows_per_range + 1)
+    return materialize(df.repartitionByRange(n, *keys).withColumn(out, F.spark_partition_id()))
 
 
 def global_rank(df: DataFrame, by: list[str], order: str, tiebreak: str | None = None,
-                rank_col: str = "rank", size_col: str = "n_group",
-                n_buckets: int | None = None) -> DataFrame:
-    """Exact 1-based rank of each row within ``by`` ordered by (order, tiebreak),
-    plus the group size.  Rows with a null ``order`` are not ranked (dropped);
-    callers union them back where the semantics need it."""
+                rank_col: str = "rank", size_col: str = "n_group", keep_nulls: bool = False,
+                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Exact 1-based rank of each row within ``by`` ordered by (order, tiebreak), plus
+    the group size.  Rows with a null ``order`` are ranked last if ``keep_nulls`` is
+    set and dropped otherwise; a null tie-break comes last among its ties."""
     by = list(by)
-    src = df.where(F.col(order).isNotNull())
-    sb, pb = range_buckets(src, order, tiebreak, n_buckets)
-    b = src.withColumn("_sb", sb).withColumn("_pb", pb)
-    counts = b.groupBy(*by, "_sb", "_pb").agg(F.count(F.lit(1)).alias("_c"))
-    counts, small = small_frame(counts, MAX_OFFSET_ROWS)
-    w_ord = Window.partitionBy(*by).orderBy("_sb", "_pb") if by else Window.orderBy("_sb", "_pb")
-    w_all = Window.partitionBy(*by) if by else Window.partitionBy()
-    offsets = counts.select(
-        *by, "_sb", "_pb",
-        F.coalesce(F.sum("_c").over(w_ord.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_c").over(w_all).alias(size_col))
-    keys = by + ["_sb", "_pb"]
-    joined = null_safe_join(b, offsets, keys, "inner", broadcast_right=small)
-    order_cols = [F.col(order)] + ([F.col(tiebreak)] if tiebreak else [])
-    w_local = Window.partitionBy(*by, "_sb", "_pb").orderBy(*order_cols)
-    return (joined.withColumn(rank_col, F.col("_off") + F.row_number().over(w_local))
-            .drop("_sb", "_pb", "_off"))
-
-
-def ntile_from_rank(rank: str, size: str, k: int) -> Column:
+    src = materialize(df if keep_nulls else df.where(F.col(order).isNotNull()))
+    sort = [F.col(c).asc_nulls_last() for c in [order, *([tiebreak] if tiebreak else [])]]
+    placed = ranges(src, [*[F.col(c).asc() for c in by], *sort], "_range", rows_per_range)
+    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_c").over(whole).alias(size_col))
+    joined = null_safe_join(placed, offsets, [*by, "_range"])
+    here = Window.partitionBy(*by, "_range").orderBy(*sort)
+    return joined.withColumn(rank_col, F.col("_off") + F.row_number().over(here)).drop("_range", "_off")
+
+
+def ntile_from_rank(rank: str, size: str, k: int):
     """NTILE arithmetic: n rows, k tiles; the first n mod k tiles hold one extra row."""
     return F.expr(
         f"""CASE WHEN {rank} <= ({size} % {k}) * ({size} div {k} + 1)
@@ -112,13 +60,13 @@ def ntile_from_rank(rank: str, size: str, k: int) -> Column:
 
 
 def scalable_ntile(df: DataFrame, by: list[str], order: str, tiebreak: str, k: int,
-                   out: str = "q", keep_nulls: bool = True) -> DataFrame:
+                   out: str = "q", keep_nulls: bool = True, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """NTILE(k) within ``by`` ordered by (order, tiebreak), exact and skew-safe.
 
     Rows with a null ``order`` get a null tile (R ``ntile`` semantics) instead of
     being mixed into the first tile as SQL NTILE would do.
     """
-    ranked = global_rank(df, by, order, tiebreak, "_rank", "_n")
+    ranked = global_rank(df, by, order, tiebreak, "_rank", "_n", rows_per_range=rows_per_range)
     tiled = ranked.withColumn(out, ntile_from_rank("_rank", "_n", k)).drop("_rank", "_n")
     if not keep_nulls:
         return tiled
@@ -127,7 +75,8 @@ def scalable_ntile(df: DataFrame, by: list[str], order: str, tiebreak: str, k: i
 
 
 def global_row_number(df: DataFrame, order_by: list[str], out: str = "row") -> DataFrame:
-    """A 1-based row number over the whole frame without a single-partition sort."""
+    """A 1-based row number over the whole frame without a single-partition sort.
+    Every row is numbered; null keys come last."""
     order = order_by[0]
     tiebreak = order_by[1] if len(order_by) > 1 else None
-    return global_rank(df, [], order, tiebreak, out, "_n").drop("_n")
+    return global_rank(df, [], order, tiebreak, out, "_n", keep_nulls=True).drop("_n")

@@ -55,9 +55,7 @@ def _cohort(spark, sf_dir) -> DataFrame:
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    # The scored frame feeds several passes (split points, counts, ranks):
-    # checkpoint it once so the cohort joins are not recomputed per pass.
-    return materialize(study.scored(_t(spark, sf_dir)))
+    return study.scored(_t(spark, sf_dir))
 
 
 def _eth_code() -> F.Column:
@@ -82,6 +80,13 @@ def q_csv_roundtrip(spark, sf_dir):
     return rounded(tb.read_csv(spark, path, df.schema, sep="|"))
 
 
+def q_csv_row_number(spark, sf_dir):
+    # one row in seven has no order key; all of them are numbered and written
+    df = _cohort(spark, sf_dir).select("person_id", "bmi")
+    path = tb.write_csv(df, scratch_path(spark, "csv"), row_number_col="row", order_by=["bmi", "person_id"])
+    return rounded(tb.read_csv(spark, path, T.StructType([*df.schema.fields, T.StructField("row", T.LongType())])))
+
+
 def q_table_roundtrip(spark, sf_dir):
     df = study.linked(_t(spark, sf_dir)).select("person_id", "death_covid", "t", "death_date")
     return tb.save_table(df, f"rw_linked_{uuid.uuid4().hex[:8]}")
@@ -191,6 +196,10 @@ def q_flags(spark, sf_dir):
                     recode.flag(F.col("bmi_cat") == "OBESE").alias("obese_label"))
 
 
+def q_collapse(spark, sf_dir):
+    return _cohort(spark, sf_dir).select("person_id", recode.collapse(F.col("n_rec"), 1, 2).alias("n_rec"))
+
+
 def q_fill_zero(spark, sf_dir):
     return _cohort(spark, sf_dir).fillna(0, subset=["flag_a", "flag_b", "n_rec"]).select(
         "person_id", "flag_a", "flag_b", "n_rec")
@@ -222,8 +231,7 @@ def q_recensor_periods(spark, sf_dir):
 def q_one_hot(spark, sf_dir):
     c = _cohort(spark, sf_dir)
     cols = {}
-    for col in ("grp", "quint", "region"):
-        levels = sorted(r[0] for r in c.select(col).distinct().where(F.col(col).isNotNull()).collect())
+    for col, levels in fx.LEVELS.items():
         cols.update(recode.dummies(col, levels))
     return c.select("person_id", *[v.alias(k) for k, v in cols.items()])
 
@@ -302,6 +310,17 @@ def q_link_keep_null(spark, sf_dir):
     return rounded(lk.link(spine, src, "person_id"))
 
 
+def q_natural_join(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    outcome = study.linked(t).select("person_id", "sex", "death_covid")
+    return lk.natural_join(fx.cohort(t).select("person_id", "sex", "age"), outcome)
+
+
+def q_join_suffix(spark, sf_dir):
+    c = _cohort(spark, sf_dir).select("person_id", "age", "bmi")
+    return rounded(lk.join_suffix(c, co.override(c, {"age": 50, "bmi": 25.0}), "person_id"))
+
+
 def q_link_flag(spark, sf_dir):
     t = _t(spark, sf_dir)
     lookup = t.lineitem.select(F.col("l_orderkey").alias("person_id"),
@@ -381,22 +400,16 @@ def q_impute_group_mean(spark, sf_dir):
 def q_split_union(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).select("person_id", "sex", "bmi")
     means = im.group_means(x, "bmi", ["sex"], "mean_bmi")
-    nulls, known = co.split_null(x, "bmi")
-    filled = (lk.attach_reference(nulls, means, "sex")
-              .withColumn("bmi", F.col("mean_bmi")).drop("mean_bmi").withColumn("imputed", F.lit(1)))
-    return rounded(known.withColumn("imputed", F.lit(0)).unionByName(filled))
+    filled = lk.attach_reference(x, means, "sex")
+    return rounded(filled.select("person_id", "sex", F.coalesce("bmi", "mean_bmi").alias("bmi"),
+                                 F.col("bmi").isNull().cast("int").alias("imputed")))
 
 
 def q_coalesce_pred(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).select("person_id", "sex", "bmi")
-    means = im.group_means(x, "bmi", ["sex"], "m")
-    pm = lk.attach_reference(x.where(F.col("sex") == 1), means, "sex").select(
-        "person_id", F.col("m").alias("prediction_lm_male"))
-    pf = lk.attach_reference(x.where(F.col("sex") == 0), means, "sex").select(
-        "person_id", F.col("m").alias("prediction_lm_female"))
-    out = x.select("person_id").join(pm, "person_id", "left").join(pf, "person_id", "left")
-    return rounded(out.select("person_id", F.coalesce("prediction_lm_male", "prediction_lm_female")
-                              .alias("prediction_lm")))
+    x = lk.attach_reference(x, im.group_means(x, "bmi", ["sex"], "m"), "sex")
+    male, female = (F.when(F.col("sex") == s, F.col("m")) for s in (1, 0))
+    return rounded(x.select("person_id", F.coalesce(male, female).alias("prediction_lm")))
 
 
 def q_imputer_mse(spark, sf_dir):
@@ -405,7 +418,7 @@ def q_imputer_mse(spark, sf_dir):
 
 def q_ols_fit(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).where(F.col("bmi").isNotNull())
-    return rounded(im.ols_coefficients(x, "bmi", "age", "sex"))
+    return rounded(im.ols_coefficients(x, "bmi", "age", "sex").drop("r2"))
 
 
 def q_impute_audit(spark, sf_dir):
@@ -450,7 +463,7 @@ def q_risk_score(spark, sf_dir):
 
 
 def _rel(spark, sf_dir) -> DataFrame:
-    return sc.relative_risk(study.scored(_t(spark, sf_dir)), {"n_rec": 0, "flag_a": 0})
+    return sc.relative_risk(study.scored(_t(spark, sf_dir)), {"n_rec": 0, "flag_a": 0}, digits=study.SCORE_DIGITS)
 
 
 def q_relative_risk(spark, sf_dir):
@@ -491,12 +504,12 @@ def q_calibration_long(spark, sf_dir):
 
 
 def q_top_centiles_rel(spark, sf_dir):
-    rel = materialize(_rel(spark, sf_dir))
+    rel = _rel(spark, sf_dir)
     return rounded(qt.top_centiles(rel, BY, 100, 75, score="relative_risk"))
 
 
 def q_calibration_rel(spark, sf_dir):
-    rel = materialize(_rel(spark, sf_dir))
+    rel = _rel(spark, sf_dir)
     return rounded(qt.calibration_long(rel, BY, 20, score="relative_risk"))
 
 

@@ -191,6 +191,12 @@ SELECT person_id, CAST(CASE WHEN c <= 2 THEN c WHEN c IN (3, 4) THEN 3 WHEN c BE
             ("quint", "MACHINERY", "machinery"), ("region", "AFRICA", "africa"), ("region", "AMERICA", "america"),
             ("region", "ASIA", "asia"), ("region", "EUROPE", "europe"), ("region", "MIDDLE EAST", "middle_east")])
         + " FROM cohort"),
+    "csv_row_number": with_cohort("SELECT person_id, round(bmi, 6) AS bmi,"
+                                  " row_number() OVER (ORDER BY bmi NULLS LAST, person_id) AS row FROM cohort"),
+    "natural_join": with_cohort("SELECT person_id, sex, age, death_covid FROM linked"),
+    "join_suffix": with_cohort("SELECT person_id, age AS age_x, round(bmi, 6) AS bmi_x, 50 AS age_y,"
+                               " CAST(25 AS DOUBLE) AS bmi_y FROM cohort"),
+    "collapse": with_cohort("SELECT person_id, CASE WHEN n_rec = 1 THEN 2 ELSE n_rec END AS n_rec FROM cohort"),
     "poly_terms": with_cohort("SELECT person_id, round(CAST(age AS DOUBLE) * age, 6) AS age2,"
                               " round(CAST(age AS DOUBLE) * age * age, 6) AS age3 FROM cohort"),
     "n_pct_label": with_cohort(

@@ -30,12 +30,16 @@ def periods(t: fx.Tables) -> DataFrame:
     return co.recensor(linked(t), fx.PERIODS)
 
 
+# Scores are compared with another engine's, which differ in the last bits of exp and pow.
+SCORE_DIGITS = 9
+
+
 def scored(t: fx.Tables, linked_only: bool = True) -> DataFrame:
     """Scores per person and period (the study's ``*_death_scores_p*`` tables)."""
     df = periods(t)
     if linked_only:
         df = df.where(F.col("linked") == 1)
-    df = sc.risk_score(df)
+    df = sc.risk_score(df, digits=SCORE_DIGITS)
     return df.select("person_id", "sex", "period", "t", "death_covid", "age", "a", "score",
                      "linked", "supplier_x", "grp", "quint", "region",
                      recode.age_interval(F.col("age")).alias("age_group"))

@@ -33,8 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that is read
-    from the session.  Only when it is unset (local tests) is a private folder
-    created, because a machine-local folder is useless on a cluster.
+    from the session.  Only a ``local`` master without it gets a private folder;
+    on a cluster a machine-local folder is useless, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="riskweave-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -54,9 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as parquet under the shared folder and read it back.
+
+    The files survive lost executors, and later readers get column pruning and
+    file statistics."""
+    path = scratch_path(df.sparkSession, "snapshot")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -15,9 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table, small_frame
-
-REFERENCE_ROWS = 100_000
+from .tables import read_table
 
 # Fixed values of the fixture study (FIXTURES.md section 3).
 STUDY_START = dt.date(1998, 1, 1)
@@ -25,6 +23,11 @@ STUDY_END = dt.date(1998, 7, 6)
 PERIODS = ((1, dt.date(1998, 1, 1), dt.date(1998, 4, 8)),
            (2, dt.date(1998, 4, 9), dt.date(1998, 7, 6)))
 
+#: The categories of the fixture's coded columns, as a study's code book lists them.
+LEVELS = {"grp": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
+          "quint": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
+          "region": ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
+
 
 def ts(d: dt.date):
     """A ``timestamp_ntz`` literal for comparisons against the raw date columns."""
@@ -71,12 +74,9 @@ def spine(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     n = t.nation.select("n_nationkey", "n_regionkey")
     r = t.region.select("r_regionkey", "r_name")
-    # nation/region are reference tables: broadcast once their size is checked.
-    n, n_small = small_frame(n, REFERENCE_ROWS)
-    r, r_small = small_frame(r, REFERENCE_ROWS)
     return (o.join(c, o.o_custkey == c.c_custkey, "left")
-            .join(F.broadcast(n) if n_small else n, F.col("c_nationkey") == n.n_nationkey, "left")
-            .join(F.broadcast(r) if r_small else r, F.col("n_regionkey") == r.r_regionkey, "left"))
+            .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
+            .join(r, F.col("n_regionkey") == r.r_regionkey, "left"))
 
 
 def bmi_expr() -> tuple:

@@ -26,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", row_number_col: str | None = None,
               order_by: list[str] | None = None) -> str:
-    """CSV sink.  ``row_number_col`` adds R's ``write.csv`` row index.
+    """CSV sink.  ``row_number_col`` adds a row index (every row is kept).
 
     Files are written in parallel by every task; nothing goes through the driver.
     """
@@ -54,6 +54,13 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     return spark.table(name)
 
 
+def use_database(spark: SparkSession, name: str) -> str:
+    """Make ``name`` the current database and return the one before."""
+    before = spark.catalog.currentDatabase()
+    spark.catalog.setCurrentDatabase(name)
+    return before
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     """Persist an intermediate result as parquet and read it back."""
     spark = df.sparkSession
@@ -80,18 +87,3 @@ def preview(df: DataFrame, key: list[str] | str, n: int = 10) -> DataFrame:
     """First ``n`` rows by a key (top-k; an unordered head is nondeterministic)."""
     keys = [key] if isinstance(key, str) else list(key)
     return df.orderBy(*keys).limit(n)
-
-
-def small_frame(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Size-checked broadcast helper.
-
-    Runs ``df`` once and, if it has at most ``max_rows`` rows, returns it as a
-    local relation (so it can be broadcast with a proven bound) and ``True``.
-    Otherwise returns ``df`` checkpointed and ``False`` so the caller uses a
-    shuffled join instead.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema), True
-    from ..session import materialize
-    return materialize(df), False

@@ -33,6 +33,7 @@ def test_filter_and_columns_pushed_to_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
 
 
-def test_cohort_reference_tables_broadcast(spark):
-    plan = _plan(fx.cohort(study.tables(spark, SF0001)))
-    assert plan.count("BroadcastHashJoin") + plan.count("BroadcastExchange") >= 2
+def test_describe_all_scans_once(spark):
+    from riskweave.plans import catalog
+    plan = _plan(catalog.q_describe_all(spark, SF0001))
+    assert plan.count("lineitem.parquet") == 1

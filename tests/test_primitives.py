@@ -85,7 +85,7 @@ def test_concordance_brute_force_weighted(spark):
     rows = [(i % 2, random.randint(0, 20), int(random.random() < 0.3), float(random.randint(0, 25)),
              random.choice([1.0, 2.0, 0.5])) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, t int, e int, r double, w double")
-    res = {r.g: r for r in concordance(df, ["g"], "t", "e", "r", "w", n_buckets=5).collect()}
+    res = {r.g: r for r in concordance(df, ["g"], "t", "e", "r", "w", rows_per_range=20).collect()}
     for g in (0, 1):
         con, dis, tie, c, var = _brute_conc([(t, e, r, w) for gg, t, e, r, w in rows if gg == g])
         s = res[g]
@@ -180,16 +180,88 @@ def test_d_statistic_brute_force(spark):
         assert res[g].d_se == pytest.approx(se, abs=1e-7)
 
 
-def test_rank_fallback_without_broadcast(spark, monkeypatch):
-    """When the (group, range) count table exceeds its bound, ranks use a shuffled join."""
-    import riskweave.operators.rank as rk
-    from riskweave.sources.tables import small_frame
-    monkeypatch.setattr(rk, "MAX_OFFSET_ROWS", 1)
-    df = spark.createDataFrame([(i % 3, i, float(i % 11)) for i in range(600)], "g int, pid long, s double")
-    got = {r.pid: r.q for r in rk.scalable_ntile(df, ["g"], "s", "pid", 7).collect()}
-    for g in range(3):
-        grp = sorted((i % 11, i) for i in range(600) if i % 3 == g)
+def _check_ntile(spark, rows, schema, k, **kw):
+    df = spark.createDataFrame(rows, schema)
+    got = {r.pid: r.q for r in scalable_ntile(df, ["g"], "s", "pid", k, **kw).collect()}
+    for g in {r[0] for r in rows}:
+        grp = sorted((s, pid) for gg, pid, s in rows if gg == g)
         for rank, (_, pid) in enumerate(grp, 1):
-            assert got[pid] == _ntile_py(len(grp), 7, rank)
-    frame, ok = small_frame(df, 10)
-    assert ok is False and frame.count() == 600
+            assert got[pid] == _ntile_py(len(grp), k, rank)
+
+
+def test_ntile_string_ids_on_a_hot_tie(spark):
+    rows = [(0, str(i) if i % 3 else f"A{i}", 1.0) for i in range(2000)]
+    _check_ntile(spark, rows, "g int, pid string, s double", 20, rows_per_range=100)
+
+
+def test_ntile_value_hot_in_one_group_and_apart_ranges(spark):
+    rows = [(0, i, 7.0 if i % 2 else float(i)) for i in range(900)]
+    rows += [(1, 1000 + i, 1e6 + i % 50) for i in range(900)] + [(2, 2000 + i, i / 1e6) for i in range(40)]
+    _check_ntile(spark, rows, "g int, pid long, s double", 7, rows_per_range=60)
+
+
+def test_ntile_string_order_key(spark):
+    rows = [(i % 2, i, f"k{i * 37 % 101}") for i in range(500)]
+    _check_ntile(spark, rows, "g int, pid long, s string", 9, rows_per_range=50)
+
+
+def test_rank_plan_has_no_literal_tree(spark):
+    df = spark.createDataFrame([(i % 3, i, float(i % 11)) for i in range(600)], "g int, pid long, s double")
+    plan = scalable_ntile(df, ["g"], "s", "pid", 7)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN") <= 2 and "SinglePartition" not in plan
+
+
+def test_row_number_keeps_null_keys(spark):
+    from riskweave.operators.rank import global_row_number
+    df = spark.createDataFrame([(3, None), (1, 2.0), (2, 1.0), (4, None)], "pid long, s double")
+    assert {r.pid: r.row for r in global_row_number(df, ["s", "pid"]).collect()} == {2: 1, 1: 2, 3: 3, 4: 4}
+
+
+def test_concordance_fractional_and_negative_times(spark):
+    rows = [(0.2, 1, 1.0), (0.9, 1, 2.0), (1.5, 0, 3.0)]
+    df = spark.createDataFrame(rows, "t double, e int, r double").withColumn("g", F.lit(1))
+    res = concordance(df, ["g"], "t", "e", "r").first()
+    assert (res.con, res.dis, res.tied) == (3.0, 0.0, 0.0)
+    random.seed(5)
+    rows = [(random.randint(-9, 9), int(random.random() < 0.5), float(random.randint(0, 9)), 1.0) for _ in range(120)]
+    df = spark.createDataFrame(rows, "t int, e int, r double, w double").withColumn("g", F.lit(1))
+    res = concordance(df, ["g"], "t", "e", "r", "w").first()
+    con, dis, tie, c, var = _brute_conc(rows)
+    assert (res.con, res.dis, res.tied) == (con, dis, tie)
+    assert res.conc_var == pytest.approx(var, rel=1e-9)
+
+
+def test_cox_reports_what_did_not_converge(spark):
+    from riskweave.operators.cox import cox1
+    random.seed(9)
+    rows = [(random.random(), random.randint(0, 9), int(random.random() < 0.4), 1.0, 1) for _ in range(80)]
+    df = spark.createDataFrame(rows, "z double, t int, e int, W double, N int").withColumn("g", F.lit(1))
+    short, whole = cox1(df, ["g"], max_iter=1).first(), cox1(df, ["g"]).first()
+    assert short.converged is False and short.se is None
+    assert whole.converged is True and whole.se > 0
+
+
+def test_scratch_folder_needs_sharing_on_a_cluster():
+    from riskweave.session import ensure_checkpoint_dir
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    assert ensure_checkpoint_dir(Session("local[2]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(Session(master))
