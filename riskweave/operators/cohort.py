@@ -54,21 +54,43 @@ def split_null(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(col).isNull()), df.where(F.col(col).isNotNull())
 
 
+ALIVE = "Alive"
+
+
 def truncate_outcome(death: Column, end) -> Column:
-    """A death after the study end counts as alive at the end (1/0)."""
+    """C15, two states: a death after the study end counts as alive at the end (1/0)."""
     return F.when(death.isNotNull() & (death <= _d(end)), 1).otherwise(0)
 
 
+def truncate_cause(cause: Column, death: Column, end, alive: str = ALIVE) -> Column:
+    """C15, with causes: whoever dies after the study end is alive at the end; so is a
+    row without a cause.  A cause without a date is kept."""
+    return F.when(cause.isNull() | ((cause != alive) & (death > _d(end))), F.lit(alive)).otherwise(cause)
+
+
 def followup_days(death: Column, died: Column, start, end) -> Column:
     """Days to death, or to the administrative end when alive."""
     return F.when(died == 1, F.datediff(death, _d(start))).otherwise(F.datediff(_d(end), _d(start)))
 
 
 def add_outcome(df: DataFrame, start, end, death_col: str = "death_date",
-                event_col: str = "death_covid", time_col: str = "t") -> DataFrame:
-    """P5 (sequential): the follow-up time uses the truncated outcome."""
-    return (df.withColumn(event_col, truncate_outcome(F.col(death_col), end))
-              .withColumn(time_col, followup_days(F.col(death_col), F.col(event_col), start, end)))
+                event_col: str = "death_covid", time_col: str = "t", cause_col: str | None = None,
+                event_cause: str = "COVID", outcome_col: str = "outcome",
+                other_col: str = "death_other", alive: str = ALIVE) -> DataFrame:
+    """P5 (sequential): the follow-up time uses the truncated outcome.
+
+    With ``cause_col`` there are competing deaths: ``outcome_col`` is the truncated
+    cause, ``event_col`` and ``other_col`` flag a death of the study's cause and any
+    other, and a death of any cause ends the follow-up on its date."""
+    if cause_col is None:
+        return (df.withColumn(event_col, truncate_outcome(F.col(death_col), end))
+                  .withColumn(time_col, followup_days(F.col(death_col), F.col(event_col), start, end)))
+    out = df.withColumn(outcome_col, truncate_cause(F.col(cause_col), F.col(death_col), end, alive))
+    outcome = F.col(outcome_col)
+    died = (outcome != alive).cast("int")
+    return (out.withColumn(event_col, (outcome == event_cause).cast("int"))
+            .withColumn(other_col, ((outcome != alive) & (outcome != event_cause)).cast("int"))
+            .withColumn(time_col, followup_days(F.col(death_col), died, start, end)))
 
 
 def recensor(df: DataFrame, periods: Sequence[tuple], death_col: str = "death_date",

@@ -120,8 +120,8 @@ def q_drop_cols(spark, sf_dir):
 
 
 def q_derive_sequential(spark, sf_dir):
-    return co.add_outcome(_cohort(spark, sf_dir), fx.STUDY_START, fx.STUDY_END).select(
-        "person_id", "death_date", "death_covid", "t")
+    return study.linked_causes(_t(spark, sf_dir)).select(
+        "person_id", "death_date", "outcome", "death_covid", "death_other", "t")
 
 
 def q_override_constants(spark, sf_dir):
@@ -216,12 +216,13 @@ def q_safe_cast(spark, sf_dir):
 
 
 def q_followup_days(spark, sf_dir):
-    return study.linked(_t(spark, sf_dir)).select("person_id", "t")
+    return study.linked_causes(_t(spark, sf_dir)).select("person_id", "t")
 
 
 def q_truncate_outcome(spark, sf_dir):
-    c = _cohort(spark, sf_dir)
-    return c.select("person_id", co.truncate_outcome(F.col("death_date"), fx.STUDY_END).alias("death_covid"))
+    two_states = co.truncate_outcome(F.col("death_date"), fx.STUDY_END)
+    return study.linked_causes(_t(spark, sf_dir)).select(
+        "person_id", two_states.alias("died"), "outcome", "death_covid", "death_other")
 
 
 def q_recensor_periods(spark, sf_dir):

@@ -59,7 +59,19 @@ scored AS (
               WHEN age >= 40 AND age < 50 THEN '[40,50)' WHEN age >= 50 AND age < 60 THEN '[50,60)'
               WHEN age >= 60 AND age < 70 THEN '[60,70)' WHEN age >= 70 AND age < 80 THEN '[70,80)'
               WHEN age >= 80 AND age < 90 THEN '[80,90)' WHEN age >= 90 AND age < 101 THEN '[90,101)' END AS age_group
-  FROM scored0)
+  FROM scored0),
+first_death AS (
+  SELECT l_orderkey AS person_id, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_suppkey) AS place
+  FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1998-01-01'),
+causes0 AS (
+  SELECT c.person_id, c.death_date, CASE WHEN d.person_id IS NULL OR c.death_date > DATE '1998-07-06' THEN 'Alive'
+         WHEN d.l_suppkey % 4 = 0 THEN 'Not COVID' ELSE 'COVID' END AS outcome
+  FROM cohort c LEFT JOIN first_death d ON c.person_id = d.person_id AND d.place = 1),
+causes AS (
+  SELECT *, CASE WHEN outcome = 'COVID' THEN 1 ELSE 0 END AS death_covid,
+         CASE WHEN outcome = 'Not COVID' THEN 1 ELSE 0 END AS death_other,
+         CAST(date_diff('day', DATE '1998-01-01', CASE WHEN outcome <> 'Alive' THEN death_date ELSE DATE '1998-07-06' END) AS INTEGER) AS t
+  FROM causes0)
 """
 
 

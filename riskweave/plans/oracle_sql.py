@@ -143,7 +143,7 @@ ORACLE: dict[str, str] = {
     "rename_project": with_cohort("SELECT person_id AS census_person_id, household_id AS household,"
                                   " grp AS ethnicity_9, quint AS town_q, age FROM cohort"),
     "drop_cols": with_cohort("SELECT * EXCLUDE (bmi, bmi_cat, household_id) FROM cohort"),
-    "derive_sequential": with_cohort("SELECT person_id, death_date, death_covid, t FROM linked_t"),
+    "derive_sequential": with_cohort("SELECT person_id, death_date, outcome, death_covid, death_other, t FROM causes"),
     "override_constants": with_cohort("SELECT person_id, flag_a, 0 AS flag_b, 0 AS supplier_x FROM cohort"),
     "baseline_profile": with_cohort("SELECT person_id, age, death_covid, CAST(0 AS BIGINT) AS n_rec, 0 AS flag_a,"
                                     " 0 AS flag_b, CAST(25 AS DOUBLE) AS bmi FROM linked_t"),
@@ -179,8 +179,9 @@ SELECT person_id, CAST(CASE WHEN c <= 2 THEN c WHEN c IN (3, 4) THEN 3 WHEN c BE
     "sentinel_null": with_cohort("SELECT person_id, round(nullif(bmi, 0), 6) AS bmi FROM cohort"),
     "safe_cast": with_cohort(ETH + " SELECT person_id, TRY_CAST(substr(grp, 1, 1) AS INTEGER) AS grp_num,"
                              " TRY_CAST(eth_code AS INTEGER) AS eth_num FROM eth"),
-    "followup_days": with_cohort("SELECT person_id, t FROM linked_t"),
-    "truncate_outcome": with_cohort("SELECT person_id, death_covid FROM linked"),
+    "followup_days": with_cohort("SELECT person_id, t FROM causes"),
+    "truncate_outcome": with_cohort("SELECT person_id, l.death_covid AS died, outcome, c.death_covid, death_other"
+                                    " FROM causes c JOIN linked l USING (person_id)"),
     "recensor_periods": with_cohort("SELECT person_id, period, death_covid, t FROM pers_period"),
     "one_hot": with_cohort("SELECT person_id, " + ", ".join(
         f"CASE WHEN {col} = '{lv}' THEN 1 ELSE 0 END AS {col}_{slug}" for col, lv, slug in [

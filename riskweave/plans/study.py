@@ -25,6 +25,13 @@ def linked(t: fx.Tables) -> DataFrame:
     return co.add_outcome(fx.cohort(t), fx.STUDY_START, fx.STUDY_END)
 
 
+def linked_causes(t: fx.Tables) -> DataFrame:
+    """Fixture cohort with competing deaths: outcome, death_covid, death_other, t."""
+    known = fx.cohort(t).join(fx.death_causes(t.lineitem), "person_id", "left")
+    known = known.withColumn("death_cause", F.coalesce("death_cause", F.lit(co.ALIVE)))
+    return co.add_outcome(known, fx.STUDY_START, fx.STUDY_END, cause_col="death_cause")
+
+
 def periods(t: fx.Tables) -> DataFrame:
     """One row per person and study period with the re-censored (t, death_covid)."""
     return co.recensor(linked(t), fx.PERIODS)

@@ -112,6 +112,17 @@ def cohort(t: Tables) -> DataFrame:
                     bmi.alias("bmi"), bmi_cat.alias("bmi_cat")))
 
 
+def death_causes(lineitem: DataFrame) -> DataFrame:
+    """Cause of death per person who died: 'Not COVID' if the supplier key of the line
+    that gives the death date (the lowest line number of that time) is a multiple of 4."""
+    died = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= ts(STUDY_START))
+    first = F.min(F.struct("l_shipdate", "l_linenumber", "l_suppkey"))
+    return (lineitem.where(died & F.col("l_orderkey").isNotNull())
+            .groupBy(F.col("l_orderkey").alias("person_id")).agg(first.alias("_first"))
+            .select("person_id", F.when(F.col("_first.l_suppkey") % 4 == 0, "Not COVID").otherwise("COVID")
+                    .alias("death_cause")))
+
+
 def second_source(lineitem: DataFrame) -> DataFrame:
     """A second per-person clinical source (the GP-style flags): string-coded flags.
 

@@ -115,3 +115,26 @@ def test_ols_impute_fills_every_missing_bmi(spark):
     out = catalog.q_ols_impute(spark, SF0001)
     assert out.count() == 215 + 117                      # null + zero-sentinel BMI (FIXTURES)
     assert out.where(F.col("bmi").isNull()).count() == 0
+
+
+def test_competing_deaths(spark):
+    rows = [(1, "2020-02-03", "COVID"), (2, "2020-02-03", "Not COVID"), (3, "2020-06-01", "COVID"), (4, None, "Alive"), (5, None, None)]
+    df = spark.createDataFrame(rows, "id int, d string, cause string").withColumn("death_date", F.col("d").cast("date"))
+    out = co.add_outcome(df, "2020-01-24", "2020-04-30", cause_col="cause").collect()
+    got = {r.id: (r.outcome, r.death_covid, r.death_other, r.t) for r in out}
+    assert got == {1: ("COVID", 1, 0, 10), 2: ("Not COVID", 0, 1, 10), 3: ("Alive", 0, 0, 97),
+                   4: ("Alive", 0, 0, 97), 5: ("Alive", 0, 0, 97)}
+
+
+def test_natural_join_and_database(spark):
+    from riskweave.sources.tables import use_database
+    a = spark.createDataFrame([(1, "x", 5), (1, "y", 6)], "id int, k string, v int")
+    b = spark.createDataFrame([(1, "x", 9.0)], "id int, k string, w double")
+    assert sorted(tuple(r) for r in lk.natural_join(a, b).collect()) == [(1, "x", 5, 9.0), (1, "y", 6, None)]
+    assert use_database(spark, "default") == "default"
+
+
+def test_translate_id_with_a_repeated_lookup(spark):
+    src = spark.createDataFrame([("a", 1)], "nhs string, v int")
+    lookup = spark.createDataFrame([("a", 10), ("a", 10), ("b", 11)], "nhs string, pid int")
+    assert lk.translate_id(src, lookup, "nhs", "nhs", "pid").count() == 1
