@@ -85,6 +85,7 @@ def metrics_table(df: DataFrame, by: list[str], strata=DEFAULT_STRATA, with_d: b
     out = null_safe_join(out, sums, keys, "left")
     if with_d:
         d = d_statistic(explode_strata(df, strata), keys, time, event, score, weight, tiebreak)
+        d = d.where("converged")  # a stratum without a finite fit has no D
         lo = F.col("d_stat") - Z975 * F.col("d_se")
         hi = F.col("d_stat") + Z975 * F.col("d_se")
         d = d.select(*keys, "d_stat", lo.alias("d_lci"), hi.alias("d_uci"),

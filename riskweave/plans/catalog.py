@@ -544,23 +544,27 @@ def q_brier(spark, sf_dir):
     return rounded(mt.brier(study.scored(_t(spark, sf_dir)), BY))
 
 
+D_ROW = ["d_stat", "d_lci", "d_uci", "rsq", "rsq_lci", "rsq_uci"]
+
+
 def q_metrics_by_strata(spark, sf_dir):
-    m = mt.metrics_table(_scored(spark, sf_dir), BY)
+    m = mt.metrics_table(_scored(spark, sf_dir), BY, with_d=True)
     return rounded(m.select(*BY, "x", "var", "n", "events", "con", "dis", "tied", "conc",
-                            "conc_lci", "conc_uci", "brier"))
+                            "conc_lci", "conc_uci", *D_ROW, "brier"))
 
 
 def q_metrics_subset(spark, sf_dir):
     s = _scored(spark, sf_dir).where(F.col("supplier_x") == 1)
-    m = mt.metrics_table(s, BY, strata=None)
-    return rounded(m.select(*BY, "x", "var", "n", "events", "conc", "conc_lci", "conc_uci", "brier"))
+    m = mt.metrics_table(s, BY, strata=None, with_d=True)
+    return rounded(m.select(*BY, "x", "var", "n", "events", "conc", "conc_lci", "conc_uci", *D_ROW, "brier"))
 
 
 def q_metrics_summary(spark, sf_dir):
-    m = mt.with_labels(mt.metrics_table(_scored(spark, sf_dir), BY, strata=None))
+    m = mt.with_labels(mt.metrics_table(_scored(spark, sf_dir), BY, strata=None, with_d=True))
     name = F.concat(F.when(F.col("sex") == 1, "Males").otherwise("Females"), F.lit(", P"),
                     F.col("period").cast("string"))
-    return rounded(m.select(*BY, name.alias("x"), "conc", "conc_lci", "conc_uci", "brier", "conc_ci"))
+    return rounded(m.select(*BY, name.alias("x"), "conc", "conc_lci", "conc_uci", *D_ROW, "brier",
+                            "conc_ci", "d_ci", "rsq_ci"))
 
 
 def q_plot_cstat_age(spark, sf_dir):

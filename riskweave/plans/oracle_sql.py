@@ -8,6 +8,7 @@ checked by brute-force tests instead.
 from __future__ import annotations
 
 from ..operators.sampling import threshold_hex
+from .oracle_cox import d_sql
 from .oracle import calibration_long_sql, threshold_sql, tile_groups, with_cohort
 
 R6 = "round({}, 6)"
@@ -131,6 +132,11 @@ BASE_SCORE = ("round(100 * (1 - power(0.98, exp(0.01::DOUBLE * (CAST(age AS DOUB
 ALLCOLS = ("person_id", "household_id", "sex", "age", "grp", "quint", "region", "linked", "supplier_x",
            "flag_a", "flag_b", "n_rec", "death_date", "bmi", "bmi_cat")
 SEX_X = "CASE WHEN sex = 1 THEN 'Males' ELSE 'Females' END || ', P' || CAST(period AS VARCHAR)"
+CONC = "round(conc, 6) AS conc, round(conc_lci, 6) AS conc_lci, round(conc_uci, 6) AS conc_uci"
+D_ROW = ", ".join(f"round({c}, 6) AS {c}" for c in ("d_stat", "d_lci", "d_uci", "rsq", "rsq_lci", "rsq_uci"))
+M_D = "FROM m LEFT JOIN d USING (sex, period, x, var)"
+LABELS = (f"{est_ci('conc', 'conc_lci', 'conc_uci')} AS conc_ci, {est_ci('d_stat', 'd_lci', 'd_uci')} AS d_ci, "
+          f"{est_ci('rsq', 'rsq_lci', 'rsq_uci')} AS rsq_ci")
 
 ORACLE: dict[str, str] = {
     "scan_cohort": with_cohort("SELECT * EXCLUDE (bmi), round(bmi, 6) AS bmi FROM cohort"),
@@ -356,17 +362,21 @@ SELECT sex, period, n, events, round(con, 6) AS con, round(dis, 6) AS dis, round
        round(conc, 6) AS conc FROM m"""),
     "brier": with_cohort("SELECT sex, period, round(avg(power(score / 100 - death_covid, 2)), 6) AS brier"
                          " FROM scored GROUP BY sex, period"),
-    "metrics_by_strata": with_cohort(metrics_sql(STRATA) + """
+    "metrics_by_strata": with_cohort(metrics_sql(STRATA) + "," + d_sql(STRATA) + f"""
 SELECT sex, period, x, var, n, events, round(con, 6) AS con, round(dis, 6) AS dis, round(tied, 6) AS tied,
-       round(conc, 6) AS conc, round(conc_lci, 6) AS conc_lci, round(conc_uci, 6) AS conc_uci,
-       round(brier, 6) AS brier FROM m"""),
-    "metrics_subset": with_cohort(metrics_sql([], "supplier_x = 1") + """
-SELECT sex, period, x, var, n, events, round(conc, 6) AS conc, round(conc_lci, 6) AS conc_lci,
-       round(conc_uci, 6) AS conc_uci, round(brier, 6) AS brier FROM m"""),
-    "metrics_summary": with_cohort(metrics_sql([]) + f"""
-SELECT sex, period, {SEX_X} AS x, round(conc, 6) AS conc, round(conc_lci, 6) AS conc_lci,
-       round(conc_uci, 6) AS conc_uci, round(brier, 6) AS brier, {est_ci('conc', 'conc_lci', 'conc_uci')} AS conc_ci
-FROM m"""),
+       {CONC}, {D_ROW}, round(brier, 6) AS brier {M_D}"""),
+    "metrics_subset": with_cohort(metrics_sql([], "supplier_x = 1") + "," + d_sql([], "supplier_x = 1") + f"""
+SELECT sex, period, x, var, n, events, {CONC}, {D_ROW}, round(brier, 6) AS brier {M_D}"""),
+    "metrics_summary": with_cohort(metrics_sql([]) + "," + d_sql([]) + f"""
+SELECT sex, period, {SEX_X} AS x, {CONC}, {D_ROW}, round(brier, 6) AS brier, {LABELS} {M_D}"""),
+    "metrics_row": with_cohort(metrics_sql([]) + "," + d_sql([]) + f"""
+SELECT sex, period, {CONC}, {D_ROW}, round(brier, 6) AS brier, {LABELS} {M_D}"""),
+    "d_statistic": with_cohort(d_sql([]) + """
+SELECT sex, period, round(d_stat, 6) AS d_stat, round(d_se, 6) AS d_se, round(d_lci, 6) AS d_lci, round(d_uci, 6) AS d_uci
+FROM d"""),
+    "r2_d": with_cohort(d_sql([]) + """
+SELECT sex, period, round(rsq, 6) AS rsq, round(rsq_lci, 6) AS rsq_lci, round(rsq_uci, 6) AS rsq_uci,
+       CASE WHEN d_lci < 0 THEN 1 ELSE 0 END AS lci_folded FROM d"""),
     "plot_cstat_age": with_cohort(metrics_sql([("age", "age_group")]) + f"""
 SELECT sex, period, var, {clean('var')} AS age_gr, round(conc, 6) AS conc, round(conc_lci, 6) AS conc_lci,
        round(conc_uci, 6) AS conc_uci FROM m WHERE x = 'age'"""),
