@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recode import poly_terms, sentinel_to_null
@@ -71,30 +71,46 @@ def ols_coefficients(df: DataFrame, value: str, covariate: str, group: str) -> D
                  F.regr_count(y, x).cast("long").alias("n"), F.regr_r2(y, x).alias("r2")))
 
 
+def _fillable(todo: DataFrame, train: DataFrame, features: Sequence[str]) -> Column:
+    """Rows a fit on ``train`` can predict: no null feature, no text level that the
+    fit has not seen.  Levels are a small aggregate of the training rows."""
+    ok = F.lit(True)
+    for c, kind in train.select(*features).dtypes:
+        ok = ok & todo[c].isNotNull()
+        if kind == "string":
+            levels = [r[0] for r in train.select(c).distinct().collect() if r[0] is not None]
+            ok = ok & todo[c].isin(levels)
+    return ok
+
+
 def impute_by_model(df: DataFrame, value: str, group: str, formula: str, feature_df_cols: Sequence[str],
                     flag: str | None = None) -> DataFrame:
-    """L3/L6 stage 2: per-group OLS fitted on observed rows, used where value is null."""
-    levels = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().collect()]
+    """L3/L6 stage 2: per-group OLS fitted on observed rows, used where value is null.
+
+    A value stays null (and its flag null) where there is nothing to predict it from:
+    a null group, a group without an observed value, a null feature, or a category
+    that no observed row of the group has."""
     pred_col = f"_{value}_pred"
+    observed = F.col(value).isNotNull()
+    levels = [r[0] for r in df.where(F.col(group).isNotNull() & observed).select(group).distinct().collect()]
+    if flag and flag not in df.columns:
+        df = df.withColumn(flag, F.when(observed, F.lit(0)))
 
     def one(g):
         sub = df.where(F.col(group) == g)
-        train = sub.where(F.col(value).isNotNull()).select(value, *feature_df_cols)
+        train = sub.where(observed).select(value, *feature_df_cols).na.drop()
         fitted = fit_ols(train, formula)
-        todo = sub.where(F.col(value).isNull())
-        return (predict(todo, fitted, pred_col)
-                .withColumn(value, F.col(pred_col)).drop(pred_col))
+        todo = sub.where(~observed)
+        can = _fillable(todo, train, feature_df_cols)
+        filled = predict(todo.where(can), fitted, pred_col).withColumn(value, F.col(pred_col)).drop(pred_col)
+        return (filled.withColumn(flag, F.lit(2)) if flag else filled).unionByName(todo.where(~can))
 
     # the per-group fits are independent Spark jobs: submit them concurrently
     with ThreadPoolExecutor(max_workers=max(1, min(4, len(levels)))) as pool:
         parts = list(pool.map(one, sorted(levels)))
-    observed = df.where(F.col(value).isNotNull() | F.col(group).isNull())
-    if flag and flag not in observed.columns:
-        observed = observed.withColumn(flag, F.when(F.col(value).isNotNull(), F.lit(0)))
-    out = observed
+    left = F.col(group).isNull() | ~F.col(group).isin(levels) if levels else F.lit(True)
+    out = df.where(observed | left)
     for p in parts:
-        if flag:
-            p = p.withColumn(flag, F.lit(2))
         out = out.unionByName(p)
     return out
 
@@ -119,16 +135,25 @@ def impute_two_stage(df: DataFrame, value: str = "bmi", label: str = "bmi_cat",
 
 
 def imputer_mse(df: DataFrame, id_col: str, value: str, label: str, group: str,
-                covariate: str, frac: float = 0.7, salt: str = "split") -> DataFrame:
-    """Hold-out MSE of the group-mean imputer vs a per-group OLS imputer."""
+                covariate: str, frac: float = 0.7, salt: str = "split", formula: str | None = None,
+                features: Sequence[str] = ()) -> DataFrame:
+    """Hold-out MSE of the group-mean imputer vs a per-group OLS imputer, on the
+    covariate alone or, with ``formula`` over ``features``, the full model."""
     x = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
     x = hash_split(x, id_col, frac, salt)
+    if formula:
+        x = materialize(x)
     train, test = x.where(F.col("split") == "training"), x.where(F.col("split") == "test")
-    means = group_means(train, value, [label, group])
-    coefs = ols_coefficients(train, value, covariate, group)
-    t = test.join(means, [label, group], "left").join(coefs.drop("n", "r2"), group, "left")
-    pred_lm = F.col("intercept") + F.col("slope") * F.col(covariate)
-    return t.agg(F.avg(F.pow(F.col(value) - pred_lm, 2)).alias("mse_lm"),
+    if formula:
+        hidden = train.withColumn("_truth", F.lit(None).cast("double")).unionByName(
+            test.withColumn("_truth", F.col(value).cast("double")).withColumn(value, F.lit(None).cast("double")))
+        t = impute_by_model(hidden, value, group, formula, features).where(F.col("split") == "test")
+        t = t.withColumn("_lm", F.col(value)).withColumn(value, F.col("_truth"))
+    else:
+        t = test.join(ols_coefficients(train, value, covariate, group).drop("n", "r2"), group, "left")
+        t = t.withColumn("_lm", F.col("intercept") + F.col("slope") * F.col(covariate))
+    t = t.join(group_means(train, value, [label, group]), [label, group], "left")
+    return t.agg(F.avg(F.pow(F.col(value) - F.col("_lm"), 2)).alias("mse_lm"),
                  F.avg(F.pow(F.col(value) - F.col("prediction_mm"), 2)).alias("mse_mm"),
                  F.count(F.lit(1)).alias("n_test"))
 

@@ -417,6 +417,12 @@ def q_imputer_mse(spark, sf_dir):
     return rounded(im.imputer_mse(_bmi_clean(spark, sf_dir), "person_id", "bmi", "bmi_cat", "sex", "age"))
 
 
+def q_imputer_mse_full(spark, sf_dir):
+    x = _model_frame(spark, sf_dir).withColumn("bmi", recode.sentinel_to_null(F.col("bmi"), 0))
+    return rounded(im.imputer_mse(x, "person_id", "bmi", "bmi_cat", "sex", "age",
+                                  formula="bmi ~ . + age:.", features=OLS_FEATURES))
+
+
 def q_ols_fit(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).where(F.col("bmi").isNotNull())
     return rounded(im.ols_coefficients(x, "bmi", "age", "sex").drop("r2"))

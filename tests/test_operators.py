@@ -138,3 +138,21 @@ def test_translate_id_with_a_repeated_lookup(spark):
     src = spark.createDataFrame([("a", 1)], "nhs string, v int")
     lookup = spark.createDataFrame([("a", 10), ("a", 10), ("b", 11)], "nhs string, pid int")
     assert lk.translate_id(src, lookup, "nhs", "nhs", "pid").count() == 1
+
+
+def test_model_imputation_leaves_what_it_cannot_predict(spark):
+    rows = [(i, "a", 2.0 * i + 1, i, "x" if i % 2 else "y") for i in range(8)]
+    rows += [(8, "a", None, 10, "x"), (9, "a", None, 10, "new"), (10, "a", None, 10, None), (11, "b", None, 3, "x"),
+             (12, None, None, 3, "x")]
+    df = spark.createDataFrame(rows, "id int, g string, v double, age int, k string")
+    got = {r.id: (r.v, r.f) for r in im.impute_by_model(df, "v", "g", "v ~ age + k", ["age", "k"], flag="f").collect()}
+    assert len(got) == 13
+    assert got[8][0] == pytest.approx(21.0) and got[8][1] == 2
+    assert [got[k] for k in (9, 10, 11, 12)] == [(None, None)] * 4
+    assert all(got[i] == (2.0 * i + 1, 0) for i in range(8))
+
+
+def test_full_model_hold_out(spark):
+    from riskweave.plans import catalog
+    r = catalog.q_imputer_mse_full(spark, SF0001).first()
+    assert r.n_test > 0 and 0 < r.mse_lm and 0 < r.mse_mm

@@ -12,7 +12,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 KEYS = ["scan_cohort", "link_sources", "describe_all", "recensor_periods", "ntile20", "threshold_table",
         "calibration_long", "metrics_by_strata", "impute_audit", "imputer_mse", "relative_risk",
         "top_centiles_rel", "case_sample", "hash_split", "one_hot", "recode_group", "translate_id",
-        "fanout_audit", "csv_roundtrip", "table_roundtrip"]
+        "fanout_audit", "csv_roundtrip", "table_roundtrip", "csv_row_number", "natural_join", "join_suffix",
+        "collapse", "derive_sequential", "truncate_outcome", "d_statistic", "metrics_summary"]
 
 
 @pytest.fixture(scope="module")
@@ -38,5 +39,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     import __spark_entry__ as E
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"ols_impute", "impute_two_stage", "d_statistic", "r2_d", "metrics_row"}
+    from riskweave.plans import catalog
+    assert set(catalog.QUERIES) <= set(E.queries())
+    rows_only = set(catalog.QUERIES) - set(E.oracle_sql())
+    assert rows_only == {"ols_impute", "impute_two_stage", "imputer_mse_full"}
