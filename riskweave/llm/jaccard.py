@@ -14,10 +14,11 @@ the threshold itself (see ``trees_for``).
 At a node,
 
 * a set alone is dropped;
-* at the first level every set is compared with the node's first set (a star, linear
-  in the node); nodes whose sets are then all in one component are done;
+* at the first level every set is compared with one set of the node (a star, linear in
+  the node); nodes whose sets are then all in one component are done;
 * small nodes are compared in full, between different components only;
-* larger nodes are split again, and at the last level in blocks.
+* larger nodes are split again; at the last level the sets outside the largest
+  component are compared with all, in blocks.
 
 Signatures only propose: within each component that they give, all pairs of classes
 are counted exactly, from the sets themselves, in blocks of a bounded number of
@@ -49,6 +50,7 @@ DEPTH = 4              # levels of a tree
 SMALL = 64             # sets that are compared in full
 BLOCK_GRAMS = 300_000  # grams in one block of the exact count
 BLOCK_SETS = 256
+BITMAP_WORDS = 1 << 18 # 64-bit words of the bitmap sent to all tasks: 2 MB at any size
 SLACK = 0.2            # how far below the threshold a signature still proposes a pair
 
 _TABLE = str.maketrans({c: " " for c in WORD_BREAKS})
@@ -143,7 +145,7 @@ def classes(docs: DataFrame, *, text: str, doc_id: str, n: int, positions: int)
 def _drawn(path: np.ndarray, positions: int, threshold: float) -> np.ndarray:
     """Which positions the nodes of ``path`` draw, as a matrix of booleans."""
     with np.errstate(over="ignore"):
-        h = mix(path[:, None] ^ mix(np.arange(1, positions + 1, dtype=np.uint64))[None, :])
+        h = mix(path[:, None] * np.uint64(0xD6E8FEB86659FD93) + mix(np.arange(1, positions + 1, dtype=np.uint64))[None, :])
     return h < np.uint64(int(2 ** 64 / (threshold * positions)))
 
 
@@ -180,8 +182,10 @@ def _roots(sets: DataFrame, trees: int, threshold: float, positions: int) -> Dat
 
 
 def _star(multi: DataFrame, sets: DataFrame, positions: int, least: int) -> DataFrame:
-    """Edges between the first set of a node and the node's others."""
-    pairs = multi.where("set_key != pivot").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")).distinct()
+    """Edges between one set of a node, drawn by a hash, and the node's others."""
+    drawn = multi.groupBy("path").agg(F.min_by("set_key", F.xxhash64("path", "set_key")).alias("pivot"))
+    pairs = (multi.join(drawn, "path").where("set_key != pivot")
+             .select(F.least("pivot", "set_key").alias("a"), F.greatest("pivot", "set_key").alias("b")).distinct())
     pairs = (pairs.join(sets.select(F.col("set_key").alias("a"), F.col("sig").alias("sa")), "a")
              .join(sets.select(F.col("set_key").alias("b"), F.col("sig").alias("sb")), "b"))
 
@@ -197,7 +201,7 @@ def _star(multi: DataFrame, sets: DataFrame, positions: int, least: int) -> Data
 
 def _compare(nodes: DataFrame, positions: int, least: int) -> DataFrame:
     """Edges within nodes (path, part, side, set_key, root, sig) that join different
-    components; ``side`` 0 and 1 are compared across, null with all."""
+    components; sides 0 and 1 are compared across, side -1 with itself."""
     def run(batches):
         for t in runs(batches, 2):
             cuts = bounds(t, 2)
@@ -227,33 +231,43 @@ def _compare(nodes: DataFrame, positions: int, least: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
+def _blocks(rooted: DataFrame, block_sets: int) -> DataFrame:
+    """Nodes in blocks: the sets outside a node's largest component (side 0) against
+    all its sets (side 1); pairs within that component are not needed."""
+    outer, inner = (F.ceil(F.col(c) / block_sets).cast("int") for c in ("n", "minors"))
+    rows = rooted.withColumn("outer", outer).withColumn("inner", inner)
+    mine = lambda blocks: F.pmod(F.xxhash64("set_key"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = rows.where("minor").withColumn("i", mine("inner")).withColumn("j", each("outer")).withColumn("side", F.lit(0))
+    right = rows.withColumn("j", mine("outer")).withColumn("i", each("inner")).withColumn("side", F.lit(1))
+    return left.unionByName(right).withColumn("part", F.col("i") * F.col("outer") + F.col("j"))
+
+
 def propose(sets: DataFrame, *, threshold: float, recall: float, positions: int, depth: int,
-            small: int, slack: float) -> DataFrame:
+            small: int, slack: float, block_sets: int) -> DataFrame:
     """(v, root): components of the classes by signatures, a superset of the links."""
     least = math.ceil((threshold - slack) * positions)
     level = snapshot(_roots(sets, trees_for(recall, threshold, depth, positions), threshold, positions), "paths")
     edges = known = None
     for at in range(1, depth + 1):
-        nodes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("pivot")).where("n > 1")
+        nodes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         multi = snapshot(level.join(nodes, "path"), "nodes")
         if at == 1:
             edges = snapshot(_star(multi, sets, positions, least), "edges")
             known = components(edges)
         rooted = (multi.join(known, F.col("set_key") == F.col("v"), "left")
                   .withColumn("root", F.coalesce("root", "set_key")).drop("v"))
-        open_ = rooted.groupBy("path").agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
-        rooted = (rooted.join(open_, "path").join(sets.select("set_key", "sig"), "set_key"))
-        rooted = snapshot(rooted.select("path", "n", "set_key", "root", "sig"), "open-nodes")
+        shares = rooted.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c"))
+        open_ = shares.groupBy("path").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("major"))
+        rooted = (rooted.join(open_.where("roots > 1").drop("roots"), "path")
+                  .join(sets.select("set_key", "sig"), "set_key")
+                  .select("path", "n", "set_key", "root", (F.col("root") != F.col("major.root")).alias("minor"),
+                          (F.col("n") - F.col("major.c")).alias("minors"), "sig"))
+        rooted = snapshot(rooted, "open-nodes")
         if at < depth:
             full = rooted.where(F.col("n") <= small).withColumn("part", F.lit(0)).withColumn("side", F.lit(-1))
-        else:  # what is large at the last level is compared block against block
-            blocks = F.ceil(F.col("n") / small).cast("int")
-            mine = F.pmod(F.xxhash64("set_key"), blocks).cast("int")
-            full = (rooted.withColumn("blocks", blocks).withColumn("mine", mine)
-                    .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                    .withColumn("part", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
-                    .withColumn("side", F.when(F.col("mine") == F.col("other"), -1)
-                                .otherwise((F.col("mine") > F.col("other")).cast("int"))))
+        else:
+            full = _blocks(rooted, block_sets)
         edges = snapshot(edges.union(_compare(full, positions, least)), "edges")
         large = rooted.where(F.col("n") > small)
         if at == depth or large.isEmpty():
@@ -332,6 +346,16 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(run, "a long, b long, n long"))
 
 
+def _bitmap(hashes: DataFrame, words: int = BITMAP_WORDS) -> np.ndarray:
+    """A bitmap of 64 * ``words`` bits with the bits of these hashes set.  It only thins
+    out the rows of a later join, so a full one costs time and changes nothing."""
+    word = F.shiftright("text_hash", 6).bitwiseAND(F.lit(words - 1).cast("long"))
+    rows = hashes.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(text_hash & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return out
+
+
 def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N_GRAM,
                     threshold: float = THRESHOLD, recall: float = RECALL, positions: int = POSITIONS,
                     depth: int = DEPTH, small: int = SMALL, slack: float = SLACK,
@@ -351,23 +375,26 @@ def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         F.count(F.lit(1)).alias("copies"), F.min(leader).alias("leader"),
         F.first("grams").alias("grams"), F.first("sig").alias("sig")), "sets")
     known = propose(sets, threshold=threshold, recall=recall, positions=positions, depth=depth,
-                    small=small, slack=slack)
+                    small=small, slack=slack, block_sets=block_sets)
     members = snapshot(sets.drop("sig").join(known, F.col("set_key") == F.col("v")).drop("v"), "members")
     total = members.groupBy("root").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks"))
     members = members.join(total.withColumnRenamed("root", "comp"), F.col("root") == F.col("comp")).drop("root")
 
+    wanted = _bitmap(members.select("leader.text_hash"))
+
     def to_sets(batches):
         for b in batches:
-            sets_ = [grams(v, n).view(np.int64) for v in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("comp", "blocks", "set_key", "copies")), pa.array(sets_, pa.list_(pa.int64()))],
-                ["comp", "blocks", "set_key", "copies", "set"])
+            hashes = b.column(1).to_numpy()
+            b = b.filter(pa.array((wanted[(hashes >> 6) & (len(wanted) - 1)] >> (hashes & 63).astype(np.uint64)) & np.uint64(1) > 0))
+            found = [grams(v.as_py(), n).view(np.int64) for v in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "hash", "set"])
 
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__hash"))
-    wanted = members.join(texts, F.col("leader.id").eqNullSafe(F.col("__id")) & (F.col("leader.text_hash") == F.col("__hash")))
-    wanted = wanted.select("comp", "blocks", "set_key", "copies", "__text").dropDuplicates(["set_key"])
-    sized = snapshot(wanted.mapInArrow(to_sets, "comp long, blocks int, set_key long, copies long, set array<long>"), "gram-sets")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    found = docs.select(F.col(doc_id), F.xxhash64(F.col(text)), F.col(text)).mapInArrow(
+        to_sets, f"id {kind}, hash long, set array<long>")
+    found = members.join(found, F.col("leader.id").eqNullSafe(F.col("id")) & (F.col("leader.text_hash") == F.col("hash")))
+    sized = snapshot(found.select("comp", "blocks", "set_key", "copies", "set").dropDuplicates(["set_key"]), "gram-sets")
     mine = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     parts = (sized.withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
