@@ -356,6 +356,11 @@ def _bitmap(hashes: DataFrame, words: int = BITMAP_WORDS) -> np.ndarray:
     return out
 
 
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit in a bitmap."""
+    return (bits[(hashes >> 6) & (len(bits) - 1)] >> (hashes & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N_GRAM,
                     threshold: float = THRESHOLD, recall: float = RECALL, positions: int = POSITIONS,
                     depth: int = DEPTH, small: int = SMALL, slack: float = SLACK,
@@ -385,8 +390,7 @@ def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     def to_sets(batches):
         for b in batches:
-            hashes = b.column(1).to_numpy()
-            b = b.filter(pa.array((wanted[(hashes >> 6) & (len(wanted) - 1)] >> (hashes & 63).astype(np.uint64)) & np.uint64(1) > 0))
+            b = b.filter(pa.array(_marked(wanted, b.column(1).to_numpy())))
             found = [grams(v.as_py(), n).view(np.int64) for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "hash", "set"])
 
@@ -419,9 +423,22 @@ def similarity_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with one row of each component; of rows with equal id and text one stays."""
-    kept = (similarity_join(docs, text=text, doc_id=doc_id, **kwargs).where("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct())
+    """``docs`` with one row of each component; of rows with equal id and text one stays.
+
+    Rows whose (id, text) is kept and unique need no decision.  A bitmap of fixed size
+    tells most of them, so only the others' texts are shuffled to meet it."""
+    found = snapshot(similarity_join(docs, text=text, doc_id=doc_id, **kwargs), "links-of-rows")
+    doubt = snapshot(found.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+                     .where("not kept or n > 1"), "doubtful")
+    bits = _bitmap(doubt.select("text_hash"))
+
+    @F.arrow_udf("boolean")
+    def doubtful(hashes: pa.Array) -> pa.Array:
+        return pa.array(_marked(bits, hashes.to_numpy(zero_copy_only=False)))
+
     keyed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    found = keyed.join(kept, keyed[doc_id].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return found.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    sure = keyed.where(~doubtful(F.col("__hash")))
+    drop = doubt.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
+    rest = keyed.where(doubtful(F.col("__hash")))
+    rest = rest.join(drop, rest[doc_id].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_anti")
+    return sure.unionByName(rest.dropDuplicates([doc_id, "__hash"])).drop("__hash")
