@@ -47,10 +47,11 @@ DICTIONARY = tuple(sorted({*SECRET_WORDS, *OTHER_WORDS, *SAMPLE_WORDS, *(
     "und der die das mit sch ung heit keit lich ein eine nicht les des est pour dans que avec eau eur "
     "para los las por con una ado cion ando").split()}))
 
-ASSIGNED = re.compile(r"""[=:]\s{0,3}["'`]?([^\s"'`<>,;(){}\[\]]{6,512})""")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,512}={0,2}(?![A-Za-z0-9+/_\-])")
-ADDRESS = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{3,128})@")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----.*?-----END [A-Z ]{0,32}PRIVATE KEY-----", re.S)
+#: Values have no upper length: a secret must be one whole span.  The classes are matched in linear time.
+ASSIGNED = re.compile(r"""[=:]\s{0,3}["'`]?([^\s"'`<>,;(){}\[\]]{6,})""")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])")
+ADDRESS = re.compile(r"://[^\s/:@]+:([^\s/@]{3,})@")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 NAME = re.compile(r"([\w.\-]{1,40})[\"'`]?\s{0,3}$")
 WORDS = re.compile(r"[a-z0-9]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")

@@ -102,6 +102,19 @@ def test_secrets_found_and_replaced(spark, forest):
     assert secrets.scan(nowhere, forest).count() == 1
 
 
+def test_long_secrets_are_one_whole_span(spark, forest):
+    rng = random.Random(9)
+    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1200))
+    around = [('key = "', '"'), ("seen ", " here")]
+    frame = docs(spark, [b + value + a for b, a in around])
+    assert sorted((r.doc_id, r.start, r.end) for r in secrets.scan(frame, forest).collect()) == [
+        (k, len(b), len(b) + 1200) for k, (b, _) in enumerate(around)]
+    assert [r.text for r in secrets.redact(frame, forest).orderBy("doc_id").collect()] == [f"{b}[SECRET]{a}" for b, a in around]
+    for user, password in (("u" * 100, "p!" * 20), ("u", "p!" * 200)):
+        start = len("see ftp://:" + user)
+        assert (start, start + len(password)) in secrets.candidates(f"see ftp://{user}:{password}@host.example")
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, starts, y = rng.random((7, 5)), np.array([0, 3, 4]), np.array([1.0, 0, 1])
