@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
@@ -48,11 +48,15 @@ DICTIONARY = tuple(sorted({*SECRET_WORDS, *OTHER_WORDS, *SAMPLE_WORDS, *(
     "para los las por con una ado cion ando").split()}))
 
 #: Values have no upper length: a secret must be one whole span.  The classes are matched in linear time.
-ASSIGNED = re.compile(r"""[=:]\s{0,3}["'`]?([^\s"'`<>,;(){}\[\]]{6,})""")
+ASSIGNED = re.compile(r"""[=:]\s*["'`]?([^\s"'`<>,;(){}\[\]]+)""")
+SIGN = re.compile("[=:]")
+NEXT_FIELD = re.compile(r"&(?=[\w.\-]+=)")
+QUOTES = "\"'`"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])")
-ADDRESS = re.compile(r"://[^\s/:@]+:([^\s/@]{3,})@")
+ADDRESS = re.compile(r"://[^\s/:@]*:([^\s/@]{3,})@")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
-NAME = re.compile(r"([\w.\-]{1,40})[\"'`]?\s{0,3}$")
+NAME = re.compile(r"([\w.\-]{1,40})[\"'`]?\s*$")
+ASSIGNS = re.compile(r"[=:]\s*[\"'`]?$")
 WORDS = re.compile(r"[a-z0-9]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 PATHS = (re.compile(r"test|spec|example|sample|fixture|mock|doc", re.I), re.compile(r"lock|sum|min\.|\.svg|\.map", re.I),
@@ -87,57 +91,118 @@ def _split_words(text: str) -> set[str]:
     return set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).replace("_", " ").lower()))
 
 
-def features(before: str, value: str, after: str, path: str) -> list[float]:
-    """The forest's view of one candidate, in the order of FEATURES."""
-    n, low = len(value), value.lower()
-    chars = Counter(value)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
-    pairs = [low[k:k + 2] for k in range(n - 1)]
-    name = NAME.search(re.split(r"[=:]\s{0,3}[\"'`]?$", before)[0]) if re.search(r"[=:]\s{0,3}[\"'`]?$", before) else None
+def _sign(text: str, s: int) -> tuple[int, int]:
+    """Position of the sign that assigns what stands at ``s`` (-1: none) and of the end
+    of the blanks behind it; any blanks and one quote may stand between."""
+    k = end = s - (s > 0 and text[s - 1] in QUOTES)
+    while k and text[k - 1].isspace():
+        k -= 1
+    return (k - 1 if k and text[k - 1] in "=:" else -1), end
+
+
+def _before(text: str, s: int) -> str:
+    """The CONTEXT characters before ``s``; more than three blanks on either side of
+    the sign count as one, so that the name stays in view."""
+    sign, end = _sign(text, s)
+    if sign < 0:
+        return text[max(0, s - CONTEXT):s]
+    k = sign
+    while k and text[k - 1].isspace():
+        k -= 1
+    left, right = (x if len(x) <= 3 else " " for x in (text[k:sign], text[sign + 1:end]))
+    tail = left + text[sign] + right + text[end:s]
+    return text[max(0, k - CONTEXT + len(tail)):k] + tail
+
+
+def _address(text: str, s: int) -> bool:
+    """Whether ``s`` is behind the scheme of an address; what an address assigns is proposed by itself."""
+    if not text.startswith("//", s) or text[s - 1] != ":":
+        return False
+    name = NAME.search(text[max(0, s - CONTEXT):s - 1])
+    return bool(name) and not _split_words(name[1]).intersection(SECRET_WORDS)
+
+
+def _of_values(value: str, starts: list[int]) -> list[list[float]]:
+    """What the forest sees of value[s:] itself, for each of the ascending ``starts``,
+    in one pass from the right.  A start is 0 or no letter or digit stands before it, so
+    no dictionary word reaches over it."""
+    low = value.lower()
+    if len(low) != len(value):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    covers = [m.span() for m in COVER.finditer(low)]
+    sample = max(low.rfind(w) for w in SAMPLE_WORDS if w not in ("none", "null", "your", "test", "id"))
+    chars, kinds = Counter(), Counter()
+    hexes = dots = changes = covered = run = best = 0
+    unusual, last, last_kind, end, out = 0.0, "", "", len(value), []
+    for s in reversed(starts):
+        for k in range(end - 1, s - 1, -1):
+            c, x = value[k], low[k]
+            kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s"
+            if last:
+                unusual += TRANSITIONS.get(low[k:k + 2], UNUSUAL)
+                changes += kind != last_kind
+                run = run + 1 if c == last else 0
+                best = max(best, run)
+            chars[c] += 1
+            kinds[kind] += 1
+            hexes += x in "0123456789abcdef"
+            dots += c in "./\\"
+            last, last_kind = c, kind
+        while covers and covers[-1][0] >= s:
+            a, b = covers.pop()
+            covered += b - a
+        end, n = s, len(value) - s
+        most = max(1, n)
+        out.append([
+            min(n, 200), math.log(n + 1), unusual / max(1, n - 1),
+            -sum(c / n * math.log2(c / n) for c in chars.values()) if n else 0, covered / most,
+            kinds["d"] / most, kinds["u"] / most, kinds["l"] / most, hexes / most, kinds["s"] / most,
+            changes / max(1, n - 1), len(chars) / most, best, bool(UUID.match(value, s)), dots / most,
+            sample >= s, value.startswith(PREFIXES, s)])
+    return out[::-1]
+
+
+def _seen(own: list[float], before: str, after: str, path: str) -> list[float]:
+    """The forest's view of a candidate with ``own`` from _of_values, in the order of FEATURES."""
+    sign = ASSIGNS.search(before)
+    name = NAME.search(before[:sign.start()]) if sign else None
     named = _split_words(name[1]) if name else set()
     near = _split_words(before[-CONTEXT:])
-    run = best = 0
-    for a, b in zip(value, value[1:]):
-        run = run + 1 if a == b else 0
-        best = max(best, run)
     return [float(x) for x in (
-        min(n, 200), math.log(n + 1),
-        sum(TRANSITIONS.get(p, UNUSUAL) for p in pairs) / max(1, n - 1),
-        -sum(c / n * math.log2(c / n) for c in chars.values()) if n else 0,
-        sum(len(m[0]) for m in COVER.finditer(low)) / max(1, n),
-        kinds.count("d") / max(1, n), kinds.count("u") / max(1, n), kinds.count("l") / max(1, n),
-        sum(c in "0123456789abcdef" for c in low) / max(1, n), kinds.count("s") / max(1, n),
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), len(chars) / max(1, n), best,
-        bool(UUID.match(value)), sum(value.count(c) for c in "./\\") / max(1, n),
-        bool(re.search(r"[=:]\s{0,3}[\"'`]?$", before)), before[-1:] in "\"'`" and before[-1:] == after[:1],
+        *own[:-2], bool(sign), before[-1:] in QUOTES and before[-1:] == after[:1],
         bool(named.intersection(SECRET_WORDS)), bool(named.intersection(OTHER_WORDS)),
         bool(named.intersection(SAMPLE_WORDS)), bool(near.intersection(SECRET_WORDS)),
         bool(near.intersection(OTHER_WORDS)),
         bool((near | _split_words(after[:CONTEXT])).intersection(SAMPLE_WORDS)),
-        any(w in low for w in SAMPLE_WORDS if w not in ("none", "null", "your", "test", "id")),
-        value.startswith(PREFIXES), *(bool(p.search(path)) for p in PATHS))]
+        *own[-2:], *(bool(p.search(path)) for p in PATHS))]
+
+
+def features(before: str, value: str, after: str, path: str) -> list[float]:
+    """The forest's view of one candidate, in the order of FEATURES."""
+    return _seen(_of_values(value, [0])[0], before, after, path)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of possible secrets, in order and not overlapping; the longer wins."""
-    spans = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    spans += [m.span(1) for m in ADDRESS.finditer(text)] if "://" in text else []
-    for m in ASSIGNED.finditer(text):
-        s, e = m.span(1)
-        while e > s and text[e - 1] in ".!?*#$%&":
-            e -= 1
-        if e - s >= 6 and text[s:s + 2] != "//":
-            spans.append((s, e))
-    for m in RUN.finditer(text):
-        if any(c.isdigit() for c in m[0]):
-            spans.append(m.span())
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
-        if not out or s >= out[-1][1]:
-            out.append((s, e))
-        elif e - s > out[-1][1] - out[-1][0]:
-            out[-1] = (s, e)
-    return out
+    """Spans of possible secrets, in order.  They may lie in one another, as a value with
+    signs inside is proposed as a whole and behind each of its signs: find() decides."""
+    spans = {m.span() for m in BLOCK.finditer(text)} if "-----BEGIN" in text else set()
+    spans.update(m.span(1) for m in ADDRESS.finditer(text)) if "://" in text else None
+    spans.update(m.span() for m in RUN.finditer(text) if any(c.isdigit() for c in m[0]))
+    m = ASSIGNED.search(text)
+    while m:
+        first, last = m.span(1)
+        end = last
+        while end > first and text[end - 1] in ".!?*#$%&":
+            end -= 1
+        starts = [first, *(k.end() for k in SIGN.finditer(text, first, end))]
+        cuts = [k.start() for k in NEXT_FIELD.finditer(text, first, end)]
+        for s in reversed(starts):
+            while len(cuts) > 1 and cuts[-2] >= s:
+                cuts.pop()
+            if not _address(text, s):
+                spans.update((s, e) for e in {end, *(c for c in cuts[-1:] if c >= s)} if e - s >= 6)
+        m = ASSIGNED.search(text, last - (text[last - 1] in "=:"))  # the last sign may assign what follows
+    return sorted(spans)
 
 
 def labelled_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
@@ -210,11 +275,21 @@ def share(forest: list, x: list[float]) -> float:
 
 
 def find(text: str | None, path: str | None, forest: list, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
-    """Spans (code points) and scores of the secrets of a whole text."""
-    out = []
-    for s, e in candidates(text or ""):
-        score = share(forest, features(text[max(0, s - CONTEXT):s], text[s:e], text[e:e + CONTEXT], path or ""))
-        if score >= threshold:
+    """Spans (code points) and scores of the secrets of a whole text.  All candidates are
+    judged; those found that overlap become one span with the highest score."""
+    text, starts, found, out = text or "", defaultdict(list), [], []
+    for s, e in candidates(text):
+        starts[e].append(s)
+    for e, at in starts.items():
+        own = _of_values(text[at[0]:e], [s - at[0] for s in at])
+        for s, x in zip(at, own):
+            score = share(forest, _seen(x, _before(text, s), text[e:e + CONTEXT], path or ""))
+            if score >= threshold:
+                found.append((s, e, score))
+    for s, e, score in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), max(score, out[-1][2]))
+        else:
             out.append((s, e, score))
     return out
 

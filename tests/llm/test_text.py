@@ -115,6 +115,32 @@ def test_long_secrets_are_one_whole_span(spark, forest):
         assert (start, start + len(password)) in secrets.candidates(f"see ftp://{user}:{password}@host.example")
 
 
+def test_every_assignment_is_proposed_and_judged(spark, forest):
+    word, key = "Tr0ub4dor3x", "9c8b45435718dcc700c184a7e303cdc6"
+    for text, value in ((f"see https://api.x.com/v1?password={word}", word), (f"url=https://x.com/?a=b&token={key}&page=2", key),
+                        (f"db=postgres://bob:{word}@db.host/main", word), (f"redis://:{word}@h:6379", word),
+                        (f"env:DB_PASSWORD={word}", word), (f"a= token: {key}", key), (f'token="//{key}"', "//" + key),
+                        (f"password:{' ' * 8}{word}", word), (f"password{' ' * 60}={' ' * 60}'{word}'", word),
+                        (f"key=\n  {key}", key)):
+        s = text.index(value)
+        assert (s, s + len(value)) in secrets.candidates(text), text
+    texts = [f"see https://api.x.com/v1?password={word} here", f"env:DB_PASSWORD={word}", f"password:{' ' * 8}{word}",
+             f"password{' ' * 60}={' ' * 60}{word}", f"url=https://x.com/?token={key}&page=2"]
+    clean = [r.text for r in secrets.redact(docs(spark, texts), forest).orderBy("doc_id").collect()]
+    assert not [t for t in clean if word in t or key in t] and clean[0].endswith(" here")
+    found = secrets.find(texts[0] + " " + texts[2], "src0", forest)
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and len(found) == 2
+
+
+def test_values_in_values_are_seen_like_single_ones():
+    value = "k=abc:Zz9==q&TOKEN=x1x1:AKIA11:" + "9c8b4543-1234-1234-1234-9c8b45435718"
+    starts = [0, *(m.end() for m in secrets.SIGN.finditer(value))]
+    for s, own in zip(starts, secrets._of_values(value, starts)):
+        assert own == pytest.approx(secrets._of_values(value[s:], [0])[0])
+    assert len(secrets.candidates("x" + "a:" * 20000)) < 20001      # and not quadratic
+    assert secrets._of_values("a:" * 20000, list(range(0, 40000, 2)))[0][0] == 200
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, starts, y = rng.random((7, 5)), np.array([0, 3, 4]), np.array([1.0, 0, 1])
