@@ -23,8 +23,10 @@ from .common import tree_share, walk_tree
 THRESHOLD = 0.5
 
 #: Comments and other marks, tags with quoted values, and the next plain "<".
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)"
+                   r"((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)>", re.S)
+#: A name, then an optional value; a quote counts only right after the "=".
+ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select",
           "head", "title"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -55,9 +57,13 @@ def _kind(tag: str, attributes: str, inside: int) -> int:
     words: set[str] = set()
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
-            if name.lower() in ("class", "id", "role"):
-                words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
-            elif name.lower() == "hidden" or (a or b or c).lower() == "true":
+            name, value = name.lower(), a or b or c
+            if name in ("class", "id", "role"):
+                names = value.split()
+                words.update(w for n in names for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower())
+                             if w != "hidden")  # overflow-hidden hides nothing
+                words.update(n.lower() for n in names if n.lower() == "hidden")
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return -1
     if tag in ("html", "body"):
         return 0

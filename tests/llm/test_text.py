@@ -205,6 +205,20 @@ def test_page_without_what_stands_around(tree):
     assert pages.main_text(page, tree) == "Title &amp; more\nFirst one two.\nSecond link 1 < 2.\nThird."
 
 
+def test_attributes_are_read_one_by_one(tree):
+    first, last = "The first sentence of the main text is here.", "And this is the last sentence of it."
+    for around in ('<article style="overflow:hidden">', "<article class='overflow-hidden'>", '<article title="a hidden gem">',
+                   '<article data-hidden="x" data-class="ad">', "<article title=don't>", '<article title="a > b" id=x>',
+                   "<article title = 'it\'>"):
+        page = f"<body class='overflow-x-hidden' style='overflow: hidden'>{around}<p>{first}</p><p title=isn't>{last}</p></article></body>"
+        assert pages.main_text(page, tree) == f"{first}\n{last}", around
+    for around in ("<div hidden>", "<div HIDDEN=''>", "<div class='x hidden'>", "<div aria-hidden = true>", "<div x='>' class=ad>"):
+        page = f"<body><article><p>{first}</p>{around}<p>{last}</p></div></article></body>"
+        assert pages.main_text(page, tree) == first, around
+    assert pages.main_text("<p>main text that isn't long <p title=don't>main text that isn't long</p>", tree).count("main text") == \
+        pages.main_text("<p>main text that isn't long <p>main text that isn't long</p>", tree).count("main text")
+
+
 def test_pages_rows(spark, tree):
     texts = ["", None, "<", "<article>", "plain words only", "<article><p>one<p>two", "<article>" + "<p>w</p>" * 20000,
              "<article><p>a<!-- open", "<article><p>" + "<b>" * 3000 + "deep"]
