@@ -66,4 +66,33 @@ ids AS (SELECT vec_id AS id FROM embeddings), {COMPONENTS}
 SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
 FROM embeddings JOIN roots ON roots.v = vec_id LEFT JOIN counts ON counts.v = vec_id"""
 
-ORACLE = {"op3_jaccard": OP3, "op5_chat": OP5, "op6_topk": OP6, "op8_covertree": OP8}
+OP11 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+runs AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, cast(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY lang),
+grams AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM runs, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+found AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM found, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r,
+           cast(cast(1000000 AS HUGEINT) * c.a * c.a // (cast(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+    FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM found WHERE m = 3),
+kept AS (
+    SELECT * FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 50 * b.a)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLE = {"op11_phrases": OP11, "op3_jaccard": OP3, "op5_chat": OP5, "op6_topk": OP6, "op8_covertree": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, jaccard, mixing, pages, pieces, quality, secrets, tokens, topk
+from . import chat, covertree, jaccard, mixing, pages, phrases, pieces, quality, secrets, tokens, topk
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -61,4 +61,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op7_pages": op7_pages, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op7_pages": op7_pages, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece, "op11_phrases": op11_phrases}
