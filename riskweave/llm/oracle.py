@@ -95,4 +95,59 @@ ranked AS (
     SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
-ORACLE = {"op11_phrases": OP11, "op3_jaccard": OP3, "op5_chat": OP5, "op6_topk": OP6, "op8_covertree": OP8}
+OP12 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS MATERIALIZED (
+    SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(
+        range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS phrase FROM b WHERE len(w) > 0),
+places AS (
+    SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
+hits AS MATERIALIZED (
+    SELECT k, i, p.m, item_id FROM places p JOIN win ON win.m = p.m AND win.phrase = array_to_string(w[i:i + p.m - 1], ' ')),
+marked AS (SELECT k, count(DISTINCT place) AS n FROM (SELECT k, unnest(range(i, i + m)) AS place FROM hits) GROUP BY k),
+named AS (SELECT k, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT k, cast(item_id AS VARCHAR) AS name FROM hits WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(marked.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(marked.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (k) LEFT JOIN named USING (k)"""
+
+
+def _moves(rounds: int) -> str:
+    """The rounds of OP13: nearest entries, then their means."""
+    out = ""
+    for k in range(rounds):
+        out += f"""
+near{k} AS MATERIALIZED (
+    SELECT k, p, arg_min(c.e, (list_sum(list_transform(list_zip(y, z), lambda q: (q[1] - q[2]) * (q[1] - q[2]))), c.e)) AS e
+    FROM cut JOIN book{k} c USING (p) GROUP BY k, p),
+sums{k} AS (
+    SELECT p, e, i, sum(y[i]) AS s, count(*) AS n FROM near{k} JOIN cut USING (k, p), places GROUP BY p, e, i),
+book{k + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.z, b.z) AS z FROM book{k} b LEFT JOIN (
+        SELECT p, e, list(cast((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS z FROM sums{k} GROUP BY p, e) m
+    ON m.p = b.p AND m.e = b.e),"""
+    return out
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, vec_id, label,
+           list_transform(embedding, lambda x: cast(floor(cast(x AS DOUBLE) * 4096) AS BIGINT)) AS x FROM embeddings WHERE {_USABLE}),
+shape AS MATERIALIZED (SELECT len(x) // 8 AS w FROM v WHERE k = 1),
+places AS MATERIALIZED (SELECT unnest(range(1, w + 1)) AS i FROM shape),
+cut AS MATERIALIZED (SELECT k, p, x[p * w + 1:(p + 1) * w] AS y FROM v, shape, (SELECT unnest(range(8)) AS p)),
+book0 AS MATERIALIZED (SELECT p, k - 1 AS e, y AS z FROM cut WHERE k <= 16),{_moves(6)}
+far AS MATERIALIZED (
+    SELECT k, p, c.e, list_sum(list_transform(list_zip(y, z), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d FROM cut JOIN book6 c USING (p)),
+best AS (SELECT k, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM far GROUP BY k, p),
+coded AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY p) AS code, cast(sum(d) AS BIGINT) AS error FROM best GROUP BY k),
+digest AS (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book6)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (k), digest"""
+
+ORACLE = {"op12_decontamination": OP12, "op13_codes": OP13, "op11_phrases": OP11, "op3_jaccard": OP3, "op5_chat": OP5, "op6_topk": OP6, "op8_covertree": OP8}

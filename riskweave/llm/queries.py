@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, jaccard, mixing, pages, phrases, pieces, quality, secrets, tokens, topk
+from . import chat, codes, covertree, decontaminate, jaccard, mixing, pages, phrases, pieces, quality, secrets, tokens, topk
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -65,4 +65,17 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op7_pages": op7_pages, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece, "op11_phrases": op11_phrases}
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = decontaminate.n_hit()
+    items = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
+    return decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "hits.n_words", hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op5_chat": op5_chat, "op6_topk": op6_topk, "op7_pages": op7_pages, "op8_covertree": op8_covertree, "op9_quality": op9_quality, "op3_jaccard": op3_jaccard, "op4_mixing": op4_mixing, "op10_sentencepiece": op10_sentencepiece, "op11_phrases": op11_phrases, "op12_decontamination": op12_decontamination, "op13_codes": op13_codes}

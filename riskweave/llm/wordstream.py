@@ -39,6 +39,7 @@ class Part(NamedTuple):
     first: bool             # its first row begins here
     last: bool              # its last row ends here
     base: int               # byte of the first row at which the part begins
+    cuts: np.ndarray        # byte of data at which each row begins
     data: np.ndarray        # lower-cased bytes
     starts: np.ndarray      # byte ranges of the words in data
     ends: np.ndarray
@@ -86,7 +87,7 @@ def _part(raw: np.ndarray, cuts: np.ndarray, kinds: np.ndarray, rows: range, own
     coded = spelled.dictionary_encode()
     words = coded.dictionary
     codes = coded.indices.to_numpy()
-    return Part(rows, first, last, base, data, starts, ends, row + rows.start, piece,
+    return Part(rows, first, last, base, cuts, data, starts, ends, row + rows.start, piece,
                 int(np.searchsorted(starts, own_bytes)), codes, words, hash_words(words)[codes])
 
 
