@@ -59,38 +59,43 @@ def _position(hashes: np.ndarray, shard: np.ndarray) -> np.ndarray:
 def _tally(docs: DataFrame, n: int, frequent) -> DataFrame:
     """(lang_key, shard, h, c): counts of phrases of n words in each shard, summed per
     shard by the caller's groupBy.  ``frequent`` is the broadcast bitmap of n - 1 words."""
-    def flush(keys, shards, hashes):
-        pair, group = np.unique(np.stack([keys, shards]), axis=1, return_inverse=True)
-        group = group.reshape(-1).astype(np.uint32 if pair.shape[1] > 65535 else np.uint16)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(pair.shape[1] + 1))
-        for k in range(pair.shape[1]):
-            h, c = np.unique(hashes[order[cuts[k]:cuts[k + 1]]], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(h), pair[0, k])), pa.array(np.full(len(h), pair[1, k], np.int32)),
-                 pa.array(h.view(np.int64)), pa.array(c.astype(np.int32))], ["lang_key", "shard", "h", "c"])
+    def flush(groups, held):
+        """Counts of the held (group, hash); groups are numbers of (lang_key, shard)."""
+        of, hashes = map(np.concatenate, zip(*held))
+        of = of.astype(np.uint16) if len(groups) < 1 << 16 else of  # sorted by digits, not by comparing
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(groups) + 1))
+        hashes = hashes[order]
+        for k, (key, shard) in enumerate(groups):
+            if cuts[k] < cuts[k + 1]:
+                h, c = np.unique(hashes[cuts[k]:cuts[k + 1]], return_counts=True)
+                yield (pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), key)), pa.array(np.full(len(h), shard, np.int32)),
+                     pa.array(h.view(np.int64)), pa.array(c.astype(np.int32))], ["lang_key", "shard", "h", "c"]))
 
     def run(batches):
+        groups: dict[tuple[int, int], int] = {}
         held, size = [], 0
         for b in batches:
             key, shard = b.column(1).to_numpy(), b.column(2).to_numpy()
+            group = np.array([groups.setdefault(g, len(groups)) for g in zip(key.tolist(), shard.tolist())], np.int32)
+            salt = mix(key.view(np.uint64))
             for part in parts(b.column(0), KINDS, n - 1):
                 if not len(part.starts):
                     continue
-                row_key, row_shard = key[part.row], shard[part.row]
-                hashes = _phrase_hashes(part, mix(row_key.view(np.uint64)), n)
+                hashes = _phrase_hashes(part, salt[part.row], n)
                 ok = _whole(part, n)
                 if n > 1:
-                    known = holds(frequent.value, _position(hashes[-2], row_shard[:len(hashes[-2])]))
+                    known = holds(frequent.value, _position(hashes[-2], shard[part.row[:len(hashes[-2])]]))
                     ok &= known[:len(ok)] & known[1:len(ok) + 1]
                 at = np.flatnonzero(ok)
-                held.append((row_key[at], row_shard[at], hashes[-1][at]))
+                held.append((group[part.row[at]], hashes[-1][at]))
                 size += len(at)
                 if size >= HELD:
-                    yield from flush(*map(np.concatenate, zip(*held)))
+                    yield from flush(list(groups), held)
                     held, size = [], 0
         if size:
-            yield from flush(*map(np.concatenate, zip(*held)))
+            yield from flush(list(groups), held)
 
     return (docs.select("text", "lang_key", "shard").mapInArrow(run, "lang_key long, shard int, h long, c int")
             .groupBy("lang_key", "shard", "h").agg(F.sum("c").alias("c")))
@@ -103,12 +108,12 @@ def _count(docs: DataFrame, n: int, union) -> DataFrame:
         for b in batches:
             coded = b.column(1).dictionary_encode()
             names, lang = coded.dictionary, coded.indices.to_numpy()
-            key = b.column(2).to_numpy()
+            salt = mix(b.column(2).to_numpy().view(np.uint64))
             for part in parts(b.column(0), KINDS, n - 1):
                 if not len(part.starts):
                     continue
                 word_lang = lang[part.row]
-                hashes = _phrase_hashes(part, mix(key[part.row].view(np.uint64)), n)
+                hashes = _phrase_hashes(part, salt[part.row], n)
                 total = np.bincount(word_lang[:part.own], minlength=len(names))
                 yield _named(names, np.arange(len(names)), 0, pa.array([""] * len(names)), total)
                 for k in range(1, n + 1):
@@ -119,7 +124,7 @@ def _count(docs: DataFrame, n: int, union) -> DataFrame:
                     groups = pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")])
                     spelled = [part.words.take(groups.column(f"w{j}").combine_chunks()) for j in range(k)]
                     phrase = spelled[0] if k == 1 else pc.binary_join_element_wise(*spelled, " ")
-                    yield _named(names, groups.column("lang").to_numpy(), k, phrase, groups.column("count_all").to_numpy())
+                    yield (_named(names, groups.column("lang").to_numpy(), k, phrase, groups.column("count_all").to_numpy()))
 
     return (docs.select("text", "lang", "lang_key").mapInArrow(run, "lang string, words int, phrase string, f long")
             .groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")))

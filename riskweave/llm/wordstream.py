@@ -67,7 +67,7 @@ def hash_words(words: pa.StringArray) -> np.ndarray:
 def _part(raw: np.ndarray, cuts: np.ndarray, kinds: np.ndarray, rows: range, own_bytes: int,
           first: bool = True, last: bool = True, base: int = 0) -> Part:
     """Words of ``raw``, whose rows begin at ``cuts``; words from ``own_bytes`` on are shown ahead."""
-    kind = kinds[_LOWER[raw]]
+    kind = kinds[_LOWER][raw]
     data = _LOWER[raw]
     inside = kind == WORD_BYTE
     begin, end = inside.copy(), inside.copy()
@@ -78,9 +78,13 @@ def _part(raw: np.ndarray, cuts: np.ndarray, kinds: np.ndarray, rows: range, own
     at = at[at > 0]
     end[at - 1] = inside[at - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    row = np.searchsorted(cuts, starts, side="right") - 1
     # rows without bytes share a cut with the next one; the last of them has the words
-    piece = np.cumsum(kind == BREAK, dtype=np.int32)[starts] + row if len(starts) else row
+    row = np.repeat(np.arange(len(cuts)), np.diff(np.append(np.searchsorted(starts, cuts), len(starts))))
+    breaks = np.flatnonzero(kind == BREAK)
+    at = np.searchsorted(starts, breaks)
+    piece = np.zeros(len(starts) + 1, np.int64)
+    piece += np.bincount(at, minlength=len(piece))
+    piece = np.cumsum(piece)[:-1] + row
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     spelled = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
