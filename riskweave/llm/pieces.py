@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,11 @@ SEGMENT = re.compile(rf"{MARK}*{LETTER}+|{MARK}*{OTHER}+{LETTER}*|{MARK}+|\n")
 #: What no piece may hold, or it could lie across two segments.
 CROSSING = re.compile(rf"{LETTER}{OTHER}|[^{MARK}]{MARK}|\n")
 UNKNOWN = " ⁇ "        # what the unknown id decodes to
-REMEMBERED = 250_000   # segments in each of a worker's two generations
+REMEMBERED = 150_000   # segments in each of a worker's two generations
 LONGEST = 48           # longer segments are encoded anew each time
+NEIGHBOURS = 200_000   # pairs of tokens that a worker remembers
+STRETCH = 1 << 20      # characters of a text that are cut into segments at once
+YIELDED = 500_000      # ids in one batch of rows, if its last text has no more
 
 
 class Pieces:
@@ -66,6 +71,7 @@ class Pieces:
         self.length = [len(t) for t in self.text]
         #: For each token, which tokens may stand before it, as far as known.
         self.after: list[dict[int, bool]] = [{} for _ in every]
+        self.pairs = 0
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id.items():
             if t not in self.runs and self._halves(i) != (-1, -1):
@@ -73,8 +79,8 @@ class Pieces:
         self.automaton.make_automaton()
         self.shown = {i: self.text[i] for i in plain} | {model.unk_id(): UNKNOWN}
         self.single = {t for t in self.id if len(t) == 1}
-        self.short: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.short: dict[str, tuple[int, str, str | None]] = {}
+        self.older: dict[str, tuple[int, str, str | None]] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for one character, (-1, -1)
@@ -128,6 +134,11 @@ class Pieces:
                 i += 1
             else:
                 j += 1
+        if self.pairs >= NEIGHBOURS:
+            self.pairs = 0
+            for known in self.after:
+                known.clear()
+        self.pairs += 1
         self.after[right][left] = ok
         return ok
 
@@ -200,28 +211,53 @@ class Pieces:
             ids = self.marks(run) + ids
         return ids
 
-    def segment(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and the decoded text of one segment."""
+    def segment(self, text: str) -> tuple[int, str, str | None]:
+        """Number of ids, the ids in decimal, and the decoded text of one segment, which
+        is None if it is the segment with its marks as blanks."""
         found = self.older.get(text)
         if found is None:
             ids = self._segment(text)
-            found = (len(ids), " ".join([self.decimal[i] for i in ids]), self.raw(ids))
+            raw = self.raw(ids)
+            found = (len(ids), " ".join([self.decimal[i] for i in ids]), None if raw == text.replace(MARK, " ") else raw)
         if len(text) <= LONGEST:
             if len(self.short) >= REMEMBERED:  # what is used again moves to the young ones
                 self.short, self.older = {}, self.short
             self.short[text] = found
         return found
 
-    def digest_parts(self, text: str) -> list[tuple[int, str, str]]:
-        """What segment() gives, for each segment of a text."""
-        segments = self.segments(text)
-        out = list(map(self.short.get, segments))
-        if None in out:
-            out = [self.segment(s) if found is None else found for s, found in zip(segments, out)]
-        return out
+    def digest_parts(self, text: str) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, the ids in decimal and the decoded text of each stretch."""
+        for segments in self.stretches(text):
+            got = list(map(self.short.get, segments))
+            if None in got:
+                got = [self.segment(s) if found is None else found for s, found in zip(segments, got)]
+            if any(g[2] is not None for g in got):
+                back = "".join([s.replace(MARK, " ") if g[2] is None else g[2] for s, g in zip(segments, got)])
+            else:
+                back = "".join(segments).replace(MARK, " ")
+            yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), back
+
+    def stretches(self, text: str) -> Iterator[list[str]]:
+        """Segments of a text, at most about STRETCH characters at a time.  Only the last
+        segment of a stretch can go on behind it; it begins the next one."""
+        marked = MARK + text.replace(" ", MARK) if text else ""
+        at, size = 0, STRETCH
+        while at < len(marked):
+            found = SEGMENT.findall(marked, at, at + size)
+            if at + size < len(marked):
+                if len(found) == 1:
+                    size *= 2
+                    continue
+                found.pop()
+            yield found
+            at, size = at + sum(map(len, found)), STRETCH
 
     def segments(self, text: str) -> list[str]:
-        return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+        return [*chain.from_iterable(self.stretches(text))]
+
+    def forget(self) -> None:
+        """Keep only the younger half of what is remembered."""
+        self.older = {}
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, with the end id."""
@@ -295,28 +331,40 @@ def encode_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     worker from its own installation when it is not given."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
+
+    def rows_of(keys, rows):
+        counts, digests, decoded, lists = zip(*rows)
+        columns = [keys, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+        if ids:
+            offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches):
         pieces = load(model or default_model())
         end = str(pieces.end)
         for batch in batches:
-            counts, digests, decoded, lists = [], [], [], []
-            for value in batch.column(1):
-                got = pieces.digest_parts(value.as_py() or "")
-                joined = " ".join([*[g[1] for g in got], end])
-                back = "".join([g[2] for g in got])
-                back = back[1:] if back[:1] == " " else back
-                counts.append(sum([g[0] for g in got]) + 1)
-                digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                if ids:
-                    lists.append([int(i) for i in joined.split(" ")])
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
-                       pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            rows, held, first = [], 0, 0
+            for k, value in enumerate(batch.column(1)):
+                count, hashed, back, found, blank = 1, hashlib.sha256(), hashlib.sha256(), [], True
+                for n, joined, text_back in pieces.digest_parts(value.as_py() or ""):
+                    if blank:  # the blank that encoding adds
+                        text_back, blank = text_back[1:] if text_back[:1] == " " else text_back, False
+                    count += n
+                    hashed.update((joined + " ").encode())
+                    back.update(text_back.encode())
+                    if ids:
+                        found.append(np.fromstring(joined, np.int32, sep=" "))
+                hashed.update(end.encode())
+                rows.append((count, hashed.hexdigest(), back.hexdigest(), np.concatenate([*found, [pieces.end]]).astype(np.int32) if ids else None))
+                held += count
+                if ids and held >= YIELDED:
+                    yield rows_of(batch.column(0).slice(first, k + 1 - first), rows)
+                    rows, held, first = [], 0, k + 1
+            if rows:
+                yield rows_of(batch.column(0).slice(first), rows)
+        pieces.forget()
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(

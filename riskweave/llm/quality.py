@@ -14,6 +14,7 @@ a hash); scoring reads every passage of every text inside the tasks.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 PASSAGE = 640          # bytes of UTF-8
 PER_CLASS = 2000       # labelled documents of each label that a fit reads at most
 PER_DOC = 32           # passages of one of those documents at most
+BLOCK = 1024           # passages that are scored at once
 THRESHOLD = 0.7
 
 
@@ -74,6 +76,48 @@ def passage_counts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def passage_blocks(data: np.ndarray, passages: int = BLOCK) -> Iterator[np.ndarray]:
+    """What passage_counts gives, a bounded number of passages at a time."""
+    size = passages * PASSAGE
+    if len(data) <= size:
+        yield passage_counts(data)
+        return
+    before = None  # sign of the last word
+    for at in range(0, len(data), size):
+        stop = min(at + size, len(data))
+        n = -(-(stop - at) // PASSAGE)
+        out = np.zeros((n, WIDTH), np.uint16)
+        kind = TABLE[data[at:stop + 1]].astype(np.int64)
+        pairs = kind[:-1] * N_CLASSES + kind[1:] + (np.arange(len(kind) - 1) // PASSAGE) * PAIRS
+        out[:, :PAIRS] = np.bincount(pairs, minlength=n * PAIRS)[:n * PAIRS].reshape(n, PAIRS)
+        # words that begin in the block, the last one up to its end
+        first = at if at == 0 or BREAK[data[at - 1]] else _next_break(data, at)
+        last = stop if stop == len(data) or BREAK[data[stop - 1]] else _next_break(data, stop)
+        if first < stop:
+            part = data[first:last]
+            ends = np.append(np.flatnonzero(BREAK[part]), len(part))
+            starts = np.append(0, ends[:-1] + 1)
+            total = np.append(0, np.cumsum(SIGN[part]))
+            sign = (total[ends] - total[starts]) & 0xFFFFFFFF
+            sign, place = sign[ends > starts], (starts[ends > starts] + first - at) // PASSAGE
+            if len(sign):
+                words = np.maximum(np.bincount(place, minlength=n), 1)
+                same = np.append(before is not None and sign[0] == before, sign[1:] == sign[:-1])
+                out[:, PAIRS] = 1000 * np.bincount(place[same], minlength=n) // words
+                out[:, PAIRS + 1] = 1000 * np.bincount(np.unique(place << 32 | sign) >> 32, minlength=n) // words
+                before = sign[-1]
+        yield out
+
+
+def _next_break(data: np.ndarray, at: int) -> int:
+    while at < len(data):
+        found = np.flatnonzero(BREAK[data[at:at + 65536]])
+        if len(found):
+            return at + int(found[0])
+        at += 65536
+    return len(data)
+
+
 def encode(counts: np.ndarray) -> np.ndarray:
     """Roots of the shares, so that rare neighbours still weigh something."""
     x = counts.astype(np.float32)
@@ -95,13 +139,30 @@ class Model:
             return np.full(len(starts), self.prior)
         return _forward(self.weights, x, starts)["score"]
 
+    def score_blocks(self, blocks: Iterator[np.ndarray]) -> float:
+        """Score of one bag that comes in blocks: the attention is kept as its largest
+        exponent, the sum of the weights and the weighted sum."""
+        if self.prior is not None:
+            return self.prior
+        w, most, total, z = self.weights, -np.inf, 0.0, 0.0
+        for x in blocks:
+            h, e = _attention(w, x)[:2]
+            now = max(most, e.max())
+            a = np.exp(e - now)
+            total, z, most = total * np.exp(most - now) + a.sum(), z * np.exp(most - now) + a @ h, now
+        return float(1 / (1 + np.exp(-(z / total @ w["c"] + w["d"]))))
+
+
+def _attention(w, x):
+    h = np.tanh(x @ w["W"] + w["b"])
+    t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
+    return h, (t * g) @ w["a"], t, g
+
 
 def _forward(w, x, starts):
     sizes = np.diff(np.append(starts, len(x)))
     bag = np.repeat(np.arange(len(starts)), sizes)
-    h = np.tanh(x @ w["W"] + w["b"])
-    t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-    e = (t * g) @ w["a"]
+    h, e, t, g = _attention(w, x)
     e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
     a = e / np.add.reduceat(e, starts)[bag]
     z = np.add.reduceat(a[:, None] * h, starts, axis=0)
@@ -182,10 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
         for b in batches:
             ids, labels_, rows = [], [], []
             for i, value, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                counts = passage_counts(np.frombuffer((value or "").encode(), np.uint8))
-                if len(counts) > per_doc:
-                    keep = np.random.default_rng(zlib.crc32(str(i).encode())).permutation(len(counts))[:per_doc]
-                    counts = counts[np.sort(keep)]
+                data = np.frombuffer((value or "").encode(), np.uint8)
+                size = max(1, -(-len(data) // PASSAGE))
+                keep = np.arange(size)
+                if size > per_doc:
+                    keep = np.sort(np.random.default_rng(zlib.crc32(str(i).encode())).permutation(size)[:per_doc])
+                kept = [block[keep[(keep >= k * BLOCK) & (keep < (k + 1) * BLOCK)] - k * BLOCK]
+                        for k, block in enumerate(passage_blocks(data))]
+                counts = np.concatenate(kept)
                 ids.append(i)
                 labels_.append(y)
                 rows.append(counts.tobytes())
@@ -207,13 +272,27 @@ def scorer(model: Model):
     """A column function from text to score; a null text counts as empty."""
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        out = []
-        for start in range(0, len(texts), 64):
-            counts = [passage_counts(np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid
-                                     else np.zeros(0, np.uint8)) for v in texts[start:start + 64]]
-            starts = np.append(0, np.cumsum([len(c) for c in counts])[:-1])
-            out.append(model.scores(encode(np.concatenate(counts)), starts).astype(np.float64))
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        out = np.zeros(len(texts))
+        bags, at = [], []
+
+        def finish():
+            if bags:
+                starts = np.append(0, np.cumsum([len(c) for c in bags])[:-1])
+                out[at] = model.scores(encode(np.concatenate(bags)), starts)
+                bags.clear()
+                at.clear()
+
+        for k, v in enumerate(texts):
+            data = np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(0, np.uint8)
+            if len(data) > BLOCK * PASSAGE:
+                out[k] = model.score_blocks(map(encode, passage_blocks(data)))
+                continue
+            bags.append(passage_counts(data))
+            at.append(k)
+            if sum(map(len, bags)) >= BLOCK or len(bags) >= 64:
+                finish()
+        finish()
+        return pa.array(out)
 
     return score
 

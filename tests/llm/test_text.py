@@ -239,3 +239,48 @@ def test_all_article_blocks_of_the_table(spark, tree):
         parts = re.split(r"<(?:/?p|/?h1|/?li|/?ul|/?div)[^>]*>", re.sub(r"</?b>|<br>", " ", inside))
         expected = [" ".join(html.unescape(p).split()) for p in parts]
         assert pages.main_text(r.html, tree) == "\n".join(e for e in expected if e)
+
+
+def test_blocks_of_passages_equal_whole_texts():
+    rng = random.Random(12)
+    w = {k: np.random.default_rng(k).normal(size=s).astype(np.float32) for k, s in enumerate([(quality.WIDTH, 6), 6, (6, 4), (6, 4), 4, 6])}
+    model = quality.Model(dict(zip("WbVUac", w.values())) | {"d": np.float32(0.1)})
+    for n in (0, 1, 639, 640, 641, 1280, 1300, 9000):
+        text = "".join(rng.choice(["a b", "word word ", "\n", "x" * rng.randint(1, 900), "é "]) for _ in range(n // 3 + 1))[:n]
+        data = np.frombuffer(text.encode(), np.uint8)
+        whole = quality.passage_counts(data)
+        for passages in (1, 2, 5):
+            blocks = list(quality.passage_blocks(data, passages))
+            assert (np.concatenate(blocks) == whole).all()
+            assert max(map(len, blocks)) <= passages
+        one = model.scores(quality.encode(whole), np.array([0]))[0]
+        assert abs(model.score_blocks(map(quality.encode, quality.passage_blocks(data, 2))) - one) < 1e-5
+
+
+def test_stretches_give_the_segments_of_the_whole(monkeypatch):
+    table = pieces.load(pieces.default_model())
+    text = "ab  cd\n" + " " * 70 + "x" * 90 + "12 .. é漢▁z" * 40
+    whole = table.segments(text)
+    ids = table.encode(text)
+    monkeypatch.setattr(pieces, "STRETCH", 16)
+    assert table.segments(text) == whole and table.encode(text) == ids
+    n, joined, back = zip(*table.digest_parts(text))
+    assert " ".join(joined) == " ".join(map(str, ids[:-1])) and sum(n) == len(ids) - 1 and len(n) > 5
+    assert "".join(back)[1:] == table.decode(ids)
+
+
+def test_memories_are_bounded(monkeypatch):
+    table = pieces.load(pieces.default_model())
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    monkeypatch.setattr(pieces, "NEIGHBOURS", 100)
+    table.short, table.older = {}, {}
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(2, 9))) for _ in range(3000))
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    list(table.digest_parts(text))
+    assert len(table.short) <= 50 and len(table.older) <= 50
+    assert table.encode(text)[:-1] == model.encode(text)
+    assert sum(map(len, table.after)) <= 101
+    table.forget()
+    assert not table.older
