@@ -1,25 +1,23 @@
 """Imputation.
 
 Stage 1 fills a missing value from the mean of its (label, sex) group when the
-label is known; stage 2 predicts the rest with an OLS model per sex.  Group
-means are a (labels x sexes) table in an ordinary join; the OLS fit
-is Spark ML's normal-equation solver (one distributed pass to aggregate X'X and
-X'y, a tiny solve on the driver).  Predicting on the rows that need it and
-coalescing replaces the study's split/predict/union dance.
+label is known; stage 2 predicts the rest with an OLS model per sex.  Group means are a
+(labels x sexes) table in an ordinary join; the models of all groups come from one
+aggregation (``normal``), and so does their error on rows that are held out.  Predicting
+on the rows that need it replaces the study's split/predict/union dance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recode import poly_terms, sentinel_to_null
 from ..session import materialize
+from . import normal
+from .common import attach_row
 from .sampling import hash_split
 
 
@@ -44,24 +42,6 @@ def impute_group_mean(df: DataFrame, value: str, label: str, keys: Sequence[str]
             .drop("prediction_mm")
 
 
-def fit_ols(df: DataFrame, formula: str):
-    """L1/L2: RFormula features (``.`` and ``age:.`` interactions allowed) + OLS."""
-    rf = RFormula(formula=formula, featuresCol="_features", labelCol="_label",
-                  handleInvalid="error")
-    rfm = rf.fit(df)
-    lr = LinearRegression(featuresCol="_features", labelCol="_label", solver="normal",
-                          regParam=0.0, elasticNetParam=0.0, fitIntercept=True)
-    model = lr.fit(rfm.transform(df))
-    return rfm, model
-
-
-def predict(df: DataFrame, fitted, out: str) -> DataFrame:
-    """L3: append predictions (the label column need not be present)."""
-    rfm, model = fitted
-    pred = model.setPredictionCol(out).transform(rfm.transform(df))
-    return pred.drop("_features", "_label")
-
-
 def ols_coefficients(df: DataFrame, value: str, covariate: str, group: str) -> DataFrame:
     """L4 (one covariate): intercept, slope, n and R^2 per group, in one aggregation.
     A group without spread in the covariate has a null intercept and slope."""
@@ -71,48 +51,23 @@ def ols_coefficients(df: DataFrame, value: str, covariate: str, group: str) -> D
                  F.regr_count(y, x).cast("long").alias("n"), F.regr_r2(y, x).alias("r2")))
 
 
-def _fillable(todo: DataFrame, train: DataFrame, features: Sequence[str]) -> Column:
-    """Rows a fit on ``train`` can predict: no null feature, no text level that the
-    fit has not seen.  Levels are a small aggregate of the training rows."""
-    ok = F.lit(True)
-    for c, kind in train.select(*features).dtypes:
-        ok = ok & todo[c].isNotNull()
-        if kind == "string":
-            levels = [r[0] for r in train.select(c).distinct().collect() if r[0] is not None]
-            ok = ok & todo[c].isin(levels)
-    return ok
-
-
-def impute_by_model(df: DataFrame, value: str, group: str, formula: str, feature_df_cols: Sequence[str],
+def impute_by_model(df: DataFrame, value: str, group: str, features: Sequence[str], interact: str | None = None,
                     flag: str | None = None) -> DataFrame:
     """L3/L6 stage 2: per-group OLS fitted on observed rows, used where value is null.
 
     A value stays null (and its flag null) where there is nothing to predict it from:
     a null group, a group without an observed value, a null feature, or a category
-    that no observed row of the group has."""
-    pred_col = f"_{value}_pred"
-    observed = F.col(value).isNotNull()
-    levels = [r[0] for r in df.where(F.col(group).isNotNull() & observed).select(group).distinct().collect()]
-    if flag and flag not in df.columns:
-        df = df.withColumn(flag, F.when(observed, F.lit(0)))
-
-    def one(g):
-        sub = df.where(F.col(group) == g)
-        train = sub.where(observed).select(value, *feature_df_cols).na.drop()
-        fitted = fit_ols(train, formula)
-        todo = sub.where(~observed)
-        can = _fillable(todo, train, feature_df_cols)
-        filled = predict(todo.where(can), fitted, pred_col).withColumn(value, F.col(pred_col)).drop(pred_col)
-        return (filled.withColumn(flag, F.lit(2)) if flag else filled).unionByName(todo.where(~can))
-
-    # the per-group fits are independent Spark jobs: submit them concurrently
-    with ThreadPoolExecutor(max_workers=max(1, min(4, len(levels)))) as pool:
-        parts = list(pool.map(one, sorted(levels)))
-    left = F.col(group).isNull() | ~F.col(group).isin(levels) if levels else F.lit(True)
-    out = df.where(observed | left)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    that no observed row of the group has.  Two aggregations fit all groups; the rows
+    are then read once."""
+    made = normal.design(df, value, features, interact)
+    fit = normal.fits(normal.grams(df.where(F.col(group).isNotNull()), made, value, [group]), made)
+    pred = f"_{value}_pred"
+    out = normal.predicted(df, fit, made, [group], pred)
+    filled = F.col(value).isNull() & F.col(pred).isNotNull()
+    if flag:
+        before = F.col(flag) if flag in df.columns else F.when(F.col(value).isNotNull(), F.lit(0))
+        out = out.withColumn(flag, F.when(filled, F.lit(2)).otherwise(before))
+    return out.withColumn(value, F.coalesce(F.col(value), F.col(pred))).drop(pred)
 
 
 def model_frame(df: DataFrame, age: str = "age", fill_zero: Sequence[str] = ()) -> DataFrame:
@@ -122,40 +77,33 @@ def model_frame(df: DataFrame, age: str = "age", fill_zero: Sequence[str] = ())
 
 
 def impute_two_stage(df: DataFrame, value: str = "bmi", label: str = "bmi_cat",
-                     group: str = "sex", features: Sequence[str] = (), formula: str | None = None,
+                     group: str = "sex", features: Sequence[str] = (), interact: str | None = None,
                      flag: str = "imputed") -> DataFrame:
     """Sentinel 0 -> null, group-mean fill where the label is known, then OLS per
     group for the rest; ``imputed`` is 0 observed, 1 group mean, 2 model."""
     x = df.withColumn(value, sentinel_to_null(F.col(value), 0))
-    # The model stage makes several passes (indexers, normal equations, per
-    # group): checkpoint the stage-1 frame once instead of recomputing its lineage.
+    # three passes of the model stage read the stage-1 frame: write it once
     x = materialize(impute_group_mean(x, value, label, [label, group], flag=flag))
-    formula = formula or f"{value} ~ " + " + ".join(features)
-    return impute_by_model(x, value, group, formula, list(features), flag=flag)
+    return impute_by_model(x, value, group, list(features), interact, flag=flag)
 
 
 def imputer_mse(df: DataFrame, id_col: str, value: str, label: str, group: str,
-                covariate: str, frac: float = 0.7, salt: str = "split", formula: str | None = None,
-                features: Sequence[str] = ()) -> DataFrame:
-    """Hold-out MSE of the group-mean imputer vs a per-group OLS imputer, on the
-    covariate alone or, with ``formula`` over ``features``, the full model."""
-    x = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    x = hash_split(x, id_col, frac, salt)
-    if formula:
-        x = materialize(x)
+                features: Sequence[str], interact: str | None = None, frac: float = 0.7,
+                salt: str = "split") -> DataFrame:
+    """Hold-out MSE of the group-mean imputer vs a per-group OLS imputer on
+    ``features``, and the number of test rows.
+
+    The models' errors come from sums of products alone (``normal.holdout``): mse_lm is
+    over the test rows whose features are known, and null if the training rows of a
+    group lack a level of its test rows.  A test row without a mean leaves mse_mm."""
+    x = materialize(hash_split(df.where(F.col(value).isNotNull() & F.col(label).isNotNull()), id_col, frac, salt))
+    made = normal.design(x.where(F.col("split") == "training"), value, features, interact)
+    lm = normal.holdout(x.where(F.col(group).isNotNull()), made, value, [group]).agg(
+        F.when(F.count("sse_test") == F.count(F.lit(1)), F.try_divide(F.sum("sse_test"), F.sum("n_test"))).alias("mse_lm"))
     train, test = x.where(F.col("split") == "training"), x.where(F.col("split") == "test")
-    if formula:
-        hidden = train.withColumn("_truth", F.lit(None).cast("double")).unionByName(
-            test.withColumn("_truth", F.col(value).cast("double")).withColumn(value, F.lit(None).cast("double")))
-        t = impute_by_model(hidden, value, group, formula, features).where(F.col("split") == "test")
-        t = t.withColumn("_lm", F.col(value)).withColumn(value, F.col("_truth"))
-    else:
-        t = test.join(ols_coefficients(train, value, covariate, group).drop("n", "r2"), group, "left")
-        t = t.withColumn("_lm", F.col("intercept") + F.col("slope") * F.col(covariate))
-    t = t.join(group_means(train, value, [label, group]), [label, group], "left")
-    return t.agg(F.avg(F.pow(F.col(value) - F.col("_lm"), 2)).alias("mse_lm"),
-                 F.avg(F.pow(F.col(value) - F.col("prediction_mm"), 2)).alias("mse_mm"),
-                 F.count(F.lit(1)).alias("n_test"))
+    t = test.join(group_means(train, value, [label, group]), [label, group], "left")
+    mm = t.agg(F.avg(F.pow(F.col(value) - F.col("prediction_mm"), 2)).alias("mse_mm"), F.count(F.lit(1)).alias("n_test"))
+    return attach_row(lm, mm)
 
 
 def impute_audit(df: DataFrame, value: str, group: str, flag: str) -> DataFrame:

@@ -20,6 +20,7 @@ from ..operators import describe as ds
 from ..operators import impute as im
 from ..operators import linkage as lk
 from ..operators import metrics as mt
+from ..operators import normal as nm
 from ..operators import quantiles as qt
 from ..operators import sampling as sp
 from ..operators import score as sc
@@ -414,18 +415,22 @@ def q_coalesce_pred(spark, sf_dir):
 
 
 def q_imputer_mse(spark, sf_dir):
-    return rounded(im.imputer_mse(_bmi_clean(spark, sf_dir), "person_id", "bmi", "bmi_cat", "sex", "age"))
+    return rounded(im.imputer_mse(_bmi_clean(spark, sf_dir), "person_id", "bmi", "bmi_cat", "sex", ["age"]))
 
 
 def q_imputer_mse_full(spark, sf_dir):
     x = _model_frame(spark, sf_dir).withColumn("bmi", recode.sentinel_to_null(F.col("bmi"), 0))
-    return rounded(im.imputer_mse(x, "person_id", "bmi", "bmi_cat", "sex", "age",
-                                  formula="bmi ~ . + age:.", features=OLS_FEATURES))
+    return rounded(im.imputer_mse(x, "person_id", "bmi", "bmi_cat", "sex", OLS_FEATURES, "age"))
 
 
 def q_ols_fit(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).where(F.col("bmi").isNotNull())
-    return rounded(im.ols_coefficients(x, "bmi", "age", "sex").drop("r2"))
+    return rounded(im.ols_coefficients(x, "bmi", "age", "sex"))
+
+
+def q_ols_summary(spark, sf_dir):
+    x = _model_frame(spark, sf_dir).withColumn("bmi", recode.sentinel_to_null(F.col("bmi"), 0))
+    return rounded(nm.summary(x, "bmi", ["age", "flag_a", "flag_b", "n_rec", "supplier_x", "grp"], ["sex"], "age"))
 
 
 def q_impute_audit(spark, sf_dir):
@@ -443,13 +448,13 @@ def _model_frame(spark, sf_dir):
 def q_ols_impute(spark, sf_dir):
     x = _model_frame(spark, sf_dir)
     x = materialize(x.withColumn("bmi", recode.sentinel_to_null(F.col("bmi"), 0)))
-    out = im.impute_by_model(x, "bmi", "sex", "bmi ~ . + age:.", OLS_FEATURES, flag="imputed")
+    out = im.impute_by_model(x, "bmi", "sex", OLS_FEATURES, "age", flag="imputed")
     return rounded(out.where(F.col("imputed") == 2).select("person_id", "sex", "bmi"))
 
 
 def q_impute_two_stage(spark, sf_dir):
     x = _model_frame(spark, sf_dir)
-    out = im.impute_two_stage(x, features=OLS_FEATURES, formula="bmi ~ . + age:.")
+    out = im.impute_two_stage(x, features=OLS_FEATURES, interact="age")
     return rounded(out.select("person_id", "sex", "bmi", "bmi_cat", "imputed"))
 
 

@@ -75,8 +75,8 @@ causes AS (
 """
 
 
-def with_cohort(body: str) -> str:
-    return "WITH " + COHORT.strip() + ",\n" + body.strip()
+def with_cohort(body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + COHORT.strip() + ",\n" + body.strip()
 
 
 def tile_groups(k: int, src: str = "scored", score: str = "score") -> str:

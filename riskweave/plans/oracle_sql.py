@@ -1,13 +1,10 @@
 """Registry of oracle SQL strings keyed like ``catalog.QUERIES``.
-
-Rows-only keys (no entry here): ``ols_impute`` and ``impute_two_stage`` (multi-
-covariate OLS), ``d_statistic``, ``r2_d`` and ``metrics_row`` (Cox fit); they are
-checked by brute-force tests instead.
 """
 
 from __future__ import annotations
 
 from ..operators.sampling import threshold_hex
+from . import oracle_ols as ols
 from .oracle_cox import d_sql
 from .oracle import calibration_long_sql, threshold_sql, tile_groups, with_cohort
 
@@ -304,8 +301,12 @@ FROM pk, ns GROUP BY ns.n_spine""",
         " round(avg(power(te.bmi - mm.pm, 2)), 6) AS mse_mm, count(*) AS n_test"
         " FROM te LEFT JOIN mm USING (bmi_cat, sex) LEFT JOIN co USING (sex)"),
     "ols_fit": with_cohort(BC + " SELECT sex, round(regr_intercept(bmi, age), 6) AS intercept,"
-                           " round(regr_slope(bmi, age), 6) AS slope, count(*) AS n FROM bc"
+                           " round(regr_slope(bmi, age), 6) AS slope, count(*) AS n, round(regr_r2(bmi, age), 6) AS r2 FROM bc"
                            " WHERE bmi IS NOT NULL AND age IS NOT NULL AND sex IS NOT NULL GROUP BY sex"),
+    "ols_summary": with_cohort(ols.summary_sql(BC), recursive=True),
+    "ols_impute": with_cohort(ols.impute_sql(BC, two_stage=False), recursive=True),
+    "impute_two_stage": with_cohort(ols.impute_sql(BC, two_stage=True), recursive=True),
+    "imputer_mse_full": with_cohort(ols.holdout_sql(BC, SPLIT70), recursive=True),
     "impute_audit": with_cohort(
         BC + ", gm AS (SELECT bmi_cat, sex, avg(bmi) AS m FROM bc WHERE bmi IS NOT NULL AND bmi_cat IS NOT NULL"
         " AND sex IS NOT NULL GROUP BY ALL),"
