@@ -13,18 +13,15 @@ score and time compress a national cohort enormously; a hot score value
 collapses to at most one cell per distinct k).  For each probe cell the three
 sums over member cells with ``k' > k`` are needed:
 
-* ``above = sum W'`` over ``k' > k``                     (small (group, k) table)
+* ``above = sum W'`` over ``k' > k``                     (running sum over spans of k)
 * ``less, equal = sum W'`` over ``k' > k`` and ``r' < r``, ``r' = r`` (the 2-D part)
 
 The 2-D part uses a dyadic decomposition of k: the set ``{k' > k}`` is the disjoint
-union over bits b where k has a 0 of the nodes ``k' >> b == (k >> b) + 1``.
-Members are listed once per level, probes once per 0-bit, and inside each
-(group, level, node) a running sum over r gives the member weight below r, and the
-member row of the same r the weight equal to it, in one sorted pass.  To keep those
-window partitions small, the cells are range-partitioned by (group, r) once: the
-running sum runs inside (group, level, node, r-range) and exact offsets from
-earlier ranges come from a small per-range total table.  Every shuffle is
-therefore hash-partitioned on many keys; no step holds a whole group.
+union over bits b where k has a 0 of the nodes ``k' >> b == (k >> b) + 1``.  The cells
+are range-partitioned by (group, r) once.  Inside a range a task sorts its members by
+(node, r) and sums them; what earlier ranges add is the sum of their totals by node, a
+table of (range, k) that is listed by level and summed over ranges.  Person rows and
+cells are never multiplied, and no step holds a whole group.
 
 The jackknife needs each cell's sums on both sides of a pair, so the same
 routine runs a second time with events as members, all cells as probes and k
@@ -33,34 +30,38 @@ mirrored.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import attach_row, null_safe_join
+from .common import WHOLE_NUMBERS, attach_row, null_safe_join
 from .rank import ROWS_PER_RANGE, global_rank, ranges
-
-WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
-
+from .running import running_sums
 
 def cells(df: DataFrame, by: list[str], time: str, event: str, pred: str,
           weight: str | None = None) -> DataFrame:
-    """Collapse rows to (by, r, k) with W = sum w, W2 = sum w^2, N = rows.
+    """Collapse rows to (by, r, k) with W = sum w, W2 = sum w^2, N = rows."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    tallied = (df.groupBy(*by, F.col(pred).cast("double").alias("r"), F.col(time).alias("_t"), F.col(event).alias("_e"))
+               .agg(F.sum(w).alias("W"), F.sum(w * w).alias("W2"), F.count(F.lit(1)).alias("N")))
+    return placed_cells(tallied, by)
+
+
+def placed_cells(tallied: DataFrame, by: list[str], time: str = "_t", event: str = "_e") -> DataFrame:
+    """(by, r, k, W, W2, N) from rows already summed by (by, r, time, event).
 
     ``k`` follows the order of (time, censored after event).  Whole-number times, also
     negative ones, are used as they are; other times by their rank among all times."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    base = df.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(pred).isNotNull())
-    base = base.select(*by, F.col(pred).cast("double").alias("r"), F.col(time).alias("_t"),
-                       F.col(event).cast("long").alias("_e"), w.alias("w"))
-    if dict(df.dtypes)[time] not in WHOLE_NUMBERS:
+    base = tallied.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col("r").isNotNull())
+    if dict(tallied.dtypes)[time] not in WHOLE_NUMBERS:
         base = materialize(base)
-        places = global_rank(base.select("_t").distinct(), [], "_t", rank_col="_place").select(
-            F.col("_t").alias("_time"), "_place")
-        base = base.join(places, F.col("_t") == F.col("_time")).withColumn("_t", F.col("_place"))
-    return (base.groupBy(*by, "r", (F.col("_t").cast("long") * 2 + 1 - F.col("_e")).alias("k"))
-            .agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("w")).alias("W2"),
-                 F.count(F.lit(1)).alias("N")))
+        places = global_rank(base.select(time).distinct(), [], time, rank_col="_place").select(
+            F.col(time).alias("_time"), "_place")
+        base = base.join(places, F.col(time) == F.col("_time")).withColumn(time, F.col("_place"))
+    k = F.col(time).cast("long") * 2 + 1 - F.col(event).cast("long")
+    return base.groupBy(*by, "r", k.alias("k")).agg(*[F.sum(c).alias(c) for c in ("W", "W2", "N")])
 
 
 def _explode_levels(df: DataFrame, nbits: int, probe: bool) -> DataFrame:
@@ -74,55 +75,68 @@ def _explode_levels(df: DataFrame, nbits: int, probe: bool) -> DataFrame:
     return x
 
 
+def _inside(nbits: int):
+    """Function for one (group, range): of every probe row (typ 0) the weight of the member
+    rows (typ 1) with a larger k and a smaller r (less) or the same r (equal).
+
+    Level by level the members are sorted by (node, r); a probe's node is one stretch."""
+    def run(t: pa.Table) -> pa.Table:
+        member = t.column("typ").to_numpy() == 1
+        r, k, w = (t.column(c).to_numpy() for c in ("r", "k", "W"))
+        values, place = np.unique(r, return_inverse=True)
+        width = len(values)
+        mr, mk, mw = place[member], k[member], w[member]
+        pr, pk = place[~member], k[~member]
+        less, equal = np.zeros(len(pr)), np.zeros(len(pr))
+        for b in range(nbits):
+            at = np.flatnonzero((pk >> b) & 1 == 0)
+            if not len(at) or not len(mk):
+                continue
+            key = (mk >> b) * width + mr
+            order = np.argsort(key, kind="stable")
+            key, total = key[order], np.append(0.0, np.cumsum(mw[order]))
+            node = ((pk[at] >> b) + 1) * width
+            first, here = np.searchsorted(key, node), np.searchsorted(key, node + pr[at])
+            past = np.searchsorted(key, node + pr[at], side="right")
+            less[at] += total[here] - total[first]
+            equal[at] += total[past] - total[here]
+        probes = t.filter(pa.array(~member)).drop_columns(["typ", "W"])
+        return probes.append_column("_in", pa.array(less)).append_column("equal", pa.array(equal))
+
+    return run
+
+
 def dominance(members: DataFrame, probes: DataFrame, by: list[str], nbits: int) -> DataFrame:
     """For every distinct probe (by, r, k): member weight with k' > k split by r' vs r.
 
     ``members`` has (by, rb, r, k, W); ``probes`` has (by, rb, r, k), where rb is the
     range of (by, r).  Returns (by, r, k, less, equal, above)."""
-    m = members.select(*by, "rb", "r", "k", "W")
-    p = probes.select(*by, "rb", "r", "k").distinct()
-
-    # less and equal: dyadic nodes x r-ranges
-    ml = _explode_levels(m, nbits, probe=False)
-    pl = _explode_levels(p, nbits, probe=True)
-    part = [*by, "lvl", "node", "rb"]
-    # members sharing (node, r) are interchangeable: at upper levels whole
-    # ranges of k collapse into one row before the sort.
-    ml = ml.groupBy(*part, "r").agg(F.sum("W").alias("W"))
-    u = (ml.select(*part, "r", F.lit(1).alias("typ"), "W", F.lit(None).cast("long").alias("pk"))
-         .unionByName(pl.select(*part, "r", F.lit(0).alias("typ"), F.lit(0.0).alias("W"),
-                                F.col("k").alias("pk"))))
-    w_in = Window.partitionBy(*part).orderBy("r", "typ").rowsBetween(Window.unboundedPreceding, 0)
-    # the same sort serves both: a node has one member row for each r
-    within = (u.withColumn("cw", F.sum("W").over(w_in))
-              .withColumn("eq", F.sum("W").over(Window.partitionBy(*part, "r"))).where(F.col("typ") == 0)
-              .select(*part, "r", F.col("pk").alias("k"), "cw", "eq"))
-    tot = ml.groupBy(*part).agg(F.sum("W").alias("NW"))
-    keys = pl.select(*part).distinct()
+    m = members.select(*by, "rb", "r", "k", F.lit(1).alias("typ"), F.col("W").cast("double").alias("W"))
+    p = probes.select(*by, "rb", "r", "k").distinct().select("*", F.lit(0).alias("typ"), F.lit(0.0).alias("W"))
+
+    # inside a range of r: one task has its cells, as many as a range holds
+    kinds = ", ".join(f"`{c}` {t}" for c, t in p.drop("typ", "W").dtypes)
+    within = m.unionByName(p).groupBy(*by, "rb").applyInArrow(_inside(nbits), f"{kinds}, _in double, equal double")
+
+    # earlier ranges: their totals by node, summed over ranges
     node = [*by, "lvl", "node"]
+    totals = _explode_levels(m.groupBy(*by, "rb", "k").agg(F.sum("W").alias("W")), nbits, probe=False)
+    totals = totals.groupBy(*node, "rb").agg(F.sum("W").alias("W"))
+    asked = _explode_levels(p.select(*by, "rb", "k").distinct(), nbits, probe=True)
     w_off = Window.partitionBy(*node).orderBy("rb", "typ").rowsBetween(Window.unboundedPreceding, 0)
-    offs = (tot.select(*part, F.lit(1).alias("typ"), "NW")
-            .unionByName(keys.select(*part, F.lit(0).alias("typ"), F.lit(0.0).alias("NW")))
-            .withColumn("off", F.sum("NW").over(w_off)).where(F.col("typ") == 0)
-            .select(*part, "off"))
-    less = (null_safe_join(within, offs, part)
-            .groupBy(*by, "r", "k").agg(F.sum(F.col("cw") + F.col("off")).alias("less"), F.sum("eq").alias("equal")))
-
-    # above: k' > k within the group (small table)
-    mk = m.groupBy(*by, "k").agg(F.sum("W").alias("W"))
-    pk = p.select(*by, "k").distinct()
-    w_ab = ((Window.partitionBy(*by) if by else Window.partitionBy())
-            .orderBy(F.desc("k"), "typ").rowsBetween(Window.unboundedPreceding, 0))
-    above = (mk.select(*by, "k", F.lit(1).alias("typ"), "W")
-             .unionByName(pk.select(*by, "k", F.lit(0).alias("typ"), F.lit(0.0).alias("W")))
-             .withColumn("above", F.sum("W").over(w_ab)).where(F.col("typ") == 0)
-             .select(*by, "k", "above"))
-
-    out = null_safe_join(p.select(*by, "r", "k"), less, [*by, "r", "k"], "left")
+    before = (totals.select(*node, "rb", F.lit(1).alias("typ"), "W", F.lit(None).cast("long").alias("k"))
+              .unionByName(asked.select(*node, "rb", F.lit(0).alias("typ"), F.lit(0.0).alias("W"), "k"))
+              .withColumn("_off", F.sum("W").over(w_off)).where("typ = 0")
+              .groupBy(*by, "rb", "k").agg(F.sum("_off").alias("_off")))
+
+    # above: k' > k within the group, summed over spans of k
+    both = (m.unionByName(p).groupBy(*by, "k").agg(F.sum("W").alias("W"))
+            .withColumn("_range", F.shiftright("k", nbits // 2)))
+    above = running_sums(both, by, "k", {"above": "W"}, reverse=True, inclusive=False).select(*by, "k", "above")
+
+    out = null_safe_join(within, before, [*by, "rb", "k"], "left")
     out = null_safe_join(out, above, [*by, "k"], "left")
-    return out.select(*by, "r", "k",
-                      F.coalesce("less", F.lit(0.0)).alias("less"),
-                      F.coalesce("equal", F.lit(0.0)).alias("equal"),
+    return out.select(*by, "r", "k", (F.col("_in") + F.coalesce("_off", F.lit(0.0))).alias("less"), "equal",
                       F.coalesce("above", F.lit(0.0)).alias("above"))
 
 
@@ -131,7 +145,8 @@ def concordance(df: DataFrame, by: list[str], time: str = "t", event: str = "dea
                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """V3: per group ``con, dis, tied`` (weighted pair counts), ``conc`` and ``conc_var``.
 
-    Groups with no comparable pair get a null concordance."""
+    Groups with no comparable pair get a null concordance; an empty table gives no rows
+    (without group keys one row of zero counts)."""
     return concordance_of_cells(cells(df, by, time, event, pred, weight), by, variance, rows_per_range)
 
 
@@ -139,9 +154,7 @@ def concordance_of_cells(cells_: DataFrame, by: list[str], variance: bool = True
                          rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``concordance`` from the frame that ``cells`` gives, or sums of it."""
     c = ranges(materialize(cells_), [*by, "r"], "rb", rows_per_range)
-    min_k, max_k = c.agg(F.min("k"), F.max("k")).first()
-    if max_k is None:
-        raise ValueError("concordance: no rows with time, event and predictor")
+    min_k, max_k = (k or 0 for k in c.agg(F.min("k"), F.max("k")).first())
     first = min_k // 2 * 2
     c = c.withColumn("k", F.col("k") - F.lit(first))
     nbits = max(1, int(max_k - first).bit_length())

@@ -1,13 +1,14 @@
 """Royston-Sauerbrei D statistic on the full cohort.
 
-1. Exact rank of the score within each group (``rank.global_rank``, skew-safe),
-   scaled rankits ``z = inv_norm((rank - 3/8) / (n + 1/4)) / kappa``, averaged
-   over tied scores (partial aggregation, so a hot tie value is no hot task).
-2. Rows collapse to ``(group, z, t, event)`` cells with summed weights.
-3. A one-covariate Cox model ``Surv(t, event) ~ z`` is fitted per group by
-   Newton-Raphson.  Each iteration is one distributed job: sums per (group, day),
-   reverse running sums over days, Efron's tie sums, and one row per group, which
-   is all that reaches the driver.  D is the coefficient, its standard error
+1. Rows collapse to cells (group, score, t, event) with summed weights, and these to the
+   number of rows of each (group, score).  The ranks of tied rows are consecutive, so a
+   running count over the scores gives all ranks, and no person is sorted.
+2. Rankits ``z = inv_norm((rank - 3/8) / (n + 1/4)) / kappa`` are averaged over the ranks
+   of a tied score, in blocks of ranks, so a hot tie is no hot task.
+3. A one-covariate Cox model ``Surv(t, event) ~ z`` is fitted per group by Newton-Raphson.
+   Each iteration is one distributed job: sums per (group, day), reverse running sums by
+   ranges of days (``running``), Efron's tie sums in closed form, and one row per group,
+   which is all that reaches the driver.  D is the coefficient, its standard error
    ``I(beta)^-1/2``.
 """
 
@@ -15,69 +16,114 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import KAPPA, inv_norm
 from ..session import materialize
-from .common import keyed_join, null_safe_join
-from .rank import global_rank
-
-
-def rankits(df: DataFrame, by: list[str], score: str, tiebreak: str) -> DataFrame:
-    """(by, score, z): scaled normal scores, averaged over tied scores."""
-    ranked = global_rank(df.select(*by, score, tiebreak), by, score, tiebreak, "_rank", "_n")
-    p = (F.col("_rank") - 0.375) / (F.col("_n") + 0.25)
-    return (ranked.withColumn("_z", inv_norm(p) / KAPPA)
-            .groupBy(*by, score).agg(F.avg("_z").alias("z")))
-
-
-def _efron(ties: str) -> tuple[Column, Column, Column]:
-    """Tie sums of a day with d events: sum over the d events, one after another taken
-    out of the risk set in part, of log(S0), S1/S0 and S2/S0 - (S1/S0)^2."""
-    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("u"), F.lit(0.0).alias("i"))
-    part = (lambda k: F.lit(0.0)) if ties == "breslow" else (lambda k: k / F.col("d"))
-
-    def add(s: Column, k: Column) -> Column:
-        f = part(k)
-        den = F.col("s0") - f * F.col("e0")
-        m1, m2 = (F.col("s1") - f * F.col("e1")) / den, (F.col("s2") - f * F.col("e2")) / den
-        return F.struct((s["l"] + F.log(den)).alias("l"), (s["u"] + m1).alias("u"), (s["i"] + m2 - m1 * m1).alias("i"))
-
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("d") - 1), start, add)
-    mean_weight = F.col("dw") / F.col("d")
-    return tuple(mean_weight * total[c] for c in ("l", "u", "i"))
+from .common import WHOLE_NUMBERS, keyed_join, null_safe_join
+from .rank import ROWS_PER_RANGE, ranges
+from .running import running_sums
+
+RANKS = 4096   # of a tied score that are listed in one row
+SPAN = 1024    # days in a range
+STEPWISE = 32  # deaths of a day whose tie terms are added one by one
+
+
+def rankits(counts: DataFrame, by: list[str], score: str, n: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(by, score, z): scaled normal scores averaged over tied scores, from the number of
+    rows ``n`` of each (by, score)."""
+    placed = ranges(materialize(counts.select(*by, score, n)), [*by, score], rows_per_range=rows_per_range)
+    placed = running_sums(placed, by, score, {"_before": n}, inclusive=False, totals={"_all": "_before"})
+    block = F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {RANKS}"))
+    listed = placed.select(*by, score, n, "_before", "_all", F.explode(block).alias("_block"))
+    listed = listed.repartition(*by, score, "_block")  # a hot tie's blocks go to many tasks
+    rank = F.sequence(F.col("_block") * RANKS + 1, F.least(F.col(n), (F.col("_block") + 1) * RANKS))
+    listed = listed.select(*by, score, "_before", "_all", F.explode(rank).alias("_r"))
+    z = inv_norm((F.col("_before") + F.col("_r") - 0.375) / (F.col("_all") + 0.25)) / KAPPA
+    return listed.withColumn("_z", z).groupBy(*by, score).agg(F.avg("_z").alias("z"))
+
+
+def with_tie_sums(days: DataFrame) -> DataFrame:
+    """Add ``logs``, ``ones`` and ``twos``: the sums of log(q - k), 1 / (q - k) and
+    1 / (q - k)^2 for k = 0 .. d - 1 and q = d * s0 / e0, which is d or more.
+
+    The last STEPWISE terms, where q - k may be small, are added one by one, those before
+    by the Euler-Maclaurin formula, whose error there is below 1e-12; so the work does not
+    grow with d.  The formula runs from ``low``, the least argument of the other terms, to q."""
+    x = days.selectExpr("*", "d * s0 / e0 AS q", f"least(d, {STEPWISE}L) AS few")
+    x = x.selectExpr("*", "d - few - 1 AS steps", "q - (d - few - 1) AS low", "d > few AS more", """
+        aggregate(sequence(d - few, d - 1), struct(0D AS l, 0D AS a, 0D AS b), (s, k) -> struct(
+            s.l + ln(q - k) AS l, s.a + 1 / (q - k) AS a, s.b + 1 / ((q - k) * (q - k)) AS b)) AS last""")
+    x = x.selectExpr("*", "-log1p(-steps / q) AS apart")  # log(q / low)
+    x = x.selectExpr(
+        *days.columns,
+        """last.l + if(more, steps * ln(q) + low * apart - steps + (ln(low) + ln(q)) / 2 + (1 / q - 1 / low) / 12
+           - (power(q, -3) - power(low, -3)) / 360 + (power(q, -5) - power(low, -5)) / 1260, 0D) AS logs""",
+        """last.a + if(more, apart + (1 / low + 1 / q) / 2 + (power(low, -2) - power(q, -2)) / 12
+           - (power(low, -4) - power(q, -4)) / 120 + (power(low, -6) - power(q, -6)) / 252, 0D) AS ones""",
+        """last.b + if(more, steps / (low * q) + (power(low, -2) + power(q, -2)) / 2 + (power(low, -3) - power(q, -3)) / 6
+           - (power(low, -5) - power(q, -5)) / 30 + (power(low, -7) - power(q, -7)) / 42, 0D) AS twos""")
+    return x
+
+
+def _tied(risk: DataFrame, by: list[str], ties: str) -> DataFrame:
+    """Log-likelihood, score U and information I of each group, from its days with events.
+
+    Efron takes a day's d events out of the risk set in part, one after another: S_j less
+    k/d of the events' sum is linear in k, so S_j / S_0 is the events' mean plus what the
+    others differ from it, over q - k."""
+    names = ["`" + c + "`" for c in by]
+    if ties == "breslow":
+        x = risk.selectExpr(*names, "_beta", "ez", "dw * ln(s0) AS l", "dw * s1 / s0 AS m", "dw * (s2 / s0 - s1 * s1 / (s0 * s0)) AS v")
+    else:
+        x = with_tie_sums(risk).selectExpr(
+            "*", "dw / d AS w", "e1 / e0 AS own1", "e2 / e0 AS own2", "(s1 - s0 * e1 / e0) * d / e0 AS away1",
+            "(s2 - s0 * e2 / e0) * d / e0 AS away2")
+        x = x.selectExpr(
+            *names, "_beta", "ez", "w * (logs + d * ln(e0 / d)) AS l", "w * (d * own1 + away1 * ones) AS m",
+            "w * (d * own2 + away2 * ones - d * own1 * own1 - 2 * own1 * away1 * ones - away1 * away1 * twos) AS v")
+    return x.groupBy(*by).agg(F.expr("sum(_beta * ez - l) AS ll"), F.expr("sum(ez - m) AS u"), F.expr("sum(v) AS info"))
 
 
 def _step(cells: DataFrame, beta: DataFrame, by: list[str], time: str, event: str, z: str, weight: str,
           count: str, ties: str) -> DataFrame:
     """Log-likelihood, score U and information I of each group at its ``_beta``: sums per
-    day, reverse running sums over the days of a group, tie sums, and one row a group."""
-    x = keyed_join(cells, beta, by)
-    ez = F.exp(F.col("_beta") * F.col(z))
-    w, zz, ev = F.col(weight), F.col(z), F.col(event) == 1
-    died = lambda c: F.sum(F.when(ev, c).otherwise(0.0))
-    days = x.groupBy(*by, "_beta", F.col(time).alias("_t")).agg(
-        F.sum(w * ez).alias("a0"), F.sum(w * zz * ez).alias("a1"), F.sum(w * zz * zz * ez).alias("a2"),
-        died(w * ez).alias("e0"), died(w * zz * ez).alias("e1"), died(w * zz * zz * ez).alias("e2"),
-        died(w).alias("dw"), F.sum(F.when(ev, F.col(count)).otherwise(0)).alias("d"), died(w * zz).alias("ez"))
-    later = Window.partitionBy(*by, "_beta").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = days.select("*", *[F.sum(f"a{k}").over(later).alias(f"s{k}") for k in range(3)]).where("d > 0")
-    log_s, mean_z, var_z = _efron(ties)
-    return risk.groupBy(*by).agg(
-        F.sum(F.col("_beta") * F.col("ez") - log_s).alias("ll"), F.sum(F.col("ez") - mean_z).alias("u"),
-        F.sum(var_z).alias("info"))
+    day, reverse running sums over ranges of days, tie sums, and one row a group."""
+    x = keyed_join(cells, beta, by).selectExpr(
+        *["`" + c + "`" for c in by], "_beta", "_range", f"{time} AS _t", f"{weight} AS w", f"{z} AS zz", f"{count} AS n",
+        f"{weight} * exp(_beta * {z}) AS ww", f"{event} = 1 AS died")
+    sums = {"a0": "ww", "a1": "ww * zz", "a2": "ww * zz * zz"}
+    sums |= {f"e{k}": f"if(died, {v}, 0D)" for k, v in enumerate(sums.values())}
+    sums |= {"dw": "if(died, w, 0D)", "ez": "if(died, w * zz, 0D)", "d": "if(died, n, 0L)"}
+    days = x.groupBy(*by, "_beta", "_range", "_t").agg(*[F.expr(f"sum({v}) AS {k}") for k, v in sums.items()])
+    # one shuffle by range serves the sums within ranges and the ranges' totals
+    days = days.repartition(*by, "_range")
+    risk = running_sums(days, by, "_t", {f"s{k}": f"a{k}" for k in range(3)}, reverse=True).where("d > 0")
+    return _tied(risk, by, ties)
+
+
+def by_days(cells: DataFrame, by: list[str], time: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``cells``, written once, with ``_range``: spans of SPAN days where times are whole
+    numbers, else ranges of (by, time)."""
+    cells = materialize(cells)
+    if dict(cells.dtypes)[time] in WHOLE_NUMBERS:
+        return cells.withColumn("_range", F.floor(F.col(time) / SPAN))
+    return ranges(cells, [*by, time], rows_per_range=rows_per_range)
 
 
 def cox1(cells: DataFrame, by: list[str], z: str = "z", time: str = "t", event: str = "e",
          weight: str = "W", count: str = "N", ties: str = "efron", max_iter: int = 30,
          tol: float = 1e-10) -> DataFrame:
-    """One-covariate Cox fit per group over pre-aggregated cells.
+    """One-covariate Cox fit per group over pre-aggregated cells, whose column ``_range``
+    numbers ranges of (by, time) (one is made if there is none).
 
     Returns (by..., coef, se, loglik, iterations, converged).  A group without events or
     without spread has a null coef; a fit that stops at ``max_iter`` has converged =
     false and a null se.  Three numbers a group and iteration reach the driver."""
     spark = cells.sparkSession
+    if "_range" not in cells.columns:
+        cells = by_days(cells, by, time)
     gkeys = [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
     beta = {g: 0.0 for g in gkeys}
     last: dict = {g: None for g in gkeys}
@@ -114,17 +160,19 @@ def cox1(cells: DataFrame, by: list[str], z: str = "z", time: str = "t", event:
 
 
 def d_statistic(df: DataFrame, by: list[str], time: str = "t", event: str = "death_covid",
-                score: str = "score", weight: str | None = None, tiebreak: str = "person_id",
-                ties: str = "efron") -> DataFrame:
-    """V4: D (Cox coefficient on scaled rankits) and its standard error per group."""
-    base = df.where(F.col(score).isNotNull() & F.col(time).isNotNull() & F.col(event).isNotNull())
-    base = materialize(base.select(*by, tiebreak, score, time, event, *([weight] if weight else [])))  # read twice
-    z = rankits(base, by, score, tiebreak)
+                score: str = "score", weight: str | None = None, ties: str = "efron") -> DataFrame:
+    """V4: D (Cox coefficient on scaled rankits) and its standard error per group; an
+    empty table gives no rows."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    c = (base.groupBy(*by, score, time, event)
-         .agg(F.sum(w).alias("W"), F.count(F.lit(1)).alias("N")))
-    c = null_safe_join(c, z, [*by, score])
-    c = materialize(c.groupBy(*by, "z", F.col(time).alias("t"), F.col(event).alias("e"))
-                    .agg(F.sum("W").alias("W"), F.sum("N").alias("N")))
-    fit = cox1(c, by)
+    cells = df.groupBy(*by, F.col(score).alias("score"), F.col(time).alias("t"), F.col(event).alias("e")).agg(
+        F.sum(w).alias("W"), F.count(F.lit(1)).alias("N"))
+    return d_of_cells(cells, by, ties)
+
+
+def d_of_cells(cells: DataFrame, by: list[str], ties: str = "efron", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``d_statistic`` from rows summed by (by, score, t, e), with weight W and count N."""
+    cells = materialize(cells.where("score IS NOT NULL AND t IS NOT NULL AND e IS NOT NULL"))
+    z = rankits(cells.groupBy(*by, "score").agg(F.sum("N").alias("n")), by, "score", "n", rows_per_range)
+    c = null_safe_join(cells, z, [*by, "score"]).select(*by, "z", "t", "e", "W", "N")
+    fit = cox1(by_days(c, by, "t", rows_per_range), by, ties=ties)
     return fit.select(*by, F.col("coef").alias("d_stat"), F.col("se").alias("d_se"), "converged")

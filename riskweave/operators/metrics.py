@@ -17,8 +17,8 @@ from ..functions import labels
 from ..functions.stats import Z975, r2_from_d
 from ..session import materialize
 from .common import null_safe_join
-from .concordance import cells, concordance, concordance_of_cells
-from .cox import d_statistic
+from .concordance import concordance, concordance_of_cells, placed_cells
+from .cox import d_of_cells
 
 DEFAULT_STRATA = (("age", "age_group"), ("ethnicity", "grp"), ("Townsend", "quint"))
 
@@ -60,32 +60,28 @@ def concordance_ci(df: DataFrame, by: list[str], time: str = "t", event: str = "
 
 def metrics_table(df: DataFrame, by: list[str], strata=DEFAULT_STRATA, with_d: bool = False,
                   weight: str | None = None, time: str = "t", event: str = "death_covid",
-                  score: str = "score", tiebreak: str = "person_id") -> DataFrame:
+                  score: str = "score") -> DataFrame:
     """V8/V9: metrics per group and stratum (``x``, ``var``).
 
-    Rows are aggregated by all stratum columns at once before they are listed under
-    each stratum, so concordance and Brier score never multiply person rows."""
+    Persons are read once: they collapse to cells of equal score, time, event and stratum
+    columns, and only cells are listed under each stratum.  An empty table gives no rows."""
     strata = list(strata or ())
     columns = list(dict.fromkeys(c for _, c in strata))
-    extra = [c for c in [weight, *([tiebreak] if with_d else [])] if c]
-    df = materialize(df.select(*dict.fromkeys([*by, *columns, time, event, score, *extra])))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    known = df.where(F.col(score).isNotNull() & F.col(event).isNotNull())
+    tallied = known.select(*by, *columns, F.col(score).alias("score"), F.col(time).alias("t"), F.col(event).alias("e"), w.alias("_w"))
+    tallied = materialize(tallied.groupBy(*by, *columns, "score", "t", "e").agg(
+        F.sum("_w").alias("W"), F.sum(F.col("_w") * F.col("_w")).alias("W2"), F.count(F.lit(1)).alias("N")))
     keys = [*by, "x", "var"]
-
-    def listed(sums: DataFrame, more: list[str], values: list[str]) -> DataFrame:
-        return (explode_strata(sums, strata).groupBy(*keys, *more)
-                .agg(*[F.sum(v).alias(v) for v in values]))
-
-    pred = df.withColumn("_r", F.lit(100.0) - F.col(score))
-    cells_ = cells(pred, [*by, *columns], time, event, "_r", weight)
-    out = _limits(concordance_of_cells(listed(cells_, ["r", "k"], ["W", "W2", "N"]), keys), keys)
-    err = F.pow(F.col(score) / 100.0 - F.col(event), 2)
-    sums = (df.where(F.col(score).isNotNull() & F.col(event).isNotNull()).groupBy(*by, *columns)
-            .agg(F.sum(err).alias("_err"), F.count(F.lit(1)).alias("_rows")))
-    sums = listed(sums, [], ["_err", "_rows"]).withColumn("brier", F.col("_err") / F.col("_rows")).drop("_err", "_rows")
+    listed = materialize(explode_strata(tallied, strata).groupBy(*keys, "score", "t", "e")
+                         .agg(*[F.sum(c).alias(c) for c in ("W", "W2", "N")]))
+    pred = listed.withColumn("r", F.lit(100.0) - F.col("score").cast("double"))
+    out = _limits(concordance_of_cells(placed_cells(pred, keys, "t", "e"), keys), keys)
+    err = F.pow(F.col("score") / 100.0 - F.col("e"), 2) * F.col("N")
+    sums = listed.groupBy(*keys).agg((F.sum(err) / F.sum("N")).alias("brier"))
     out = null_safe_join(out, sums, keys, "left")
     if with_d:
-        d = d_statistic(explode_strata(df, strata), keys, time, event, score, weight, tiebreak)
-        d = d.where("converged")  # a stratum without a finite fit has no D
+        d = d_of_cells(listed, keys).where("converged")  # a stratum without a finite fit has no D
         lo = F.col("d_stat") - Z975 * F.col("d_se")
         hi = F.col("d_stat") + Z975 * F.col("d_se")
         d = d.select(*keys, "d_stat", lo.alias("d_lci"), hi.alias("d_uci"),

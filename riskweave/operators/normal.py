@@ -54,13 +54,14 @@ class Design:
         return np.array([False, *main, *more])
 
     def column(self) -> Column:
-        """The row's values as one array, null if a feature is null."""
+        """The row's values as one array, null if a feature is null or a level not among
+        those of the design."""
         main = [(F.col(n).cast("double") - F.lit(m)) / F.lit(s) for n, m, s in self.numeric]
         names = [n for n, _, _ in self.numeric]
         main += [(F.col(n) == F.lit(v)).cast("double") for n, vs in self.levels for v in vs]
         by = main[names.index(self.interact)] if self.interact else None
         more = [by * x for k, x in enumerate(main) if self.interact and not (k < len(names) and names[k] == self.interact)]
-        known = [F.col(n).isNotNull() for n in [*names, *[n for n, _ in self.levels]]]
+        known = [F.col(n).isNotNull() for n in names] + [F.coalesce(F.col(n).isin(*vs), F.lit(False)) for n, vs in self.levels]
         ok = F.lit(True)
         for k in known:
             ok = ok & k
@@ -200,7 +201,11 @@ def t_tail(t: float, df: float) -> float:
     x, a, b = df / (df + t * t), df / 2, 0.5
     if x >= 1:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if a > 100:  # log gamma(a + 1/2) - log gamma(a), whose terms would cancel
+        ratio = 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3) - 1 / (640 * a ** 5)
+    else:
+        ratio = math.lgamma(a + b) - math.lgamma(a)
+    front = math.exp(ratio - math.lgamma(b) - a * math.log1p(t * t / df) + b * math.log1p(-x))
     if x > (a + 1) / (a + b + 2):
         return 1 - front * _fraction(b, a, 1 - x) / b
     return front * _fraction(a, b, x) / a

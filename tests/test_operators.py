@@ -81,8 +81,7 @@ def test_two_stage_imputation_properties(spark):
     t = study.tables(spark, SF0001)
     c = fx.cohort(t)
     out = im.impute_two_stage(im.model_frame(c, fill_zero=["flag_a", "flag_b", "n_rec"]),
-                              features=["age", "age2", "flag_a", "n_rec", "grp"],
-                              formula="bmi ~ . + age:.")
+                              features=["age", "age2", "flag_a", "n_rec", "grp"], interact="age")
     assert out.count() == c.count()
     assert out.where(F.col("bmi").isNull()).count() == 0
     joined = out.alias("o").join(c.alias("c"), "person_id").where((F.col("c.bmi") > 0))
@@ -145,7 +144,7 @@ def test_model_imputation_leaves_what_it_cannot_predict(spark):
     rows += [(8, "a", None, 10, "x"), (9, "a", None, 10, "new"), (10, "a", None, 10, None), (11, "b", None, 3, "x"),
              (12, None, None, 3, "x")]
     df = spark.createDataFrame(rows, "id int, g string, v double, age int, k string")
-    got = {r.id: (r.v, r.f) for r in im.impute_by_model(df, "v", "g", "v ~ age + k", ["age", "k"], flag="f").collect()}
+    got = {r.id: (r.v, r.f) for r in im.impute_by_model(df, "v", "g", ["age", "k"], flag="f").collect()}
     assert len(got) == 13
     assert got[8][0] == pytest.approx(21.0) and got[8][1] == 2
     assert [got[k] for k in (9, 10, 11, 12)] == [(None, None)] * 4

@@ -173,7 +173,7 @@ def test_d_statistic_brute_force(spark):
         s = float(random.randint(0, 30))
         rows.append((i % 2, i, s, random.randint(0, 25), int(random.random() < 0.15 + s / 100)))
     df = spark.createDataFrame(rows, "g int, pid long, score double, t int, e int")
-    res = {r.g: r for r in d_statistic(df, ["g"], "t", "e", "score", tiebreak="pid").collect()}
+    res = {r.g: r for r in d_statistic(df, ["g"], "t", "e", "score").collect()}
     for g in (0, 1):
         b, se = _brute_cox([(s, t, e) for gg, _, s, t, e in rows if gg == g])
         assert res[g].d_stat == pytest.approx(b, abs=1e-7)
@@ -265,3 +265,101 @@ def test_scratch_folder_needs_sharing_on_a_cluster():
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             ensure_checkpoint_dir(Session(master))
+
+
+def _stepwise(d, s0, e0):
+    q = d * s0 / e0
+    x = [q - k for k in range(d)]
+    return math.fsum(map(math.log, x)), math.fsum(1 / v for v in x), math.fsum(1 / (v * v) for v in x)
+
+
+def test_tie_sums_equal_the_stepwise_sums(spark):
+    from riskweave.operators.cox import with_tie_sums
+    rows = [(d, e0 * (1 + r), e0) for d in (1, 2, 31, 32, 33, 34, 70, 400, 5000, 1_000_000) for r in (0.0, 1e-9, 0.01, 3.0, 1e5) for e0 in (0.3, 700.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, d long, s0 double, e0 double")
+    for r in with_tie_sums(df).collect():
+        for got, want in zip((r.logs, r.ones, r.twos), _stepwise(r.d, r.s0, r.e0)):
+            assert got == pytest.approx(want, rel=1e-9, abs=1e-12), r
+
+
+def test_a_day_with_a_million_deaths(spark):
+    from riskweave.operators.cox import cox1
+    n = 1_000_000
+    cells = spark.createDataFrame([(z, t, e, float(c), c) for z, t, e, c in (
+        (-1.0, 5, 1, n // 4), (1.0, 5, 1, 3 * n // 4), (-1.0, 9, 0, n), (1.0, 9, 0, n), (0.5, 7, 1, 3))],
+        "z double, t int, e int, W double, N long")
+    r = cox1(cells, []).first()
+    # the same fit, term by term
+    beta = 0.0
+    for _ in range(30):
+        u = i = 0.0
+        s = lambda p: n / 4 * (-1) ** p * math.exp(-beta) + 0.75 * n * math.exp(beta)
+        rest = [n * ((-1) ** p * math.exp(-beta) + math.exp(beta)) for p in range(3)]
+        late = [3 * 0.5 ** p * math.exp(0.5 * beta) for p in range(3)]
+        k = np.arange(n) / n
+        den = s(0) * (1 - k) + rest[0] + late[0]
+        m1, m2 = ((s(p) * (1 - k) + rest[p] + late[p]) / den for p in (1, 2))
+        u += n / 2 - m1.sum()
+        i += (m2 - m1 * m1).sum()
+        for j in range(3):
+            den = late[0] * (1 - j / 3) + rest[0]
+            a, b = ((late[p] * (1 - j / 3) + rest[p]) / den for p in (1, 2))
+            u, i = u + 0.5 - a, i + b - a * a
+        beta += u / i
+        if abs(u / i) < 1e-12:
+            break
+    assert r.converged and r.coef == pytest.approx(beta, abs=1e-8) and r.se == pytest.approx(i ** -0.5, rel=1e-6)
+
+
+def test_running_sums(spark):
+    from riskweave.operators.running import running_sums
+    rng = random.Random(6)
+    rows = [(g, k, k // 7, float(rng.randint(0, 9))) for g in ("a", "b", None) for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, k int, _range int, v double")
+    for reverse in (False, True):
+        for inclusive in (False, True):
+            got = running_sums(df, ["g"], "k", {"s": "v"}, reverse=reverse, inclusive=inclusive, totals={"all": "s"}).collect()
+            for r in got:
+                mine = [v for g, k, _, v in rows if g == r.g and ((k > r.k if reverse else k < r.k) or inclusive and k == r.k)]
+                assert r.s == sum(mine) and r["all"] == sum(v for g, *_, v in rows if g == r.g)
+    assert running_sums(df.drop("g"), [], "k", {"s": "v"}).count() == 120
+    plan = running_sums(df, ["g"], "k", {"s": "v"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(g#" in plan
+    rows_windowed = [line for line in plan.splitlines() if "windowspecdefinition" in line and "k#" in line.split("specifiedwindowframe")[0]]
+    assert rows_windowed and all("_range#" in line for line in rows_windowed)
+
+
+def test_fractional_times_in_cox(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice("ab"), rng.random() * 50, rng.random() * 20 - 3 * (k % 2), int(rng.random() < 0.6)) for k in range(300)]
+    df = spark.createDataFrame(rows, "person_id long, g string, score double, t double, e int")
+    got = {r.g: r for r in d_statistic(df, ["g"], "t", "e").collect()}
+    ranked = spark.createDataFrame([(i, g, s, sorted({x[3] for x in rows}).index(t), e) for i, g, s, t, e in rows],
+                                   "person_id long, g string, score double, t int, e int")
+    for r in d_statistic(ranked, ["g"], "t", "e").collect():
+        assert got[r.g].d_stat == pytest.approx(r.d_stat, abs=1e-9) and got[r.g].d_se == pytest.approx(r.d_se, rel=1e-9)
+
+
+def test_empty_tables_give_no_rows(spark):
+    from riskweave.operators import metrics as mt
+    df = spark.createDataFrame([], "person_id long, sex int, score double, t int, death_covid int, age_group string, grp string, quint string")
+    assert mt.metrics_table(df, ["sex"], with_d=True).count() == 0
+    assert mt.concordance_ci(df, ["sex"]).count() == 0
+    assert d_statistic(df, ["sex"]).count() == 0
+
+
+def test_concordance_over_many_ranges(spark):
+    rng = random.Random(12)
+    rows = [("a" if k % 3 else None, rng.randint(0, 40), rng.randint(0, 30), int(rng.random() < 0.5), rng.choice([0.5, 1.0, 2.0])) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, r int, t int, e int, w double")
+    one = {r.g: r for r in concordance(df, ["g"], "t", "e", "r", "w").collect()}
+    many = {r.g: r for r in concordance(df, ["g"], "t", "e", "r", "w", rows_per_range=10).collect()}
+    for g in ("a", None):
+        con = dis = tied = 0.0
+        for h, r, t, e, w in rows:
+            for h2, r2, t2, e2, w2 in rows:
+                if h == h2 == g and e == 1 and (t2 > t or t2 == t and e2 == 0):
+                    con, dis, tied = con + w * w2 * (r2 > r), dis + w * w2 * (r2 < r), tied + w * w2 * (r2 == r)
+        for got in (one[g], many[g]):
+            assert (got.con, got.dis, got.tied) == (pytest.approx(con), pytest.approx(dis), pytest.approx(tied))
+        assert one[g].conc_var == pytest.approx(many[g].conc_var)
