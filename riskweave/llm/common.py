@@ -10,7 +10,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of a batch of rows that goes to a Python worker; Spark's own bound of 64 MB is
+#: held several times over, in the worker and outside the executor's heap.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python workers in small batches, unless the session has a
+    setting of its own."""
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

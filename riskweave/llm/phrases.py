@@ -17,6 +17,8 @@ levels as bitmaps of a fixed size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +35,9 @@ LONGEST = 3
 SHARDS = 3
 SHARD_BITS = 24        # bits of each shard in the bitmap of a level: 2 MB a shard
 UNION_BITS = 27        # bits of the union's bitmap: 16 MB
-HELD = 1 << 21         # phrases that a task counts at once before it hands them on
+HELD = 1 << 20         # phrases that a task counts at once before it hands them on
+READ = 2 << 20         # bytes of text that a task looks at at once
+YIELDED = 1 << 16      # rows of a batch that a task hands on
 SALTS = 64             # parts in which the first phrases of a language are picked first
 
 
@@ -69,7 +73,7 @@ def _tally(docs: DataFrame, n: int, frequent) -> DataFrame:
         for k, (key, shard) in enumerate(groups):
             if cuts[k] < cuts[k + 1]:
                 h, c = np.unique(hashes[cuts[k]:cuts[k + 1]], return_counts=True)
-                yield (pa.RecordBatch.from_arrays(
+                yield from _small(pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(h), key)), pa.array(np.full(len(h), shard, np.int32)),
                      pa.array(h.view(np.int64)), pa.array(c.astype(np.int32))], ["lang_key", "shard", "h", "c"]))
 
@@ -80,7 +84,7 @@ def _tally(docs: DataFrame, n: int, frequent) -> DataFrame:
             key, shard = b.column(1).to_numpy(), b.column(2).to_numpy()
             group = np.array([groups.setdefault(g, len(groups)) for g in zip(key.tolist(), shard.tolist())], np.int32)
             salt = mix(key.view(np.uint64))
-            for part in parts(b.column(0), KINDS, n - 1):
+            for part in parts(b.column(0), KINDS, n - 1, READ):
                 if not len(part.starts):
                     continue
                 hashes = _phrase_hashes(part, salt[part.row], n)
@@ -109,7 +113,7 @@ def _count(docs: DataFrame, n: int, union) -> DataFrame:
             coded = b.column(1).dictionary_encode()
             names, lang = coded.dictionary, coded.indices.to_numpy()
             salt = mix(b.column(2).to_numpy().view(np.uint64))
-            for part in parts(b.column(0), KINDS, n - 1):
+            for part in parts(b.column(0), KINDS, n - 1, READ):
                 if not len(part.starts):
                     continue
                 word_lang = lang[part.row]
@@ -124,12 +128,17 @@ def _count(docs: DataFrame, n: int, union) -> DataFrame:
                     groups = pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")])
                     spelled = [part.words.take(groups.column(f"w{j}").combine_chunks()) for j in range(k)]
                     phrase = spelled[0] if k == 1 else pc.binary_join_element_wise(*spelled, " ")
-                    yield (_named(names, groups.column("lang").to_numpy(), k, phrase, groups.column("count_all").to_numpy()))
+                    yield from _small(_named(names, groups.column("lang").to_numpy(), k, phrase, groups.column("count_all").to_numpy()))
 
     return (docs.select("text", "lang", "lang_key").mapInArrow(run, "lang string, words int, phrase string, f long")
             .groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")))
 
 
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, YIELDED):
+        yield batch.slice(k, YIELDED)
+
+
 def _named(names, lang, words, phrase, f) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [names.take(pa.array(lang)), pa.array(np.full(len(lang), words, np.int32)), phrase, pa.array(f.astype(np.int64))],
