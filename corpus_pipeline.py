@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import jaccard, mixing, pieces, quality, secrets
-from riskweave.llm.common import table
+from riskweave.llm.common import bound_batches, table
 from riskweave.sources.tables import snapshot
 
 
@@ -22,11 +22,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bound_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced; n_chars follows the change in length."""
+    bound_batches(spark)
     before = docs.withColumn("__length", F.length("text"))
     clean = secrets.redact(before, secrets.train(spark))
     grown = F.coalesce(F.length("text") - F.col("__length"), F.lit(0))
@@ -35,11 +37,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it (0 to 3 times)."""
+    bound_batches(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text and digests of the ids and of the text decoded from them."""
+    bound_batches(spark)
     return pieces.encode_texts(docs)
 
 
