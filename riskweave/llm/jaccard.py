@@ -17,8 +17,8 @@ At a node,
 * at the first level every set is compared with one set of the node (a star, linear in
   the node); nodes whose sets are then all in one component are done;
 * small nodes are compared in full, between different components only;
-* where only a few sets are outside the largest component, these are compared with
-  all, in blocks, which is linear in the node;
+* where the sets outside the largest component fit into one block, these are compared
+  with all, in blocks, which is linear in the node;
 * other nodes are split again; at the last level the sets outside the largest
   component are compared with all, in blocks.
 
@@ -266,7 +266,7 @@ def propose(sets: DataFrame, *, threshold: float, recall: float, positions: int,
                   .select("path", "n", "set_key", "root", (F.col("root") != F.col("major.root")).alias("minor"),
                           (F.col("n") - F.col("major.c")).alias("minors"), "sig"))
         rooted = snapshot(rooted, "open-nodes")
-        whole, few = F.col("n") <= small, F.col("minors") <= small
+        whole, few = F.col("n") <= small, F.col("minors") <= block_sets
         if at < depth:
             full = rooted.where(whole).withColumn("part", F.lit(0)).withColumn("side", F.lit(-1))
             near_done = _blocks(rooted.where(~whole & few), block_sets)

@@ -36,7 +36,7 @@ SEGMENT = re.compile(rf"{MARK}*{LETTER}+|{MARK}*{OTHER}+{LETTER}*|{MARK}+|\n")
 #: What no piece may hold, or it could lie across two segments.
 CROSSING = re.compile(rf"{LETTER}{OTHER}|[^{MARK}]{MARK}|\n")
 UNKNOWN = " ⁇ "        # what the unknown id decodes to
-REMEMBERED = 150_000   # segments in each of a worker's two generations
+REMEMBERED = 100_000   # segments in each of a worker's two generations
 LONGEST = 48           # longer segments are encoded anew each time
 NEIGHBOURS = 200_000   # pairs of tokens that a worker remembers
 STRETCH = 1 << 20      # characters of a text that are cut into segments at once
@@ -256,8 +256,9 @@ class Pieces:
         return [*chain.from_iterable(self.stretches(text))]
 
     def forget(self) -> None:
-        """Keep only the younger half of what is remembered."""
+        """Keep only the younger half of what is remembered, give back what Arrow holds."""
         self.older = {}
+        pa.default_memory_pool().release_unused()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, with the end id."""
