@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.recode import either_source, present, recode_map
+from ..session import materialize
 from .common import attach_row
 
 
@@ -87,11 +88,23 @@ def link_flag(spine: DataFrame, lookup: DataFrame, key: str, present_col: str, o
 
 def join_suffix(left: DataFrame, right: DataFrame, key: str,
                 suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Left join where clashing column names get suffixes (dplyr ``suffix=``)."""
-    common = (set(left.columns) & set(right.columns)) - {key}
-    ls, rs = suffixes
-    l2 = left.select(*[F.col(c).alias(c + ls if c in common else c) for c in left.columns])
-    r2 = right.select(*[F.col(c).alias(c + rs if c in common else c) for c in right.columns])
+    """Left join where clashing column names get suffixes (dplyr ``suffix=``); a suffix
+    is repeated until the name is not taken by another column of either side."""
+    clash = (set(left.columns) & set(right.columns)) - {key}
+    taken = (set(left.columns) | set(right.columns)) - clash
+
+    def named(columns: list[str], suffix: str) -> list[str]:
+        out = []
+        for c in columns:
+            new = c + suffix if c in clash else c
+            while c in clash and new in taken:
+                new += suffix
+            taken.add(new)
+            out.append(new)
+        return out
+
+    l2 = left.toDF(*named(left.columns, suffixes[0]))
+    r2 = right.toDF(*named(right.columns, suffixes[1]))
     return l2.join(r2, key, "left")
 
 
@@ -108,3 +121,23 @@ def fanout_audit(spine: DataFrame, linked: DataFrame, key: str) -> DataFrame:
                     F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).cast("long").alias("n_fanout_keys"),
                     F.max("c").alias("max_rows_per_key"))
     return attach_row(a, b).withColumn("fanout", (F.col("n_linked") != F.col("n_spine")).cast("int"))
+
+
+def linked_and_counted(spine: DataFrame, link: Callable[[DataFrame], DataFrame],
+                       allow_fanout: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """J11/S11/A9 without passes of their own: ``link(spine)``, written once, and its row
+    counts (n_spine, n_linked), observed while it is written.
+
+    Raises if the linked frame has another number of rows than the spine, unless
+    ``allow_fanout`` is set.  ``link`` must read its argument once; an attempt of a stage
+    that is repeated after a lost executor may count its rows twice, so a difference is
+    counted again from the written frame before it raises."""
+    before, after = Observation(), Observation()
+    seen = spine.observe(before, F.count(F.lit(1)).alias("n_spine"))
+    out = materialize(link(seen).observe(after, F.count(F.lit(1)).alias("n_linked")))
+    counts = {**before.get, **after.get}
+    if counts["n_spine"] != counts["n_linked"]:
+        counts = {"n_spine": spine.count(), "n_linked": out.count()}
+        if counts["n_spine"] != counts["n_linked"] and not allow_fanout:
+            raise ValueError(f"linkage changed the number of rows: {counts}")
+    return out, counts

@@ -93,6 +93,34 @@ def q_table_roundtrip(spark, sf_dir):
     return tb.save_table(df, f"rw_linked_{uuid.uuid4().hex[:8]}")
 
 
+def q_table_published(spark, sf_dir):
+    df = study.linked(_t(spark, sf_dir)).select("person_id", "death_covid", "t")
+    name, path = f"rw_published_{uuid.uuid4().hex[:8]}", scratch_path(spark, "published")
+    tb.publish(df.where("death_covid = 1"), name, path, keep=1)
+    return tb.publish(df, name, path, keep=1)
+
+
+def q_csv_quarantine(spark, sf_dir):
+    # one line in thirteen has an age that is no number, one in seventeen a field too many
+    pid = F.col("person_id")
+    age = F.when(pid % 13 == 0, F.lit("n/a")).otherwise(F.col("age").cast("string"))
+    more = F.when(pid % 17 == 0, F.lit("more"))
+    lines = _cohort(spark, sf_dir).select(F.concat_ws("|", pid, age, "region", more).alias("value"))
+    path = scratch_path(spark, "lines")
+    lines.write.text(path)
+    schema = T.StructType([T.StructField("person_id", T.LongType()), T.StructField("age", T.IntegerType()),
+                           T.StructField("region", T.StringType())])
+    good, bad = tb.read_csv_quarantine(spark, path, schema, sep="|", header=False)
+    return good.withColumn("bad_line", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
+def q_headings(spark, sf_dir):
+    c = _cohort(spark, sf_dir)
+    text = tb.columns_except(c, "^bmi", kind="string")
+    out = ds.frequency_table(c, text).select("variable", "value", "n")
+    return tb.with_headings(out, {"variable": "Variable", "value": "Level", "n": "Count (n)"})
+
+
 def q_select_by_pattern(spark, sf_dir):
     return tb.select_by_pattern(_cohort(spark, sf_dir), r"^flag_|^n_rec$", keep=["person_id"])
 
@@ -339,6 +367,18 @@ def q_combine_sources(spark, sf_dir):
     return lk.combine_sources(x, {"flag_any": ("flag_a", "flag_a2")}).select("person_id", "flag_any")
 
 
+def q_fanout_observed(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    spine = t.orders.select(F.col("o_orderkey").alias("person_id"))
+    raw = t.lineitem.select(F.col("l_orderkey").alias("person_id"), "l_linenumber")
+    one = raw.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_rec"))
+    rows = []
+    for kind, source in (("collapsed", one), ("raw", raw)):
+        _, n = lk.linked_and_counted(spine, lambda s, x=source: s.join(x, "person_id", "left"), allow_fanout=True)
+        rows.append((kind, n["n_spine"], n["n_linked"], int(n["n_spine"] != n["n_linked"])))
+    return spark.createDataFrame(rows, "source string, n_spine long, n_linked long, fanout int")
+
+
 def q_fanout_audit(spark, sf_dir):
     t = _t(spark, sf_dir)
     spine = t.orders.select(F.col("o_orderkey").alias("person_id"))

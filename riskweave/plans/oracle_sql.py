@@ -138,6 +138,20 @@ LABELS = (f"{est_ci('conc', 'conc_lci', 'conc_uci')} AS conc_ci, {est_ci('d_stat
 ORACLE: dict[str, str] = {
     "scan_cohort": with_cohort("SELECT * EXCLUDE (bmi), round(bmi, 6) AS bmi FROM cohort"),
     "csv_roundtrip": with_cohort("SELECT person_id, sex, age, region, round(bmi, 6) AS bmi FROM cohort"),
+    "table_published": with_cohort("SELECT person_id, death_covid, t FROM linked_t"),
+    "csv_quarantine": with_cohort(
+        "SELECT CASE WHEN ok THEN person_id END AS person_id, CASE WHEN ok THEN age END AS age,"
+        " CASE WHEN ok THEN region END AS region, CASE WHEN NOT ok THEN concat_ws('|', person_id,"
+        " CASE WHEN person_id % 13 = 0 THEN 'n/a' ELSE CAST(age AS VARCHAR) END, region,"
+        " CASE WHEN person_id % 17 = 0 THEN 'more' END) END AS bad_line"
+        " FROM (SELECT *, person_id % 13 <> 0 AND person_id % 17 <> 0 AS ok FROM cohort)"),
+    "headings": with_cohort(" UNION ALL ".join(
+        f"SELECT '{c}' AS \"Variable\", {c} AS \"Level\", count(*) AS \"Count (n)\" FROM cohort GROUP BY {c}"
+        for c in ("grp", "quint", "region")).join(["SELECT * FROM (", ")"])),
+    "fanout_observed": """
+      SELECT 'collapsed' AS source, count(*) AS n_spine, count(*) AS n_linked, 0 AS fanout FROM orders
+      UNION ALL SELECT 'raw', (SELECT count(*) FROM orders), count(*), CAST(count(*) <> (SELECT count(*) FROM orders) AS INTEGER)
+      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
     "table_roundtrip": with_cohort("SELECT person_id, death_covid, t, death_date FROM linked_t"),
     "select_by_pattern": with_cohort("SELECT person_id, flag_a, flag_b, n_rec FROM cohort"),
     "shape": with_cohort("SELECT count(*) AS n_rows, CAST(15 AS INTEGER) AS n_cols FROM cohort"),

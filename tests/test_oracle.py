@@ -14,7 +14,8 @@ KEYS = ["scan_cohort", "link_sources", "describe_all", "recensor_periods", "ntil
         "top_centiles_rel", "case_sample", "hash_split", "one_hot", "recode_group", "translate_id",
         "fanout_audit", "csv_roundtrip", "table_roundtrip", "csv_row_number", "natural_join", "join_suffix",
         "collapse", "derive_sequential", "truncate_outcome", "d_statistic", "metrics_summary", "ols_summary",
-        "ols_impute", "impute_two_stage", "imputer_mse_full"]
+        "ols_impute", "impute_two_stage", "imputer_mse_full", "table_published", "csv_quarantine", "headings",
+        "fanout_observed"]
 
 
 @pytest.fixture(scope="module")
