@@ -315,6 +315,24 @@ def q_link_sources(spark, sf_dir):
                                (s3, ["chemocat", "n_line"])], "person_id")
 
 
+BUCKETS = 16
+
+
+def bucketed_sources(spark, sf_dir, buckets: int = BUCKETS):
+    """The spine and the three sources of the study as tables in equal buckets of person_id."""
+    t = _t(spark, sf_dir)
+    spine = t.orders.select(F.col("o_orderkey").alias("person_id"))
+    tag = uuid.uuid4().hex[:8]
+    return [tb.save_bucketed(df, f"rw_bucketed_{k}_{tag}", "person_id", buckets)
+            for k, df in enumerate([spine, *_sources(t)])]
+
+
+def q_link_bucketed(spark, sf_dir):
+    spine, s1, s2, s3 = bucketed_sources(spark, sf_dir)
+    return lk.link_all(spine, [(s1, ["flag_a", "flag_b", "n_rec"]), (s2, ["flag_a2", "flag_c"]),
+                               (s3, ["chemocat", "n_line"])], "person_id")
+
+
 def q_translate_id(spark, sf_dir):
     t = _t(spark, sf_dir)
     src = fx.second_source(t.lineitem).select("person_id", "flag_a2", "flag_c")

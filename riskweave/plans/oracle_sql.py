@@ -235,6 +235,12 @@ SELECT o.o_orderkey AS person_id, coalesce(rec.flag_a, 0) AS flag_a, coalesce(re
        coalesce(rec.n_rec, 0) AS n_rec, coalesce(s2.flag_a2, 0) AS flag_a2, coalesce(s2.flag_c, 0) AS flag_c,
        coalesce(s3.chemocat, 0) AS chemocat, coalesce(s3.n_line, 0) AS n_line
 FROM orders o LEFT JOIN rec ON o.o_orderkey = rec.person_id LEFT JOIN s2 ON o.o_orderkey = s2.person_id
+LEFT JOIN s3 ON o.o_orderkey = s3.person_id"""),
+    "link_bucketed": with_cohort(S2 + ", " + S3 + """
+SELECT o.o_orderkey AS person_id, coalesce(rec.flag_a, 0) AS flag_a, coalesce(rec.flag_b, 0) AS flag_b,
+       coalesce(rec.n_rec, 0) AS n_rec, coalesce(s2.flag_a2, 0) AS flag_a2, coalesce(s2.flag_c, 0) AS flag_c,
+       coalesce(s3.chemocat, 0) AS chemocat, coalesce(s3.n_line, 0) AS n_line
+FROM orders o LEFT JOIN rec ON o.o_orderkey = rec.person_id LEFT JOIN s2 ON o.o_orderkey = s2.person_id
 LEFT JOIN s3 ON o.o_orderkey = s3.person_id"""),
     "translate_id": """
 SELECT o.o_custkey AS household_id,

@@ -66,6 +66,19 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     return spark.table(name)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A table dealt into ``buckets`` files' groups by ``key`` and sorted inside them.
+
+    Tables of one key type and number of buckets are joined and grouped by that key
+    without a shuffle, as often as they are read; the shuffle is paid once, here (one
+    file a bucket, by the hash that the buckets use)."""
+    spark = df.sparkSession
+    target = path or scratch_path(spark, f"bucketed-{name}")
+    (df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", target)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    return spark.table(name)
+
+
 def publish(df: DataFrame, name: str, path: str, keep: int = 2) -> DataFrame:
     """Replace a table without a gap.  ``df`` is written to a new version folder
     under ``path``; then the view ``name`` is switched to it in one catalog operation, and

@@ -37,3 +37,18 @@ def test_describe_all_scans_once(spark):
     from riskweave.plans import catalog
     plan = _plan(catalog.q_describe_all(spark, SF0001))
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_bucketed_linkage_does_not_shuffle(spark):
+    from riskweave.operators import linkage as lk
+    from riskweave.plans import catalog
+    spine, *sources = catalog.bucketed_sources(spark, SF0001, buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lk.link_all(spine, [(s, ()) for s in sources], "person_id")
+        plan = _plan(out.groupBy("person_id").agg(*[F.sum(c).alias(c) for c in ("n_rec", "flag_c", "n_line")]))
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and plan.count("Bucketed: true") == 4
+        assert out.count() == spine.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
