@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import snapshot
-from .common import WORD_BREAKS
+from .common import WORD_BREAKS, fresh
 from .components import components
 from .streams import Forest, bounds, matrix, runs
 
@@ -441,9 +441,10 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     def doubtful(hashes: pa.Array) -> pa.Array:
         return pa.array(_marked(bits, hashes.to_numpy(zero_copy_only=False)))
 
-    keyed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    sure = keyed.where(~doubtful(F.col("__hash")))
-    drop = doubt.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
-    rest = keyed.where(doubtful(F.col("__hash")))
-    rest = rest.join(drop, rest[doc_id].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_anti")
-    return sure.unionByName(rest.dropDuplicates([doc_id, "__hash"])).drop("__hash")
+    key, gone_id, gone = fresh(docs, "__hash"), fresh(docs, "__id"), fresh(docs, "__h")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text)))
+    sure = keyed.where(~doubtful(F.col(key)))
+    drop = doubt.where("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone))
+    rest = keyed.where(doubtful(F.col(key)))
+    rest = rest.join(drop, rest[doc_id].eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone)), "left_anti")
+    return sure.unionByName(rest.dropDuplicates([doc_id, key])).drop(key)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import snapshot
-from .common import n_words
+from .common import fresh, n_words
 
 SLICES = 1024
 DP_WORDS = 4096
@@ -97,6 +97,9 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     empty table gives no rows."""
     spark = docs.sparkSession
     docs = docs.drop(out)
+    names = docs.columns  # of any kind; inside they are c0, c1, ...
+    text, doc_id, source = (f"c{names.index(c)}" for c in (text, doc_id, source))
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
     keyed = docs.select(
         "*", n_words(F.col(text)).alias("__size"),
         F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)).alias("__hash"))
@@ -143,14 +146,15 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     place = F.row_number().over(Window.partitionBy("__s", "__z", "__l").orderBy("__hash", doc_id))
     repeats = F.when(F.col("__size") > 0, F.col("__w") + (place <= F.col("__cut")).cast("int")).otherwise(0)
     mixed = joined.withColumn("__r", repeats)
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
+    return mixed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.struct(
         F.col("__size").alias("size"), F.col("__ss").alias("source_size"), F.col("__t").alias("target"),
         (F.col("__size") * F.col("__r")).alias("taken"), F.col("__r").alias("repeats")).alias(out))
 
 
 def mixed_rows(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    mixed = mix_sources(docs, out="__mix", **kwargs)
-    return (mixed.where("__mix.repeats > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.repeats"))))
-            .drop("__mix", "__copy"))
+    mix, copy = fresh(docs, "__mix"), fresh(docs, "__copy")
+    mixed = mix_sources(docs, out=mix, **kwargs)
+    return (mixed.where(F.col(mix)["repeats"] > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(mix)["repeats"])))
+            .drop(mix, copy))
