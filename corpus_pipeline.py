@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of documents.
+columns of documents; extra columns pass through them, whatever their names.
+
+Null and empty texts are scored like any other and, if they are kept, are no one's
+copies, hold no secrets, have no words to mix (so the mix takes none of them) and reach
+no encoding.  Of rows with equal id and text one stays.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import jaccard, mixing, pieces, quality, secrets
-from riskweave.llm.common import bound_batches, table
+from riskweave.llm.common import bound_batches, fresh, table
 from riskweave.sources.tables import snapshot
 
 
@@ -29,10 +33,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced; n_chars follows the change in length."""
     bound_batches(spark)
-    before = docs.withColumn("__length", F.length("text"))
+    length = fresh(docs, "__length")
+    before = docs.withColumn(length, F.length("text"))
     clean = secrets.redact(before, secrets.train(spark))
-    grown = F.coalesce(F.length("text") - F.col("__length"), F.lit(0))
-    return clean.withColumn("n_chars", F.col("n_chars") + grown).drop("__length")
+    grown = F.coalesce(F.length("text") - F.col(length), F.lit(0))
+    return clean.withColumn("n_chars", F.col("n_chars") + grown).drop(length)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Stages fit models and hash token ids, which SQL can't express; tests hold run()
-#: against plain versions of the stages.
+#: Stages fit models and hash token ids, which SQL can't express; tests/llm holds run()
+#: against plain code on a small folder.
 ORACLE_SQL = None
