@@ -46,13 +46,13 @@ _USABLE = """embedding IS NOT NULL AND len(embedding) > 0
 
 OP6 = f"""
 WITH v AS (
-    SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * cast(x AS DOUBLE)))) AS x
-    FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE} GROUP BY vec_id),
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x AS DOUBLE))) AS x
+    FROM embeddings WHERE {_USABLE}),
 scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.x, c.x) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+    SELECT q.i, q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.i <> c.i AND len(q.x) = len(c.x)),
 ranked AS (
-    SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+    SELECT *, cast(row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 OP8 = f"""

@@ -1,6 +1,7 @@
 """Joins, searches, mixing, chats and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -229,15 +230,31 @@ def test_top_products(spark, bucket, block):
     rows = vector_rows(1)
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, score string")
     got = sorted(tuple(r) for r in topk.top_products(frame, bucket=bucket, block=block).collect())
-    z = {i: np.floor(64 * np.array(v)) for i, v, _ in rows if take_part(v)}
-    expected = []
-    for q in (i for i in z if i % 20 == 0):
-        found = sorted((-int(z[q] @ z[c]), c) for c in z if c != q and len(z[c]) == len(z[q]))[:20]
-        expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(found)]
-    assert got == sorted(expected)
+    assert got == sorted(plain_products(rows))
     assert topk.top_products(frame.limit(0)).count() == 0
-    twice = frame.where("vec_id < 40")
-    assert sorted(topk.top_products(twice.union(twice)).collect()) == sorted(topk.top_products(twice).collect())
+
+
+LIMIT = 2 ** 63 - 1  # larger scores count as this
+
+
+def plain_products(rows):
+    z = [(i, [math.floor(64 * x) for x in v]) for i, v, *_ in rows if take_part(v)]
+    for at, (q, u) in enumerate(z):
+        if q is not None and q % 20 == 0:
+            found = sorted((-max(-LIMIT, min(LIMIT, sum(a * b for a, b in zip(u, w)))), c is None, c or 0) for k, (c, w) in enumerate(z)
+                           if k != at and len(w) == len(u))[:20]
+            yield from ((q, k + 1, None if null else c, -s) for k, (s, null, c) in enumerate(found))
+
+
+@pytest.mark.parametrize("bucket,block", [(4096, 2048), (30, 5)])
+def test_products_of_repeated_and_null_ids_and_large_numbers(spark, bucket, block):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 0, 7, 20, 40, 41]), [rng.choice([-2.5, 0.1, 1.0, 9.0]) for _ in range(3)]) for _ in range(200)]
+    rows += [(20, [1.0, 1.0, 1.0])] * 30 + [(7, [9.0, 9.0, 9.0]), (7, [0.1, 0.1, 0.1])]
+    rows += [(60, [1e9, 2.0]), (61, [1e-3, 5.0]), (62, [-1e6, 3.5]), (80, [1e7 + 0.125, 1e-2]), (81, [1e7, 0.5]), (82, [1e7 + 1 / 64, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_products(frame, bucket=bucket, block=block).collect()]
+    assert Counter(got) == Counter(plain_products(rows))
 
 
 @pytest.mark.parametrize("block", [4096, 40])
