@@ -176,6 +176,23 @@ def test_mix(spark):
     assert mixing.mix_sources(same).select(F.sum("mix.taken")).first()[0] in range(18, 22)
 
 
+def test_rows_are_not_ordered(spark):
+    rng = random.Random(9)
+    rows = [(k, "w " * rng.randint(0, 9), rng.choice("abc")) for k in range(500)]
+    out = mixing.mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and plan.count("Join") == 1
+
+
+def test_copies_at_a_border_are_numbered_by_spans(spark):
+    rng = random.Random(10)
+    take = {("a", 3): 40, (None, 3): 1, ("a", 4): 99}
+    rows = [(*key, take[key], row) for row in range(0, 1000, 3) for key in [rng.choice(list(take))]]
+    frame = spark.createDataFrame(rows, "__s string, __z long, __m long, __row long").withColumn("__more", F.lit(None).cast("int"))
+    got = mixing._number(frame, spans=50).collect()
+    assert len(got) == len(rows) and Counter((r["__s"], r["__z"]) for r in got if r["__more"]) == take
+
+
 # --- chats -------------------------------------------------------------------------------
 
 def test_chats_round_trip(spark):
