@@ -4,6 +4,8 @@ A page is read as a flat list of text blocks: runs of text between block tags.
 block is described by its word count and link density and those of the blocks before
 and after it, by the kind of container it stands in, and by a few signs.  A decision
 tree, trained on a small table of labelled blocks, keeps the blocks of the article.
+Most labelled pages withhold the kind of container, so counts and densities decide
+first and tags and whole names settle what they leave open.
 """
 
 from __future__ import annotations
@@ -41,36 +43,45 @@ CLOSES = {t: {"p"} for t in ("p", "div", "ul", "ol", "table", "article", "sectio
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 AROUND_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 ARTICLE_TAGS = {"article", "main"}
+#: Words that name something around an article.  A name counts only as a whole: all its
+#: parts are among these words or PLAIN_WORDS ("cookie-notice", not "side-effects").
 AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice alert popup modal overlay sidebar side aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
     "pagination pager footer foot header masthead topbar toolbar comment comments discussion disqus respond reply replies "
-    "reactions share sharing social related recommended recommendations more newsletter subscribe subscription signup "
-    "login search skip hidden copyright legal contact tags meta byline contentinfo complementary".split())
+    "reactions share sharing social related recommended recommendations newsletter subscribe subscription signup login "
+    "hidden copyright contentinfo complementary".split())
 ARTICLE_WORDS = frozenset("article post entry content story main body text prose".split())
+PLAIN_WORDS = frozenset("area bar block box bottom col column container form group inner item items left links list outer "
+                        "page panel right row section site slot top unit wrap wrapper".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "container", "heading",
-            "sentence_end", "copyright", "place", "letters_per_word")
+            "sentence_end", "copyright", "place")
+
+
+def _whole_name(name: str) -> int:
+    """-1 for the name of something around an article, 1 for that of an article, else 0."""
+    parts = {w for w in re.split(r"[-_\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w}
+    if parts & AROUND_WORDS:
+        return -1 if parts <= AROUND_WORDS | PLAIN_WORDS | ARTICLE_WORDS else 0
+    return 1 if parts & ARTICLE_WORDS and parts <= ARTICLE_WORDS | PLAIN_WORDS else 0
 
 
 def _kind(tag: str, attributes: str, inside: int) -> int:
     """1 if a tag opens the article, -1 if it opens something around it, else 0."""
-    words: set[str] = set()
+    named = set()
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
-            if name in ("class", "id", "role"):
-                names = value.split()
-                words.update(w for n in names for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower())
-                             if w != "hidden")  # overflow-hidden hides nothing
-                words.update(n.lower() for n in names if n.lower() == "hidden")
+            if name in ("class", "id", "role") and not (tag in HEADINGS and name == "id"):  # an anchor
+                named.update(_whole_name(n) for n in value.split())
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return -1
     if tag in ("html", "body"):
         return 0
-    if words & AROUND_WORDS and not (tag in ARTICLE_TAGS or "article" in words):
-        return -1
-    if tag in ARTICLE_TAGS or words & ARTICLE_WORDS:
+    if tag in ARTICLE_TAGS:
         return 1
+    if named & {1, -1}:
+        return -1 if -1 in named else 1
     if tag == "header" and inside > 0:  # of the article itself
         return 0
     return -1 if tag in AROUND_TAGS else 0
@@ -166,55 +177,90 @@ def features(found: list[dict]) -> list[list[float]]:
         after = (float(min(found[k + 1]["words"], 100)), density[k + 1]) if k + 1 < len(found) else none
         rows.append([float(min(b["words"], 100)), density[k], *before, *after, float(b["container"]), float(b["heading"]),
                      float(b["text"][-1] in ".!?\"'”»:"), float("©" in b["text"][:40] or "rights reserved" in b["text"].lower()),
-                     k / len(found), len(b["text"]) / b["words"]])
+                     k / len(found)])
     return rows
 
 
-def labelled_blocks(pages: int = 160, seed: int = 9) -> list[tuple[list[float], int]]:
-    """Labelled blocks of pages made from templates: with and without semantic tags, with
-    menus, notices, adverts, sidebars, forms, comments and footers around an article."""
-    r = random.Random(seed)
+def template_page(r: random.Random, kind: str) -> tuple[str, list[int]]:
+    """A made page and the label of each of its blocks (1: of the article).
+
+    ``kind`` says what marks the article: "tags", "names" (whole class names), "none"
+    (boxes without a name or with a made one) or "bare" (an article and nothing else)."""
     syllables = "an be ca der el fo ga hin in jo ka lu mer no or pi que ra sta ti un ver wo".split()
+    labels: list[int] = []
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     run = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
-    sentence = lambda lo, hi: run(lo, hi).capitalize() + "."
-    keep, drop = "\x01", "\x02"            # marks in the text say what a block is
+    sentences = lambda n, lo, hi: " ".join(run(lo, hi).capitalize() + "." for _ in range(n))
+    link = lambda text: f'<a href="/{word()}">{text}</a>'
+    marked = kind in ("tags", "names")     # only there can odd texts be told apart
+
+    def block(tag: str, text: str, label: int) -> str:
+        labels.append(label)
+        return f"<{tag}>{text}</{tag}>"
+
+    def box(tag: str, name: str, inner: str) -> str:
+        if kind == "tags" and tag != "div":
+            return f"<{tag}>{inner}</{tag}>"
+        made = name if marked else r.choice(("", word(), f"{word()}-{word()}"))
+        return f'<div class="{made}">{inner}</div>' if made else f"<div>{inner}</div>"
+
+    def paragraph() -> str:
+        odd = r.random()
+        if marked and odd < 0.15:          # a link alone, or a word or two
+            return block("p", link(run(1, 9)) if odd < 0.07 else run(1, 3), 1)
+        if odd < 0.3:
+            return block("p", f"{run(4, 30)} {link(run(1, 4))} {sentences(1, 4, 20)}", 1)
+        if odd < 0.4:
+            return block("h2", run(1, 6), 1)
+        if odd < 0.5:
+            return "<ul>" + "".join(block("li", run(2, 15), 1) for _ in range(r.randint(1, 4))) + "</ul>"
+        return block("p", sentences(r.randint(1, 6), 2, 18), 1)
+
+    def said(n: int) -> str:
+        return "".join(block("p", sentences(r.randint(1, 4), 2, 16) if marked or r.random() < 0.3
+                             else link(run(2, 12)), 0) for _ in range(n))
+
+    def advert() -> str:
+        return box("div", r.choice(("ad", "ads", "promo-box", "cookie-notice", "banner")), said(1))
+
+    if kind == "bare":
+        short = r.random() < 0.4
+        return "".join(block("p", run(1, 8), 1) if short else paragraph() for _ in range(r.randint(1, 8))), labels
+    page = [box("nav", "menu", "<ul>" + "".join(block("li", link(run(1, 2)), 0) for _ in range(r.randint(2, 8))) + "</ul>")]
+    if r.random() < 0.4:
+        page.append(box("header", "header", block("p", run(2, 9), 0)))
+    page += [advert() for _ in range(r.randint(0, 2))]
+    body = [block("h1", run(2, 20), 1)] if r.random() < 0.9 else []
+    for _ in range(r.randint(0, 9)):
+        body.append(advert() if marked and r.random() < 0.05 else paragraph())
+    page.append(box("article", r.choice(("article", "content", "story-body")), "".join(body)))
+    if r.random() < 0.5:
+        page.append(box("aside", "sidebar", said(r.randint(1, 4))))
+    if r.random() < 0.3:
+        page.append(box("form", "newsletter-form", block("label", run(1, 4), 0) + block("p", run(3, 12), 0)))
+    if marked and r.random() < 0.4:
+        page.append(box("div", "comments", said(r.randint(1, 5))))
+    page += [advert() for _ in range(r.randint(0, 1))]
+    page.append(box("footer", "footer", block("p", f"&copy; {run(1, 5)}" if r.random() < 0.8 else run(2, 9), 0)))
+    return f"<html><head><title>x</title></head><body>{''.join(page)}</body></html>", labels
+
+
+#: Share of each kind of page: on most of them nothing but the texts and links tell.
+KINDS = ("none",) * 6 + ("tags",) * 3 + ("names",) * 2 + ("bare",) * 2
+
+
+def labelled_blocks(pages: int = 1040, seed: int = 9) -> list[tuple[list[float], int]]:
+    """Labelled blocks of pages made from templates, the kinds of KINDS in turn: menus,
+    notices, adverts, sidebars, forms, comments and footers around an article."""
+    r = random.Random(seed)
     rows: list[tuple[list[float], int]] = []
-    for _ in range(pages):
-        semantic, plain = r.random() < 0.7, r.random() < 0.3   # plain pages have nothing but nameless boxes
-        tag = lambda name, cls: (("div", "") if plain else (name, "") if semantic and r.random() < 0.7
-                                 else ("div", f' class="{cls}"'))
-
-        def wrap(pair, inner):
-            return f"<{pair[0]}{pair[1]}>{inner}</{pair[0]}>"
-
-        menu = "".join(f'<li><a href="/x">{drop}{run(1, 2)}</a></li>' for _ in range(r.randint(2, 8)))
-        top = wrap(tag("nav", "menu"), f"<ul>{menu}</ul>") + wrap(tag("header", "header"), f"<p>{drop}{run(2, 9)}</p>")
-        boxes = [f'<div class="{r.choice(("ad", "ads", "promo-box", "cookie-notice", "banner"))}"><p>{drop}{sentence(3, 40)}</p></div>'
-                 for _ in range(0 if plain else r.randint(0, 3))]
-        body = [f"<h1>{keep}{run(2, 9)}</h1>"]
-        for _ in range(r.randint(0, 9)):
-            body.append(f"<p>{keep}{' '.join(sentence(2, 18) for _ in range(r.randint(1, 6)))}</p>" if r.random() < 0.8
-                        else f"<h2>{keep}{run(1, 6)}</h2>" if r.random() < 0.5 else f"<ul><li>{keep}{run(2, 15)}</li></ul>")
-        if r.random() < 0.3:
-            body.insert(r.randint(0, len(body)), boxes.pop() if boxes else "")
-        article = wrap(("div", "") if plain else ("article", "") if semantic else ("div", r.choice((' class="content"', ' id="main"', ""))), "".join(body))
-        side = wrap(tag("aside", "sidebar"), "".join(f'<p><a href="/y">{drop}{run(2, 8)}</a></p>' if plain or r.random() < 0.5
-                                                     else f"<p>{drop}{sentence(3, 20)}</p>" for _ in range(r.randint(0, 4))))
-        form = f"<form><label>{drop}{run(1, 4)}</label><p>{drop}{sentence(3, 12)}</p></form>" if not plain and r.random() < 0.4 else ""
-        said = f'<section class="comments">{"".join(f"<p>{drop}{sentence(3, 40)}</p>" for _ in range(r.randint(1, 5)))}</section>' if not plain and r.random() < 0.4 else ""
-        foot = wrap(tag("footer", "footer"), f"{drop}&copy; {run(1, 5)}")
-        parts = [top, *boxes[:1], article, side, form, said, *boxes[1:], foot]
-        page = "<html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>"
-        found = blocks(page)
-        labels = [int(b["text"].startswith(keep)) for b in found]
-        for b in found:
-            b["text"] = b["text"].strip(keep + drop) or "-"
-        rows += list(zip(features(found), labels))
+    for k in range(pages):
+        page, labels = template_page(r, KINDS[k % len(KINDS)])
+        rows += zip(features(blocks(page)), labels, strict=True)
     return rows
 
 
-def train(spark: SparkSession, rows: list | None = None, *, depth: int = 7) -> list:
+def train(spark: SparkSession, rows: list | None = None, *, depth: int = 10) -> list:
     """The decision tree as a list of nodes, fitted on labelled blocks."""
     table = [(float(y), Vectors.dense(x)) for x, y in (labelled_blocks() if rows is None else rows)]
     frame = spark.createDataFrame(table, ["label", "features"]).coalesce(4)
@@ -230,7 +276,8 @@ def extract(pages: DataFrame, tree: list, *, page_id: str = "page_id", url: str
             threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text, n_chars.
 
-    Null and empty pages, and pages without an article, have an empty text.  Unclosed
+    Null and empty pages, and pages without an article, have an empty text; an empty
+    table gives no rows, a very long page is read whole, in one pass.  Unclosed
     tags and comments, and a page that breaks off, are read as far as they go.  A line
     break inside a block counts as white space.  Rows that repeat are kept, other
     columns are not read."""

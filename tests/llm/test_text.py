@@ -219,6 +219,33 @@ def test_attributes_are_read_one_by_one(tree):
         pages.main_text("<p>main text that isn't long <p>main text that isn't long</p>", tree).count("main text")
 
 
+def test_names_count_only_as_a_whole(tree):
+    first, inner = "The first sentence of the main text is here.", "A part of the article with a name of its own says this."
+    page = f"<body><nav><a href=x>Home</a></nav><article><p>{first}</p>%s<p>{first}</p></article></body>"
+    for part in ('<section id="side-effects"><p>%s</p></section>', '<section class="contact-tracing"><p>%s</p></section>',
+                 '<div class="meta-analysis"><p>%s</p></div>', '<div class="read-more-text"><p>%s</p></div>',
+                 '<h2 id="related-work">%s</h2>', '<h2 id="comments">%s</h2>'):
+        assert pages.main_text(page % (part % inner), tree) == f"{first}\n{inner}\n{first}", part
+    for part in ('<div class="cookie-notice"><p>%s</p></div>', '<div class="adBox"><p>%s</p></div>', '<section id="comments-list"><p>%s</p></section>',
+                 '<aside><p>%s</p></aside>', '<form><p>%s</p></form>'):
+        assert pages.main_text(page % (part % inner), tree) == f"{first}\n{first}", part
+
+
+def test_counts_and_densities_decide_first(tree):
+    assert pages.FEATURES[tree[0][0]] in ("words", "links", "words_before", "links_before", "words_after", "links_after")
+    assert pages.main_text("<p>A</p><p>B</p>", tree) == "A\nB"
+    r = random.Random(31)                   # pages that the tree hasn't seen
+    for kind, least in (("tags", 0.999), ("names", 0.999), ("none", 0.95), ("bare", 0.97)):
+        right = n = 0
+        for _ in range(200):
+            page, labels = pages.template_page(r, kind)
+            found = pages.features(pages.blocks(page))
+            assert len(found) == len(labels)
+            right += sum((pages.tree_share(tree, x) >= pages.THRESHOLD) == bool(y) for x, y in zip(found, labels))
+            n += len(labels)
+        assert right >= least * n, (kind, right, n)
+
+
 def test_pages_rows(spark, tree):
     texts = ["", None, "<", "<article>", "plain words only", "<article><p>one<p>two", "<article>" + "<p>w</p>" * 20000,
              "<article><p>a<!-- open", "<article><p>" + "<b>" * 3000 + "deep"]
