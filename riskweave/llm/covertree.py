@@ -158,7 +158,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     hold null or non-finite components link with nothing.  component_id is the smallest
     id reachable (null ids come last), kept says whether the row has it.  Rows that
     repeat are linked with each other.  Vectors of other dimensions never link.  Other
-    columns are not read."""
+    columns are not read, an empty table gives no rows."""
     x = F.col(vector).cast("array<double>")
     ok = usable(F.col(vector)) & F.col(label).isNotNull() & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col(vec_id).alias("id"), F.when(ok, F.col(label)).alias("label"), F.when(ok, x).alias("x"))

@@ -4,7 +4,7 @@ A page is read as a flat list of text blocks: runs of text between block tags.
 block is described by its word count and link density and those of the blocks before
 and after it, by the kind of container it stands in, and by a few signs.  A decision
 tree, trained on a small table of labelled blocks, keeps the blocks of the article.
-Most labelled pages withhold the kind of container, so counts and densities decide
+Nearly half of the labelled pages withhold the kind of container, so counts and densities decide
 first and tags and whole names settle what they leave open.
 """
 

@@ -328,7 +328,8 @@ def encode_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     A null text counts as empty and has the end id alone.  Rows that repeat are kept;
     other columns are not read, so their names cannot clash.  A segment without word
-    marks is encoded in one piece however long it is.  ``model`` is read by each
+    marks is encoded in one piece however long it is; long texts are encoded whole.  An
+    empty table gives no rows.  ``model`` is read by each
     worker from its own installation when it is not given."""
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -298,8 +298,9 @@ def scorer(model: Model):
 
 
 def score_documents(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score (0 to 1) of every whole text in ``out``; rows that repeat
-    get equal scores, an existing column of that name is replaced."""
+    """``docs`` with the score (0 to 1) of every whole text in ``out``, null counting as
+    empty; rows that repeat get equal scores, an existing column of that name is replaced.
+    Long texts are read in passages, all of them.  An empty table gives no rows."""
     return docs.withColumn(out, scorer(model)(F.col(text)))
 
 

@@ -297,8 +297,8 @@ def find(text: str | None, path: str | None, forest: list, threshold: float = TH
 def scan(docs: DataFrame, forest: list, *, text: str = "text", doc_id: str = "doc_id", path: str = "source",
          threshold: float = THRESHOLD) -> DataFrame:
     """One row for each secret: doc_id, start, end (code points, end exclusive), secret,
-    score.  Null and empty texts have none; rows that repeat are scanned each; a null
-    path counts as empty.  Only the three named columns are read."""
+    score.  Null and empty texts have none; a null path counts as empty.  A text of any length is scanned whole, rows that repeat are
+    scanned each.  Only the three named columns are read.  An empty table gives no rows."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -317,7 +317,8 @@ def scan(docs: DataFrame, forest: list, *, text: str = "text", doc_id: str = "do
 
 def redact(docs: DataFrame, forest: list, *, text: str = "text", path: str = "source",
            replacement: str = REPLACEMENT, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every secret of ``text`` replaced; null texts stay null."""
+    """``docs`` with every secret of ``text`` replaced; null texts stay null, empty ones
+    empty.  Other columns pass through, an empty table gives no rows."""
     @F.arrow_udf("string")
     def clean(texts: pa.Array, paths: pa.Array) -> pa.Array:
         out = []

@@ -126,8 +126,9 @@ def count_tokens(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """One row for each row of ``docs``: doc_id, n_words, n_tokens, n_unknown.
 
     Words are runs of letters, digits and underscores, and single other signs; an
-    unknown word is one token.  A null text counts as empty and has none of them.  Rows
-    that repeat are kept, other columns are not read."""
+    unknown word is one token.  A null text counts as empty and has none of them; a
+    text of any length is counted whole.  Rows that repeat are kept, other columns are not
+    read.  An empty table gives no rows."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):

@@ -219,6 +219,13 @@ def test_attributes_are_read_one_by_one(tree):
         pages.main_text("<p>main text that isn't long <p>main text that isn't long</p>", tree).count("main text")
 
 
+def test_empty_tables_give_no_rows(spark):
+    none = docs(spark, ["a"]).limit(0)
+    forest = [[(-1, 0.0, 0, 0, 1.0)]]       # one leaf: every candidate is a secret
+    for frame in (tokens.count_tokens(none), pieces.encode_texts(none), secrets.scan(none, forest), secrets.redact(none, forest)):
+        assert frame.columns and frame.count() == 0
+
+
 def test_names_count_only_as_a_whole(tree):
     first, inner = "The first sentence of the main text is here.", "A part of the article with a name of its own says this."
     page = f"<body><nav><a href=x>Home</a></nav><article><p>{first}</p>%s<p>{first}</p></article></body>"
