@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 
 def _d(x) -> Column:
@@ -131,6 +132,50 @@ def override(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns(cols)
 
 
+def reference_profile(df: DataFrame, keep: Sequence[str], reference: Mapping[str, object] | None = None) -> dict:
+    """The baseline profile of a frame, by exclusion: every numeric or boolean column
+    outside ``keep`` at its lowest level (0, false) unless ``reference`` names a value.
+
+    Text, date and nested columns stay as they are unless ``reference`` names them.  A name
+    that the frame doesn't have, or that is both kept and set, raises."""
+    values = dict(reference or {})
+    absent = sorted({*keep, *values} - set(df.columns))
+    if absent:
+        raise ValueError(f"no such columns: {', '.join(absent)}")
+    both = sorted(set(keep) & set(values))
+    if both:
+        raise ValueError(f"kept and set: {', '.join(both)}")
+    out = {}
+    for f in df.schema.fields:
+        if f.name in values:
+            out[f.name] = values[f.name]
+        elif f.name not in keep and isinstance(f.dataType, (NumericType, BooleanType)):
+            out[f.name] = 0  # false, where override casts it to boolean
+    return out
+
+
+def profile_from_table(df: DataFrame, profile: DataFrame, name: str = "column", value: str = "value") -> dict:
+    """A baseline profile kept as a table of (column, value as text), one row for each
+    column of ``df`` to set.  A null value sets null.
+
+    The table is read to the driver, as a profile has at most one row a column: more rows,
+    repeated or unknown columns and values that the column's type can't hold raise."""
+    rows = profile.select(F.col(name).alias("c"), F.col(value).cast("string").alias("v")).limit(len(df.columns) + 1).collect()
+    names = [r["c"] for r in rows]
+    wrong = sorted({str(c) for c in names if c not in df.columns or names.count(c) > 1})
+    if wrong:
+        raise ValueError(f"not one row for one column: {', '.join(wrong)}")
+    types = dict(df.dtypes)
+    held = [F.lit(r["v"]).try_cast(types[r["c"]]).isNotNull() for r in rows if r["v"] is not None]
+    given = [r for r in rows if r["v"] is not None]
+    if given:
+        fits = df.sparkSession.range(1).select(F.array(*held).alias("fits")).first()["fits"]
+        bad = [f"{r['c']}={r['v']}" for r, ok in zip(given, fits) if not ok]
+        if bad:
+            raise ValueError(f"values of another type: {', '.join(bad)}")
+    return {r["c"]: r["v"] for r in rows}
+
+
 def drop_existing(df: DataFrame, *cols: str) -> DataFrame:
     """Drop columns; absent names are ignored (the study drops some twice)."""
     return df.drop(*cols)

@@ -1,4 +1,4 @@
-"""Descriptive tables in one pass.
+"""Descriptive tables in one pass.
 
 The study runs one query per variable and binds the results; here the frame is
 unpivoted to (variable, value) inside the map stage and counted with a single
@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from ..functions import labels
 
@@ -49,6 +50,19 @@ def numeric_table(df: DataFrame, variables: Sequence[str], by: Sequence[str] = (
             .withColumn("mean_sd", labels.mean_sd(F.col("mean"), F.col("sd"))))
 
 
+def discover(df: DataFrame, ignore: Sequence[str], continuous: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """(categorical, continuous) variables of a frame: all columns but those ignored,
+    in their order.  Continuous are columns of fractional types and those named.
+
+    Ignored names that the frame lacks do no harm; continuous ones that it lacks raise."""
+    absent = sorted(set(continuous) - set(df.columns))
+    if absent:
+        raise ValueError(f"no such columns: {', '.join(absent)}")
+    found = [f for f in df.schema.fields if f.name not in ignore]
+    numeric = [f.name for f in found if f.name in continuous or isinstance(f.dataType, FractionalType)]
+    return [f.name for f in found if f.name not in numeric], numeric
+
+
 def describe_all(df: DataFrame, categorical: Sequence[str], continuous: Sequence[str],
                  populations: Mapping[str, Column] | None = None) -> DataFrame:
     """Frequency rows for categorical and mean/SD rows for continuous

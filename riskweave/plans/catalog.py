@@ -35,9 +35,8 @@ from . import study
 BY = ["sex", "period"]
 P1 = fx.PERIODS[0]
 P2 = fx.PERIODS[1]
-CATEGORICAL = ["sex", "grp", "quint", "region", "flag_a", "flag_b", "supplier_x",
-               "bmi_category", "age_band"]
 CONTINUOUS = ["age", "t", "bmi"]
+NOT_DESCRIBED = ["person_id", "household_id", "linked", "n_rec", "death_date", "bmi_cat", "death_covid"]
 SEVERITY = {"A": 1, "N": 2, "R": 3}
 
 
@@ -160,7 +159,8 @@ def q_override_constants(spark, sf_dir):
 
 def q_baseline_profile(spark, sf_dir):
     df = study.linked(_t(spark, sf_dir))
-    return rounded(co.override(df, study.BASELINE_PROFILE).select(
+    profile = co.reference_profile(df, study.PROFILE_KEEPS, study.PROFILE_REFERENCE)
+    return rounded(co.override(df, profile).select(
         "person_id", "age", "death_covid", "n_rec", "flag_a", "flag_b", "bmi"))
 
 
@@ -436,7 +436,7 @@ def q_describe_all(spark, sf_dir):
     pops = {"all": F.lit(True),
             "p1": dd.between(F.lit(P1[1]), F.lit(P1[2])) & (F.col("death_covid") == 1),
             "p2": dd.between(F.lit(P2[1]), F.lit(P2[2])) & (F.col("death_covid") == 1)}
-    return rounded(ds.describe_all(df, CATEGORICAL, CONTINUOUS, pops))
+    return rounded(ds.describe_all(df, *ds.discover(df, NOT_DESCRIBED, CONTINUOUS), pops))
 
 
 def q_describe_cat(spark, sf_dir):

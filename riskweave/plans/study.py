@@ -12,8 +12,9 @@ from ..sources import fixtures as fx
 
 SEX_NAMES = {1: "Males", 0: "Females"}
 # Baseline (reference) profile for relative risk: every record-derived term at
-# its lowest level, bmi at 25; age and outcome are kept.
-BASELINE_PROFILE = {"n_rec": 0, "flag_a": 0, "flag_b": 0, "bmi": 25.0}
+# its lowest level, bmi at 25; person, age and outcome are kept.
+PROFILE_KEEPS = ["person_id", "household_id", "sex", "age", "linked", "supplier_x", "death_covid", "t"]
+PROFILE_REFERENCE = {"bmi": 25.0}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> fx.Tables:

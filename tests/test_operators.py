@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF0001
 from riskweave.functions import labels, recode
 from riskweave.operators import cohort as co
+from riskweave.operators import describe as ds
 from riskweave.operators import impute as im
 from riskweave.operators import linkage as lk
 from riskweave.operators import quantiles as qt
@@ -155,3 +156,49 @@ def test_full_model_hold_out(spark):
     from riskweave.plans import catalog
     r = catalog.q_imputer_mse_full(spark, SF0001).first()
     assert r.n_test > 0 and 0 < r.mse_lm and 0 < r.mse_mm
+
+
+def _many(spark):
+    """Eighty record columns of several types behind what a profile keeps."""
+    base = spark.createDataFrame([(1, 40, 1, "x", dt.date(2020, 2, 1), True, 31.5), (None, None, None, None, None, None, None)],
+                                 "pid long, age int, event int, region string, day date, ever boolean, bmi double")
+    return base.withColumns({f"c{k}": F.lit(k).cast(("int", "double", "decimal(9,2)", "tinyint")[k % 4]) for k in range(80)})
+
+
+def test_reference_profile_by_exclusion(spark):
+    df = _many(spark)
+    profile = co.reference_profile(df, ["pid", "age", "event"], {"bmi": 25, "region": "none"})
+    assert set(profile) == {"ever", "bmi", "region", *(f"c{k}" for k in range(80))}
+    out = co.override(df, profile)
+    assert out.dtypes == df.dtypes
+    for r, kept in zip(out.orderBy("pid").collect(), (None, 1)):
+        assert r.pid == kept and r.bmi == 25.0 and r.region == "none" and r.ever is False
+        assert all(r[f"c{k}"] == 0 for k in range(80))
+    assert out.where("pid = 1").first().day == dt.date(2020, 2, 1)
+    assert co.override(df.limit(0), co.reference_profile(df.limit(0), [])).count() == 0
+    for keep, values in ((["nope"], {}), ([], {"nope": 1}), (["bmi"], {"bmi": 25})):
+        with pytest.raises(ValueError):
+            co.reference_profile(df, keep, values)
+
+
+def test_profile_from_table(spark):
+    df = _many(spark)
+    table = lambda rows: spark.createDataFrame(rows, "column string, value string, note string")
+    rows = [(f"c{k}", "0", None) for k in range(80)] + [("bmi", "25.0", "centre"), ("ever", "false", ""), ("day", None, "")]
+    out = co.override(df, co.profile_from_table(df, table(rows)))
+    assert out.dtypes == df.dtypes
+    for r in out.collect():
+        assert r.bmi == 25.0 and r.ever is False and r.day is None and all(r[f"c{k}"] == 0 for k in range(80))
+    assert co.profile_from_table(df, table([]).limit(0)) == {}
+    for wrong in ([("nope", "1", "")], [("bmi", "1", ""), ("bmi", "2", "")], [(None, "1", "")], [("bmi", "wide", "")],
+                  [(f"c{k % 80}", "0", "") for k in range(500)]):
+        with pytest.raises(ValueError):
+            co.profile_from_table(df, table(wrong))
+
+
+def test_variables_by_exclusion(spark):
+    df = _many(spark).select("pid", "age", "event", "region", "ever", "bmi", "c0", "c1", "c2")
+    assert ds.discover(df, ["pid", "not there"], ["age"]) == (["event", "region", "ever", "c0"], ["age", "bmi", "c1", "c2"])
+    assert ds.discover(df, df.columns) == ([], [])
+    with pytest.raises(ValueError):
+        ds.discover(df, [], ["not there"])
