@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import poly_terms, sentinel_to_null
 from ..session import materialize
 from . import normal
-from .common import attach_row
+from .common import attach_row, per_group
 from .sampling import hash_split
 
 
@@ -33,7 +33,7 @@ def impute_group_mean(df: DataFrame, value: str, label: str, keys: Sequence[str]
                       means: DataFrame | None = None, flag: str | None = None) -> DataFrame:
     """Fill a missing value with its group mean, only when the label is known."""
     m = means if means is not None else group_means(df, value, keys)
-    x = df.join(m, list(keys), "left")
+    x = df.join(per_group(m), list(keys), "left")
     fill = F.col(value).isNull() & F.col(label).isNotNull()
     if flag:
         x = x.withColumn(flag, F.when(F.col(value).isNotNull(), 0)
@@ -81,9 +81,9 @@ def impute_two_stage(df: DataFrame, value: str = "bmi", label: str = "bmi_cat",
                      flag: str = "imputed") -> DataFrame:
     """Sentinel 0 -> null, group-mean fill where the label is known, then OLS per
     group for the rest; ``imputed`` is 0 observed, 1 group mean, 2 model."""
-    x = df.withColumn(value, sentinel_to_null(F.col(value), 0))
-    # three passes of the model stage read the stage-1 frame: write it once
-    x = materialize(impute_group_mean(x, value, label, [label, group], flag=flag))
+    # the group means and all passes of the model stage read this frame: write it once
+    x = materialize(df.withColumn(value, sentinel_to_null(F.col(value), 0)))
+    x = impute_group_mean(x, value, label, [label, group], flag=flag)
     return impute_by_model(x, value, group, list(features), interact, flag=flag)
 
 
@@ -101,7 +101,7 @@ def imputer_mse(df: DataFrame, id_col: str, value: str, label: str, group: str,
     lm = normal.holdout(x.where(F.col(group).isNotNull()), made, value, [group]).agg(
         F.when(F.count("sse_test") == F.count(F.lit(1)), F.try_divide(F.sum("sse_test"), F.sum("n_test"))).alias("mse_lm"))
     train, test = x.where(F.col("split") == "training"), x.where(F.col("split") == "test")
-    t = test.join(group_means(train, value, [label, group]), [label, group], "left")
+    t = test.join(per_group(group_means(train, value, [label, group])), [label, group], "left")
     mm = t.agg(F.avg(F.pow(F.col(value) - F.col("prediction_mm"), 2)).alias("mse_mm"), F.count(F.lit(1)).alias("n_test"))
     return attach_row(lm, mm)
 

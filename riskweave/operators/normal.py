@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_join
+from .common import null_safe_join, per_group
 
 MAX_COLUMNS = 512      # of a design, which bounds a group's matrix to 2 MB
 HELD_GROUPS = 64       # matrices that a task keeps before it hands them on
@@ -252,8 +252,8 @@ def fits(sums: DataFrame, made: Design) -> DataFrame:
 def predicted(df: DataFrame, fit: DataFrame, made: Design, by: Sequence[str], out: str) -> DataFrame:
     """L3: ``df`` with the fitted value of its group's model; null where a feature is null,
     where the group has no model, and for a level that the group's model has not seen."""
-    models = fit.select(*by, F.struct("beta", "lacking").alias("_model"))
-    joined = null_safe_join(df.withColumn("_x", made.column()), models, list(by), "left")
+    models = per_group(fit.select(*by, F.struct("beta", "lacking").alias("_model")))
+    joined = null_safe_join(df, models, list(by), "left").withColumn("_x", made.column())
     dot = F.aggregate(F.zip_with("_x", "_model.beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     unseen = F.exists("_model.lacking", lambda k: F.get("_x", k) != 0)
     return joined.withColumn(out, F.when(~unseen, dot + F.lit(made.centre))).drop("_x", "_model")

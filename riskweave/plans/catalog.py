@@ -24,6 +24,7 @@ from ..operators import normal as nm
 from ..operators import quantiles as qt
 from ..operators import sampling as sp
 from ..operators import score as sc
+from ..operators.common import per_group
 from ..operators.concordance import concordance
 from ..operators.cox import d_statistic
 from ..operators.rank import scalable_ntile
@@ -460,14 +461,14 @@ def q_impute_group_mean(spark, sf_dir):
 def q_split_union(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).select("person_id", "sex", "bmi")
     means = im.group_means(x, "bmi", ["sex"], "mean_bmi")
-    filled = lk.attach_reference(x, means, "sex")
+    filled = lk.attach_reference(x, per_group(means), "sex")
     return rounded(filled.select("person_id", "sex", F.coalesce("bmi", "mean_bmi").alias("bmi"),
                                  F.col("bmi").isNull().cast("int").alias("imputed")))
 
 
 def q_coalesce_pred(spark, sf_dir):
     x = _bmi_clean(spark, sf_dir).select("person_id", "sex", "bmi")
-    x = lk.attach_reference(x, im.group_means(x, "bmi", ["sex"], "m"), "sex")
+    x = lk.attach_reference(x, per_group(im.group_means(x, "bmi", ["sex"], "m")), "sex")
     male, female = (F.when(F.col("sex") == s, F.col("m")) for s in (1, 0))
     return rounded(x.select("person_id", F.coalesce(male, female).alias("prediction_lm")))
 
