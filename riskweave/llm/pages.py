@@ -264,7 +264,8 @@ def train(spark: SparkSession, rows: list | None = None, *, depth: int = 10) ->
     """The decision tree as a list of nodes, fitted on labelled blocks."""
     table = [(float(y), Vectors.dense(x)) for x, y in (labelled_blocks() if rows is None else rows)]
     frame = spark.createDataFrame(table, ["label", "features"]).coalesce(4)
-    return walk_tree(DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=4).fit(frame))
+    # a seed left out is Python's hash of the class name, another one in each process
+    return walk_tree(DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=4, seed=0).fit(frame))
 
 
 def main_text(page: str | None, tree: list, threshold: float = THRESHOLD) -> str:

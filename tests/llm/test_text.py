@@ -253,6 +253,19 @@ def test_counts_and_densities_decide_first(tree):
         assert right >= least * n, (kind, right, n)
 
 
+def test_tree_has_a_fixed_seed(spark, monkeypatch):
+    seen = []
+
+    class Seen(pages.DecisionTreeClassifier):
+        def fit(self, frame):
+            seen.append(self.getSeed())
+            return super().fit(frame)
+
+    monkeypatch.setattr(pages, "DecisionTreeClassifier", Seen)
+    pages.train(spark, [([0.0], 0), ([1.0], 1)] * 8)
+    assert seen == [0]
+
+
 def test_pages_rows(spark, tree):
     texts = ["", None, "<", "<article>", "plain words only", "<article><p>one<p>two", "<article>" + "<p>w</p>" * 20000,
              "<article><p>a<!-- open", "<article><p>" + "<b>" * 3000 + "deep"]
